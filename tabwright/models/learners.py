@@ -419,6 +419,10 @@ def _ada_fit(name, df, features, target, params):
     return Model(name, "classification" if classify else "regression", features, target, classes, params, [], {"steps": steps})
 
 
+def _vote_for(k: float):
+    return lambda a, v: a + F.when(v["v"] == k, v["w"]).otherwise(0.0)
+
+
 def _ada_score(model, df):
     d = df.drop(*[c for c in ("prediction", "probability") if c in df.columns])
     votes = F.array(*[F.struct(tree_expression(s["tree"], lambda i: num(d, model.features[i])).alias("v"),
@@ -426,8 +430,7 @@ def _ada_score(model, df):
     d = d.withColumn("__v", votes)
     if model.task == "classification":
         total = sum(s["weight"] for s in model.data["steps"])
-        share = [F.aggregate("__v", F.lit(0.0), lambda a, v, i=i: a + F.when(v["v"] == float(i), v["w"]).otherwise(0.0)) / F.lit(total)
-                 for i in range(len(model.classes))]
+        share = [F.aggregate("__v", F.lit(0.0), _vote_for(float(i))) / F.lit(total) for i in range(len(model.classes))]
         d = d.withColumn("probability", F.array(*share))
         return d.withColumn("__p", (F.array_position("probability", F.array_max("probability")) - 1).cast("double")).drop("__v")
     half = sum(s["weight"] for s in model.data["steps"]) / 2.0

@@ -71,7 +71,7 @@ class Oversampling(_Resampler):
 
     # every synthetic method: seeds with a share of the needed rows, then steps towards neighbours
 
-    def _synthesise(self, df, art, cls_name, seeds, weights_total, need, pool, tag=0):
+    def _synthesise(self, df, art, cls_name, seeds, weights_total, need, pool, tag=0, even=False):
         """``seeds`` (keys, features, w): split ``need`` points over seeds in proportion to w."""
         keys, feats, k = art["key_columns"], art["features"], int(art["k_neighbors"])
         seed = int(art["random_state"]) + tag
@@ -83,7 +83,12 @@ class Oversampling(_Resampler):
         # integer shares: floor, then one more with probability of the remainder, by key hash
         share = F.lit(float(need)) * F.col("w") / F.lit(float(weights_total))
         floor = F.floor(share)
-        n_new = floor + (random_unit([q(c).cast("string") for c in keys], seed + 7) < share - floor).cast("bigint")
+        if even:  # equal shares: the remainder goes to the first seeds in hash order, so the count is exact
+            from .splitting import smallest
+            n = base.count()
+            n_new = F.lit(need // n) + smallest(base, hash_order(keys, seed + 7), need % n, n).cast("int")
+        else:
+            n_new = floor + (random_unit([q(c).cast("string") for c in keys], seed + 7) < share - floor).cast("bigint")
         rows = (base.withColumn("__n", n_new).where("__n > 0")
                 .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))))
         key_parts = [q(c).cast("string") for c in keys] + [F.col("__i").cast("string")]
@@ -100,7 +105,7 @@ class Oversampling(_Resampler):
                 out.append(F.lit(None).cast(df.schema[c].dataType).alias(c))
         return rows.select(*out)
 
-    def _run(self, df, art, make_seeds):
+    def _run(self, df, art, make_seeds, even=True):
         cls, totals = _totals(df, art)
         top = max(totals.values())
         feats = art["features"]
@@ -113,7 +118,7 @@ class Oversampling(_Resampler):
             seeds, total = make_seeds(df, art, k, mine, cls)
             if not total:
                 continue
-            parts.append(self._synthesise(df, art, k, seeds, total, need, mine, tag=101 * i))
+            parts.append(self._synthesise(df, art, k, seeds, total, need, mine, tag=101 * i, even=even))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -136,7 +141,7 @@ class Oversampling(_Resampler):
             t = self._danger(d, a, k, mine, cls, int(a["k_neighbors"])).withColumn("w", F.col("__d"))
             total = t.agg(F.sum("w")).first()[0]
             return t, total
-        return self._run(df, art, seeds)
+        return self._run(df, art, seeds, even=False)
 
     def borderline(self, df, art):
         def seeds(d, a, k, mine, cls):
@@ -182,7 +187,7 @@ class Oversampling(_Resampler):
                 weight = F.when(F.col("__g") == c, F.lit(1.0 / ok[c])).otherwise(weight)
             t = t.withColumn("w", weight)
             return t.drop("__x", "__y", "__g"), float(len(chosen))
-        return self._run(df, art, seeds)
+        return self._run(df, art, seeds, even=False)
 
     def smote_tomek(self, df, art):
         bigger = self.smote(df, art)

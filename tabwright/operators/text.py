@@ -24,6 +24,14 @@ def stop_word_list(value) -> list[str] | None:
     return list(value)
 
 
+def _joined_slice(items: Column, n: int, sep: str):
+    return lambda i: F.array_join(F.slice(items, i, n), sep)
+
+
+def _substring(word: Column, n: int):
+    return lambda i: F.substr(word, i, F.lit(n))
+
+
 def _grams(items: Column, lo: int, hi: int, sep: str) -> Column:
     """n-grams for n = lo..hi, shorter ones first."""
     parts = []
@@ -34,7 +42,7 @@ def _grams(items: Column, lo: int, hi: int, sep: str) -> Column:
         last = F.size(items) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
             F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(items, i, n), sep)))
+        parts.append(F.transform(starts, _joined_slice(items, n, sep)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -61,7 +69,7 @@ def _padded_grams(word: Column, lo: int, hi: int) -> Column:
     parts = []
     for n in range(lo, hi + 1):
         last = F.greatest(F.length(w) - n + 1, F.lit(1))
-        grams = F.transform(F.sequence(F.lit(1), last), lambda i, n=n: F.substr(w, i, F.lit(n)))
+        grams = F.transform(F.sequence(F.lit(1), last), _substring(w, n))
         if n > lo:  # a short word was already given whole at a smaller n
             grams = F.when(F.length(w) > n - 1, grams).otherwise(F.array().cast("array<string>"))
         parts.append(grams)

@@ -54,7 +54,7 @@ def detect_date_strings(df: DataFrame, sample: int | None = 50) -> dict[str, str
         exprs.append(F.count(x))
         for f in [None] + DATE_FORMATS:
             p = F.try_to_timestamp(x) if f is None else F.try_to_timestamp(x, F.lit(f))
-            exprs += [F.count(p), F.bit_count(F.bit_or(F.shiftleft(F.lit(1), F.month(p))))]
+            exprs += [F.count(p), F.bit_count(F.bit_or(F.pow(F.lit(2), F.month(p)).cast("int")))]
     row = agg_row(d, exprs)
     k, out = 1 + 2 * (1 + len(DATE_FORMATS)), {}
     for i, c in enumerate(cand):
