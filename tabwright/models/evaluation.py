@@ -307,19 +307,24 @@ def optimise_multiclass_thresholds(df: DataFrame, label: str, probability: str,
     return {"thresholds": {c: math.exp(t) for c, t in zip(classes, best)}, "score": value, "argmax_score": start}
 
 
-def evaluate(model, df: DataFrame, metrics_only: bool = True) -> dict[str, float]:
-    """Metrics of a fitted model on a table with its target."""
+def evaluate(model, df: DataFrame) -> dict[str, float]:
+    """Metrics of a fitted model on a table with its target. Rows are scored once and kept."""
     out = model.predict(df)
     if model.task == "clustering":
         return cluster_scores(out, "prediction", model.features)
-    if model.task == "regression":
-        return {r["metric"]: r["value"] for r in regression_metrics(out, model.target, "prediction").collect()}
-    positive = model.classes[1] if len(model.classes) == 2 else None
-    m = {r["metric"]: r["value"] for r in classification_metrics(out, model.target, "prediction", positive).collect()}
-    if "probability" in out.columns:
-        m["log_loss"] = log_loss(out, model.target, "probability", model.classes)
-        if len(model.classes) == 2:
-            m.update(binary_areas(out, q(model.target).cast("string") == F.lit(model.classes[1]), F.col("probability")[1]))
-        else:
-            m.update(multiclass_areas(out, model.target, "probability", model.classes))
-    return m
+    cols = [model.target, "prediction"] + (["probability"] if "probability" in out.columns else [])
+    out = out.select(*[q(c) for c in cols]).persist()
+    try:
+        if model.task == "regression":
+            return {r["metric"]: r["value"] for r in regression_metrics(out, model.target, "prediction").collect()}
+        cells = {(r["actual"], r["predicted"]): r["count"] for r in confusion_counts(out, model.target, "prediction").collect()}
+        m = metrics_from_counts(cells, model.classes[1] if len(model.classes) == 2 else None)
+        if "probability" in out.columns:
+            m["log_loss"] = log_loss(out, model.target, "probability", model.classes)
+            if len(model.classes) == 2:
+                m.update(binary_areas(out, q(model.target).cast("string") == F.lit(model.classes[1]), F.col("probability")[1]))
+            else:
+                m.update(multiclass_areas(out, model.target, "probability", model.classes))
+        return m
+    finally:
+        out.unpersist()

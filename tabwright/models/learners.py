@@ -473,12 +473,13 @@ def _calibrated_fit(name, df, features, target, params):
         def score(m, part):
             return m.predict(part).select(label_index(nn(part, target), classes).alias("__y"), "probability")
         oof = out_of_fold(base, folded, features, target, k, score, **inner).persist()
-        maps = []
+        maps, curves = [], []
         for i in ([1] if len(classes) == 2 else range(len(classes))):
             s = oof.select((F.col("__y") == float(i)).cast("double").alias("__l"), F.col("probability")[i].alias("__s"))
             if params.get("method", "sigmoid") == "isotonic":
-                iso = MR.IsotonicRegression(featuresCol="__s", labelCol="__l").fit(s)
-                maps.append({"x": [float(v) for v in iso.boundaries], "y": [float(v) for v in iso.predictions]})
+                iso = MR.IsotonicRegression(featuresCol="__s", labelCol="__l", predictionCol="__i").fit(s)
+                curves.append(iso)
+                maps.append({})
             else:
                 lr = MC.LogisticRegression(featuresCol="__x", labelCol="__l", regParam=0.0).fit(
                     VectorAssembler(inputCols=["__s"], outputCol="__x").transform(s))
@@ -487,31 +488,25 @@ def _calibrated_fit(name, df, features, target, params):
         full = fit_model(base, df, features, target, **inner)
     finally:
         folded.unpersist()
-    return Model(name, "classification", full.features, target, classes, params, [full], {"maps": maps})
-
-
-def _calibrate(p: Column, m: dict) -> Column:
-    if "a" in m:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(m["a"]) * p + F.lit(m["b"]))))
-    xs, ys = m["x"], m["y"]
-    e = F.lit(ys[-1])
-    for i in range(len(xs) - 1, 0, -1):
-        span = xs[i] - xs[i - 1]
-        inner = F.lit(ys[i]) if span <= 0 else F.lit(ys[i - 1]) + (p - F.lit(xs[i - 1])) * F.lit((ys[i] - ys[i - 1]) / span)
-        e = F.when(p <= F.lit(xs[i]), inner).otherwise(e)
-    return F.when(p <= F.lit(xs[0]), F.lit(ys[0])).otherwise(e)
+    return Model(name, "classification", full.features, target, classes, params, [full, *curves], {"maps": maps})
 
 
 def _calibrated_score(model, df):
     d = model.parts[0].raw(df)
-    maps = model.data["maps"]
-    if len(model.classes) == 2:
-        one = _calibrate(F.col("probability")[1], maps[0])
-        d = d.withColumn("probability", F.array(F.lit(1.0) - one, one))
+    two = len(model.classes) == 2
+    for i, m in enumerate(model.data["maps"]):
+        d = d.withColumn("__s", F.col("probability")[1 if two else i])
+        if m:
+            e = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(m["a"]) * F.col("__s") + F.lit(m["b"]))))
+            d = d.withColumn(f"__c{i}", e).drop("__s")
+        else:
+            d = model.parts[1 + i].setPredictionCol("__i").transform(d).withColumnRenamed("__i", f"__c{i}").drop("__s")
+    if two:
+        d = d.withColumn("probability", F.array(F.lit(1.0) - F.col("__c0"), F.col("__c0"))).drop("__c0")
     else:
-        raw = F.array(*[_calibrate(F.col("probability")[i], m) for i, m in enumerate(maps)])
-        d = d.withColumn("__c", raw).withColumn("__s", F.aggregate("__c", F.lit(0.0), lambda a, x: a + x))
-        d = d.withColumn("probability", F.transform("__c", lambda x: x / F.col("__s"))).drop("__c", "__s")
+        cols = [f"__c{i}" for i in range(len(model.classes))]
+        total = sum((F.col(c) for c in cols), F.lit(0.0))
+        d = d.withColumn("__t", total).withColumn("probability", F.array(*[F.col(c) / F.col("__t") for c in cols])).drop("__t", *cols)
     return d.withColumn("__p", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
 
 
