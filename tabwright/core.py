@@ -34,7 +34,8 @@ def nn(df: DataFrame, name: str) -> Column:
     """The column with NaN read as missing."""
     c = q(name)
     if isinstance(dtype_of(df, name), FLOAT_TYPES):
-        return F.when(~F.isnan(c), c)
+        # one reference to the column, so chained steps stay one flat expression
+        return F.nanvl(c, F.lit(None).cast(dtype_of(df, name)))
     return c
 
 

@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..core import dtype_of, q
 
 
-def hash_bucket(c: Column, n: int, how: str = "md5") -> Column:
+def hash_bucket(c: Column, n: int, how: str = "xxhash64") -> Column:
     """Stable bucket in 0..n-1 of a string; md5 gives the same value in any SQL engine."""
     if how == "xxhash64":
         return F.pmod(F.xxhash64(c), F.lit(n))

@@ -228,7 +228,7 @@ class OrdinalEncoder(Operator):
 @operator("HashEncoder")
 class HashEncoder(Operator):
     description = "Stable hash of a category modulo n_features"
-    defaults = {"n_features": 10, "hash": "md5"}
+    defaults = {"n_features": 10, "hash": "xxhash64"}
 
     def fit(self, df, cfg):
         return {"columns": _cat_columns(df, cfg), "n_features": int(cfg["n_features"]), "hash": cfg["hash"]}

@@ -213,23 +213,26 @@ GROUP_AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min,
                     "std": F.stddev_samp}
 
 
-def group_aggregate(df: DataFrame, group: str, column: str, method: str, out: str) -> DataFrame:
-    """Group statistic on every row.
+def group_aggregates(df: DataFrame, group: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Group statistics on every row; ``wanted`` is output -> (column, method).
 
-    A grouped aggregation (combined before the shuffle) joined back, instead of a window that
-    would hold a hot group in one task.
+    One grouped aggregation (combined before the shuffle) joined back once, instead of a window
+    that would hold a hot group in one task.
     """
     from ..plans.lookup import size_checked_join
     from ..plans.quantiles import grouped_quantiles
-    if method == "median":
-        t = grouped_quantiles(df, group, [column], [0.5])
-        t = t.select(q(group).alias("__g"), q(f"{column}_q")[0].alias(out))
-    else:
-        x = nn(df, column) if method == "count" else num(df, column)
-        t = df.groupBy(q(group).alias("__g")).agg(GROUP_AGGREGATES[method](x).alias(out))
-    base = df.drop(out) if out in df.columns else df
+    plain = {o: (c, m) for o, (c, m) in wanted.items() if m != "median"}
+    aggs = [GROUP_AGGREGATES[m](nn(df, c) if m == "count" else num(df, c)).alias(o) for o, (c, m) in plain.items()]
+    t = df.groupBy(q(group).alias("__g")).agg(*aggs) if aggs else None
+    medians = {o: c for o, (c, m) in wanted.items() if m == "median"}
+    if medians:
+        cols = list(dict.fromkeys(medians.values()))
+        g = grouped_quantiles(df, group, cols, [0.5])
+        g = g.select(q(group).alias("__m" if aggs else "__g"), *[q(f"{c}_q")[0].alias(o) for o, c in medians.items()])
+        t = t.join(g, t["__g"].eqNullSafe(g["__m"])).drop("__m") if aggs else g
+    base = df.drop(*[o for o in wanted if o in df.columns])
     joined = size_checked_join(base, t, base[f"`{group}`"].eqNullSafe(t["__g"]), "left")
-    return joined.drop("__g")
+    return joined.select(*[q(c) for c in base.columns], *[q(o) for o in wanted])
 
 
 @operator("FeatureGeneration", "FeatureGenerationNode", "FeatureMath")
@@ -243,9 +246,14 @@ class FeatureGeneration(Operator):
                 "allow_overwrite": bool(cfg["allow_overwrite"])}
 
     def apply(self, df, art):
-        eps = art["epsilon"]
-        for i, op in enumerate(art["operations"]):
+        eps, pending, by = art["epsilon"], {}, None
+        for i, op in enumerate([*art["operations"], {"operation_type": "end"}]):
             kind = op.get("operation_type", "arithmetic")
+            if pending and (kind != "group_agg" or (op.get("input_columns") or [None])[0] != by
+                            or set(op.get("secondary_columns", [])) & set(pending)):
+                df, pending = group_aggregates(df, by, pending), {}
+            if kind == "end":
+                break
             ins = [c for c in op.get("input_columns", []) if c in df.columns]
             if kind == "datetime_extract":
                 new = {}
@@ -255,11 +263,12 @@ class FeatureGeneration(Operator):
                         new[f"{c}_{part}"] = date_part(ts, part)
                 df = with_columns(df, new)
                 continue
-            out = _output_name(op, i, df.columns, art["allow_overwrite"])
+            out = _output_name(op, i, [*df.columns, *pending], art["allow_overwrite"])
             if kind == "group_agg":
                 sec = [c for c in op.get("secondary_columns", []) if c in df.columns]
                 if ins and sec:
-                    df = group_aggregate(df, ins[0], sec[0], op.get("method") or "mean", out)
+                    by = ins[0]
+                    pending[out] = (sec[0], op.get("method") or "mean")
                 continue
             if kind == "polynomial":
                 df = PolynomialFeatures().apply(df, {**PolynomialFeatures.defaults, "columns": ins, **{

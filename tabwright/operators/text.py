@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import fixed_values as V
 from ..core import Operator, nn, operator, q, with_columns
 from ..functions.expressions import word_tokens
-from ..plans.lookup import BROADCAST_KEYS, size_checked_join
+from ..plans.lookup import size_checked_join
+from ..session import cut_lineage
 
 MAX_WIDE_TERMS = 10_000
 
@@ -106,29 +107,34 @@ class Tokenizer(Operator):
 
 
 def term_counts(df: DataFrame, key: list[str], columns: list[str], binary: bool = False, **opts) -> DataFrame:
-    """Long form (key, term, tf). A document's terms are combined before the shuffle, so what is
-    shuffled is one row per distinct (document, term)."""
-    toks = tokens(joined_text(df, columns), **opts)
-    long = df.select(*[q(k) for k in key], F.explode(toks).alias("term"))
-    tf = F.lit(1).cast("bigint") if binary else F.count("*")
-    return long.groupBy(*[q(k) for k in key], "term").agg(
-        (F.max(F.lit(1)).cast("bigint") if binary else F.count("*")).alias("tf"))
+    """Long form (key, term, tf).
+
+    A document's terms are counted inside its own row, so no shuffle is needed: sort the tokens,
+    find where runs start, take differences. Every array is a column of its own, because a lambda
+    that refers to an expression would compute it again for each element.
+    """
+    keys = [q(k) for k in key]
+    d = df.select(*keys, F.sort_array(tokens(joined_text(df, columns), **opts)).alias("__s"))
+    every = F.when(F.size("__s") > 0, F.sequence(F.lit(0), F.greatest(F.size("__s") - 1, F.lit(0))))
+    d = d.select(*keys, "__s", F.filter(every, lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1))).alias("__b"))
+    runs = F.transform("__b", lambda i, j: F.struct(
+        F.get("__s", i).alias("term"), (F.coalesce(F.get("__b", j + 1), F.size("__s")) - i).cast("bigint").alias("tf")))
+    # the outer form keeps the optimiser from computing the arrays again in an inferred filter
+    long = d.select(*keys, F.inline_outer(runs)).where("term is not null")
+    return long.withColumn("tf", F.lit(1).cast("bigint")) if binary else long
 
 
 def vocabulary_table(df: DataFrame, columns: list[str], min_df=1, max_df=1.0, max_features=None,
                      **opts) -> tuple[DataFrame, int]:
     """(term, df, tf) after the document-frequency limits, and the number of documents.
 
-    Uses the distinct terms of each row, so document frequency needs no per-document shuffle.
+    One pass over the text; what is shuffled is one partial sum per term and input partition.
     """
-    toks = tokens(joined_text(df, columns), **opts)
     n = df.count()
-    t = df.select(toks.alias("t"))
-    occur = t.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    docs = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    v = term_counts(df, [], columns, **opts).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     low = min_df if isinstance(min_df, int) else min_df * n
     high = max_df if isinstance(max_df, int) else max_df * n
-    v = occur.join(docs, "term").where((F.col("df") >= F.lit(low)) & (F.col("df") <= F.lit(high)))
+    v = v.where((F.col("df") >= F.lit(low)) & (F.col("df") <= F.lit(high)))
     if max_features:
         v = v.orderBy(F.desc("tf"), "term").limit(int(max_features))
     return v, n
@@ -207,6 +213,7 @@ def tfidf_long(df: DataFrame, key: list[str], columns: list[str], sublinear_tf:
                max_df=1.0, max_features=None, **opts) -> DataFrame:
     """(key, term, tfidf) with unit L2 norm per document, for any vocabulary size."""
     v, n = vocabulary_table(df, columns, min_df, max_df, max_features, **opts)
+    v = cut_lineage(v)  # the fitted vocabulary: read twice below, computed once
     idf = v.select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     tf = term_counts(df, key, columns, **opts)
     x = F.log(F.col("tf").cast("double")) + 1.0 if sublinear_tf else F.col("tf").cast("double")

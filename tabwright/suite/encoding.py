@@ -60,7 +60,7 @@ def encode_ordinal(spark, sf):
 
 @query("I5", f"""SELECT o_orderkey, ('0x' || substr(md5(coalesce(o_orderpriority, 'nan')), 1, 8))::BIGINT % 10 AS o_orderpriority FROM {HOLES}""")
 def encode_hash(spark, sf):
-    return fit_apply("HashEncoder", holes(spark, sf), columns=["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+    return fit_apply("HashEncoder", holes(spark, sf), columns=["o_orderpriority"], hash="md5").select("o_orderkey", "o_orderpriority")
 
 
 @query("I6", """WITH b AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END, 'nan') AS k FROM orders),

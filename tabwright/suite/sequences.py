@@ -88,7 +88,7 @@ def _stream(spark, sf, name, build, mode="append"):
 def stream_replay(spark, sf):
     from ..streaming import transform_stream
     e = table(spark, sf, "events")
-    arts = [fit("StandardScaler", e, columns=["value"]), fit("HashEncoder", e, columns=["event_type"])]
+    arts = [fit("StandardScaler", e, columns=["value"]), fit("HashEncoder", e, columns=["event_type"], hash="md5")]
     arts = [artifact_from_json(artifact_to_json(a)) for a in arts]
     return rounded(_stream(spark, sf, "events", lambda s: transform_stream(s, arts)).select("event_id", "value", "event_type"), "value")
 
