@@ -194,13 +194,24 @@ def _sgd(p, n):
     return MC.LogisticRegression(regParam=alpha, elasticNetParam=mix, maxIter=int(p.get("max_iter", 1000)), standardization=False)
 
 
-def _linear(reg, mix):
-    def make(p, n):
-        return MR.LinearRegression(regParam=reg(p, n), elasticNetParam=mix(p), maxIter=int(p.get("max_iter", 1000)),
+def _linear(l1, l2):
+    """Penalties l1 * |w| + l2 / 2 * |w|^2 on the mean squared error. Spark divides its L2 term by
+    the deviation of the label (it fits the scaled label), so that factor is put back here."""
+    def make(p, n, sd=1.0):
+        a, b = l1(p, n), l2(p, n) * (sd or 1.0)
+        return MR.LinearRegression(regParam=a + b, elasticNetParam=a / (a + b) if a + b else 0.0, maxIter=int(p.get("max_iter", 1000)),
                                    standardization=False, fitIntercept=p.get("fit_intercept", True), tol=1e-9)
     return make
 
 
+def _alpha(p):
+    return float(p.get("alpha", 1.0))
+
+
+def _share(p):
+    return float(p.get("l1_ratio", 0.5))
+
+
 CLASSIFIERS: dict[str, Callable] = {
     "logistic_regression": _logistic,
     "random_forest_classifier": lambda p, n: MC.RandomForestClassifier(**_forest(p)),
@@ -219,11 +230,12 @@ REGRESSORS: dict[str, Callable] = {
     "decision_tree_regressor": lambda p, n: MR.DecisionTreeRegressor(**_tree(p)),
     "gradient_boosting_regressor": lambda p, n: MR.GBTRegressor(**_boost(p)),
     "hist_gradient_boosting_regressor": lambda p, n: MR.GBTRegressor(**_boost(p, "max_iter", 255)),
-    "linear_regression": _linear(lambda p, n: 0.0, lambda p: 0.0),
-    "ridge_regression": _linear(lambda p, n: float(p.get("alpha", 1.0)) / n, lambda p: 0.0),
-    "lasso_regression": _linear(lambda p, n: float(p.get("alpha", 1.0)), lambda p: 1.0),
-    "elasticnet_regression": _linear(lambda p, n: float(p.get("alpha", 1.0)), lambda p: float(p.get("l1_ratio", 0.5))),
+    "linear_regression": _linear(lambda p, n: 0.0, lambda p, n: 0.0),
+    "ridge_regression": _linear(lambda p, n: 0.0, lambda p, n: _alpha(p) / n),
+    "lasso_regression": _linear(lambda p, n: _alpha(p), lambda p, n: 0.0),
+    "elasticnet_regression": _linear(lambda p, n: _alpha(p) * _share(p), lambda p, n: _alpha(p) * (1.0 - _share(p))),
 }
+LINEAR = {"linear_regression", "ridge_regression", "lasso_regression", "elasticnet_regression"}
 CLUSTERERS: dict[str, Callable] = {
     "kmeans": lambda p: ML.KMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42)), maxIter=int(p.get("max_iter", 300)), initSteps=5),
     "minibatch_kmeans": lambda p: ML.KMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42)), maxIter=int(p.get("max_iter", 100))),
@@ -256,8 +268,8 @@ def fit_model(name: str, df: DataFrame, features: Sequence[str] | None = None, t
     if name in CLASSIFIERS:
         return _fit_classifier(name, df, features, target, params)
     if name in REGRESSORS:
-        n = df.count()
-        est = REGRESSORS[name](params, n).setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__p")
+        n, sd = df.agg(F.count("*"), F.stddev_pop(num(df, target))).first()
+        est = (REGRESSORS[name](params, n, sd) if name in LINEAR else REGRESSORS[name](params, n)).setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__p")
         fitted = est.fit(assemble(df, features).withColumn("__y", num(df, target)))
         return Model(name, "regression", features, target, None, params, [fitted])
     raise KeyError(f"unknown model {name!r}; known: {model_names()}")
@@ -285,7 +297,12 @@ def _fit_classifier(name, df, features, target, params) -> Model:
         est.setWeightCol("__w")
     if name in BINARY_ONLY and len(classes) > 2 or (name == "sgd_classifier" and isinstance(est, MC.LinearSVC) and len(classes) > 2):
         est = MC.OneVsRest(classifier=est, featuresCol="__x", labelCol="__y", predictionCol="__p", parallelism=2)
-    return Model(name, "classification", features, target, classes, params, [est.fit(data)])
+    model = Model(name, "classification", features, target, classes, params, [est.fit(data)])
+    if name in ("multinomial_nb", "bernoulli_nb"):
+        # Spark smooths the class priors too; keep the plain log shares to undo that when scoring
+        sizes = {r["__y"]: r["n"] for r in d.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+        model.data["prior_shift"] = [math.log(sizes[float(i)] / n) - float(model.parts[0].pi[i]) for i in range(len(classes))]
+    return model
 
 
 def _score_ml(model: Model, df: DataFrame) -> DataFrame:
@@ -296,7 +313,14 @@ def _score_ml(model: Model, df: DataFrame) -> DataFrame:
         scored = model.parts[0].transform(assemble(
             d.select("*", *[F.when(num(d, c) > float(model.params.get("binarize", 0.0)), 1.0).otherwise(0.0).alias(f"__b{i}")
                             for i, c in enumerate(model.features)]), [f"__b{i}" for i in range(len(model.features))]))
-    if model.task == "classification":
+    if "prior_shift" in model.data:
+        shift = F.array(*[F.lit(v) for v in model.data["prior_shift"]])
+        scored = scored.withColumn("__l", F.zip_with(vector_to_array("__r"), shift, lambda a, b: a + b))
+        scored = scored.withColumn("__e", F.transform("__l", lambda v: F.exp(v - F.array_max("__l"))))
+        scored = scored.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda a, v: a + v))
+        scored = (scored.withColumn("probability", F.transform("__e", lambda v: v / F.col("__t"))).drop("__l", "__e", "__t")
+                  .withColumn("__p", (F.array_position("probability", F.array_max("probability")) - 1).cast("double")))
+    elif model.task == "classification":
         if "__pr" in scored.columns:
             scored = scored.withColumn("probability", vector_to_array("__pr"))
         elif "__r" in scored.columns:

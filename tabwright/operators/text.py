@@ -11,7 +11,7 @@ from .. import fixed_values as V
 from ..core import Operator, nn, operator, q, with_columns
 from ..functions.expressions import word_tokens
 from ..plans.lookup import size_checked_join
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 MAX_WIDE_TERMS = 10_000
 
@@ -114,7 +114,8 @@ def term_counts(df: DataFrame, key: list[str], columns: list[str], binary: bool
     that refers to an expression would compute it again for each element.
     """
     keys = [q(k) for k in key]
-    d = df.select(*keys, F.sort_array(tokens(joined_text(df, columns), **opts)).alias("__s"))
+    narrow = spread(df.select(*keys, joined_text(df, columns).alias("__x")))
+    d = narrow.select(*keys, F.sort_array(tokens(q("__x"), **opts)).alias("__s"))
     every = F.when(F.size("__s") > 0, F.sequence(F.lit(0), F.greatest(F.size("__s") - 1, F.lit(0))))
     d = d.select(*keys, "__s", F.filter(every, lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1))).alias("__b"))
     runs = F.transform("__b", lambda i, j: F.struct(

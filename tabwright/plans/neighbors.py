@@ -222,7 +222,7 @@ def _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
             x = _matrix(pdf["v"], p)
             pdf["leaf"] = tree.assign(np.where(np.isnan(x), fill, x) if missing else x).astype("int32")
             yield pdf
-    rl = rt.mapInPandas(add_leaf, T.StructType(rt.schema.fields + [T.StructField("leaf", T.IntegerType())]))
+    rl = rt.mapInPandas(add_leaf, _with_leaf(rt.schema))
     rl = rl.persist(StorageLevel.MEMORY_AND_DISK)
     boxes = _boxes(rl, p)
     chunks = {leaf: max(1, math.ceil(n / (4 * leaf_rows))) for leaf, n in boxes["count"].items()}
@@ -254,7 +254,7 @@ def _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
             best = np.argmin(bounds(x), axis=1) if len(pdf) else np.zeros(0, int)
             pdf["leaf"] = np.array(ids)[best].astype("int32")
             yield pdf
-    l_type = T.StructType(lt.schema.fields + [T.StructField("leaf", T.IntegerType())])
+    l_type = _with_leaf(lt.schema)
     # phase 1: the home leaf gives a bound on the k-th distance
     home = lt.mapInPandas(homes, l_type).persist(StorageLevel.MEMORY_AND_DISK)
     first = _meet(home, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type)
@@ -282,6 +282,12 @@ def _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
     return first.unionByName(second)
 
 
+def _with_leaf(schema: T.StructType) -> T.StructType:
+    """Adds the leaf; coordinates may come back from pandas as nulls where they were NaN."""
+    fields = [T.StructField("v", T.ArrayType(T.DoubleType(), True)) if f.name == "v" else f for f in schema.fields]
+    return T.StructType(fields + [T.StructField("leaf", T.IntegerType())])
+
+
 def _thin_copies(rt, rk, k, n):
     """Keep the k smallest keys of every set of identical points, if there are many copies.
 

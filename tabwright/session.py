@@ -50,3 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_table_path(spark: SparkSession, name: str) -> str:
     import uuid
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+SMALL_INPUT_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives in a few splits; larger tables are left as they are."""
+    want = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_INPUT_SPLITS)
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -49,6 +49,50 @@ def model_linear_regression(spark, sf):
     return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"), "slope", "intercept")
 
 
+ONE = "(SELECT l_quantity AS x, l_quantity / 10 + l_discount * 20 AS y FROM lineitem)"
+
+
+def _one_feature(spark, sf, name, **params):
+    d = table(spark, sf, "lineitem").select(q("l_quantity").alias("x"), (F.col("l_quantity") / 10 + F.col("l_discount") * 20).alias("y"))
+    m = fit_model(name, d, ["x"], "y", **params).parts[0]
+    return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"), "slope", "intercept", digits=5)
+
+
+@query("S15", f"""WITH s AS (SELECT covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + 1000000) AS b, avg(x) AS mx, avg(y) AS my FROM {ONE}) SELECT round(b, 5) AS slope, round(my - b * mx, 5) AS intercept FROM s""")
+def model_ridge_closed_form(spark, sf):
+    return _one_feature(spark, sf, "ridge_regression", alpha=1_000_000)
+
+
+@query("S16", f"""WITH s AS (SELECT greatest(covar_pop(y, x) - 2, 0) / var_pop(x) AS b, avg(x) AS mx, avg(y) AS my FROM {ONE}) SELECT round(b, 5) AS slope, round(my - b * mx, 5) AS intercept FROM s""")
+def model_lasso_closed_form(spark, sf):
+    return _one_feature(spark, sf, "lasso_regression", alpha=2)
+
+
+@query("S17", f"""WITH s AS (SELECT greatest(covar_pop(y, x) - 2 * 0.25, 0) / (var_pop(x) + 2 * 0.75) AS b, avg(x) AS mx, avg(y) AS my FROM {ONE}) SELECT round(b, 5) AS slope, round(my - b * mx, 5) AS intercept FROM s""")
+def model_elasticnet_closed_form(spark, sf):
+    return _one_feature(spark, sf, "elasticnet_regression", alpha=2, l1_ratio=0.25)
+
+
+@query("S10", """WITH d AS (SELECT c_custkey, c_acctbal / 1000 AS x, c_nationkey::DOUBLE AS z, c_mktsegment AS k FROM customer), e AS (SELECT 1e-9 * greatest(var_pop(x), var_pop(z)) AS e FROM d),
+  g AS (SELECT k, count(*) / (SELECT count(*) FROM d) AS pr, avg(x) AS mx, var_pop(x) + e AS vx, avg(z) AS mz, var_pop(z) + e AS vz FROM d, e GROUP BY k, e),
+  l AS (SELECT c_custkey, g.k, ln(pr) - 0.5 * ln(2 * pi() * vx) - pow(x - mx, 2) / (2 * vx) - 0.5 * ln(2 * pi() * vz) - pow(z - mz, 2) / (2 * vz) AS s FROM d, g),
+  p AS (SELECT c_custkey, k, exp(s - max(s) OVER (PARTITION BY c_custkey)) AS u FROM l) SELECT c_custkey, max_by(k, u) AS prediction, round(max(u) / sum(u), 5) AS best FROM p GROUP BY 1""")
+def model_gaussian_nb_scores(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("z"), "c_mktsegment")
+    p = fit_model("gaussian_nb", d, ["x", "z"], "c_mktsegment").predict(d)
+    return p.select("c_custkey", "prediction", r6(F.array_max("probability"), 5).alias("best"))
+
+
+@query("S11", """WITH d AS (SELECT c_custkey, abs(c_acctbal) / 1000 AS x, c_nationkey::DOUBLE AS z, c_mktsegment AS k FROM customer),
+  g AS (SELECT k, count(*) / (SELECT count(*) FROM d) AS pr, (sum(x) + 1) / (sum(x) + sum(z) + 2) AS tx, (sum(z) + 1) / (sum(x) + sum(z) + 2) AS tz FROM d GROUP BY k),
+  l AS (SELECT c_custkey, g.k, ln(pr) + x * ln(tx) + z * ln(tz) AS s FROM d, g), p AS (SELECT c_custkey, k, exp(s - max(s) OVER (PARTITION BY c_custkey)) AS u FROM l)
+  SELECT c_custkey, round(max(u) / sum(u), 3) AS best FROM p GROUP BY 1""")
+def model_multinomial_nb_scores(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", (F.abs("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("z"), "c_mktsegment")
+    p = fit_model("multinomial_nb", d, ["x", "z"], "c_mktsegment").predict(d)
+    return p.select("c_custkey", r6(F.array_max("probability"), 3).alias("best"))
+
+
 @query("S2")
 def model_calibrated(spark, sf):
     d = _lines(spark, sf)
