@@ -85,10 +85,10 @@ def score_table(df: DataFrame, positive: Column, score: Column) -> DataFrame:
 def binary_areas(df: DataFrame, positive: Column, score: Column) -> dict[str, float]:
     """ROC-AUC by the rank formula with ties, PR-AUC as average precision."""
     t = score_table(df, positive, score)
-    P, N = t.agg(F.sum("pos"), F.sum("neg")).first()
+    P, N, m = t.agg(F.sum("pos"), F.sum("neg"), F.count("*")).first()
     if not P or not N:
         return {"roc_auc": math.nan, "pr_auc": math.nan}
-    r = running_totals(t, "s", ["pos", "neg"])
+    r = running_totals(t, "s", ["pos", "neg"], n=m)
     tp = F.lit(P) - F.col("cum_pos") + F.col("pos")
     fp = F.lit(N) - F.col("cum_neg") + F.col("neg")
     auc, ap = r.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)) / F.lit(P * N),
@@ -125,7 +125,7 @@ def curve_points(df: DataFrame, positive: Column, score: Column, limit: int = 10
     """(threshold, fpr, tpr, precision): ROC and PR points, at most ``limit`` evenly spaced ones."""
     t = score_table(df, positive, score).withColumn("k", F.lit(1.0))
     P, N, m = t.agg(F.sum("pos"), F.sum("neg"), F.count("*")).first()
-    r = running_totals(t, "s", ["pos", "neg", "k"])
+    r = running_totals(t, "s", ["pos", "neg", "k"], n=m)
     tp = F.lit(P) - F.col("cum_pos") + F.col("pos")
     fp = F.lit(N) - F.col("cum_neg") + F.col("neg")
     step = max(1, math.ceil(m / limit))

@@ -34,14 +34,14 @@ def add_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_
 
 
 def running_totals(df: DataFrame, value: str, totals: Sequence[str],
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET, n: int | None = None) -> DataFrame:
     """Add ``cum_<t>`` (inclusive, ascending value) and ``next_value``.
 
     ``value`` must be a non-null double and distinct: callers group by it first, so a value that
     holds a third of all rows is one row here. Range buckets are windowed apart and shifted by
     the totals of the buckets below, a table with one row per bucket.
     """
-    bounds = range_bounds(df, value, rows_per_bucket)
+    bounds = range_bounds(df, value, rows_per_bucket, n)
     b = add_bucket(df, value, bounds)
     w = W.partitionBy("__bucket").orderBy(q(value))
     run = w.rowsBetween(W.unboundedPreceding, 0)

@@ -72,11 +72,11 @@ def distribution_distance(ref: DataFrame, cur: DataFrame, column: str) -> tuple[
     both = (ref.select(num(ref, column).alias("v"), F.lit(1.0).alias("r"), F.lit(0.0).alias("c"))
             .unionByName(cur.select(num(cur, column).alias("v"), F.lit(0.0).alias("r"), F.lit(1.0).alias("c")))
             .where("v is not null").groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
-    nr, nc = both.agg(F.sum("r"), F.sum("c")).first()
+    nr, nc, m = both.agg(F.sum("r"), F.sum("c"), F.count("*")).first()
     if not nr or not nc:
         return math.nan, math.nan, int(nr or 0), int(nc or 0)
     gap = F.abs(F.col("cum_r") / F.lit(nr) - F.col("cum_c") / F.lit(nc))
-    d, w = running_totals(both, "v", ["r", "c"]).agg(
+    d, w = running_totals(both, "v", ["r", "c"], n=m).agg(
         F.max(gap), F.sum(gap * (F.col("next_value") - F.col("v")))).first()
     return d, w or 0.0, int(nr), int(nc)
 

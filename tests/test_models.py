@@ -36,13 +36,14 @@ def test_linear_models_match_closed_form(spark, blobs):
                                          ("k_neighbors_classifier", {"key_columns": ["id"]}), ("decision_tree_classifier", {"max_depth": 4}),
                                          ("voting_classifier", {"base_estimators": ["logistic_regression", "gaussian_nb"], "voting": "hard"})])
 def test_classifiers_separate_blobs(blobs, name, params):
-    m = fit_model(name, blobs, ["x", "y"], "kind", **params)
-    assert evaluate(m, blobs)["accuracy"] > 0.85
+    out = fit_model(name, blobs, ["x", "y"], "kind", **params).predict(blobs)
+    assert out.where("prediction = kind").count() > 0.85 * 180
 
 
 def test_saved_model_predicts_the_same(spark, blobs, tmp_path):
     for name in ("logistic_regression", "adaboost_regressor"):
-        m = fit_model(name, blobs, ["x", "y"], "kind" if "logistic" in name else "v")
+        extra = {} if "logistic" in name else {"n_estimators": 3}
+        m = fit_model(name, blobs, ["x", "y"], "kind" if "logistic" in name else "v", **extra)
         m.save(str(tmp_path / name))
         again = load_model(str(tmp_path / name))
         assert again.predict(blobs).select("prediction").collect() == m.predict(blobs).select("prediction").collect()
