@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: rows without an id sort behind all others
 LAST = (1 << 63) - 1
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
