@@ -74,15 +74,16 @@ class Words:
         inside = ~apart[buf]
         n = len(buf)
         edge = np.zeros(n + 1, bool)
+        both = np.zeros(0, np.int64)
         if n:
             edge[1:n] = inside[1:] != inside[:-1]
             edge[0], edge[n] = inside[0], inside[-1]
-            cut = off[1:-1]
+            cut = np.unique(off[1:-1])
             cut = cut[(cut > 0) & (cut < n)]
             both = cut[inside[cut] & inside[cut - 1]]
             edge[both] = False
         at = np.flatnonzero(edge)
-        if n and len(both):
+        if len(both):
             at = np.sort(np.concatenate([at, both, both]), kind="stable")
         self.start, self.end, self.buf = at[0::2], at[1::2], buf
         self.first = np.searchsorted(self.start, off)
@@ -111,13 +112,25 @@ class Words:
         return mix(out)
 
 
+def gather(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The given slices, one after another; place numbers are made for a bounded number of items at a time."""
+    off = np.concatenate([[0], np.cumsum(lens)])
+    out = np.empty(int(off[-1]), buf.dtype)
+    a = 0
+    while a < len(lens):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + step, "right")) - 1)
+        if b == a + 1:
+            out[off[a]: off[b]] = buf[starts[a]: starts[a] + lens[a]]
+        else:
+            out[off[a]: off[b]] = buf[spread_ranges(starts[a:b], lens[a:b])]
+        a = b
+    return out
+
+
 def gather_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary column of the given slices."""
     lens = ends - starts
-    off = np.zeros(len(lens) + 1, np.int64)
-    np.cumsum(lens, out=off[1:])
-    data = buf[spread_ranges(starts, lens)] if len(lens) else np.zeros(0, np.uint8)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+    return from_bytes(gather(buf, starts, lens), np.concatenate([[0], np.cumsum(lens)]))
 
 
 def from_bytes(data: np.ndarray, off: np.ndarray, kind=pa.large_binary()) -> pa.Array:

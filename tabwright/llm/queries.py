@@ -1,11 +1,12 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
-from . import recompression, sentencepiece_bpe, suffix_dedup, token_codes
+from . import near_dedup, recompression, sentencepiece_bpe, suffix_dedup, token_codes
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_token_codes": token_codes.op3_token_codes,
     "op4_recompression_dedup": recompression.op4_recompression_dedup,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
 }
 

@@ -100,7 +100,7 @@ def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray, last: np.ndarray
     lens = end - start + 1
     begin = np.concatenate([[0], np.cumsum(lens)])
     padded = np.append(buf, np.uint8(32))
-    out = padded[A.spread_ranges(start, lens)]
+    out = A.gather(padded, start, lens)
     out[begin[1:] - 1] = 32
     if last is not None and last.any():
         keep = np.ones(len(out), bool)
@@ -152,6 +152,9 @@ class WordWindows(Scheme):
         word = p[s]
         return norm, Runs(row[s], word - first[row[s]], count, name[where[s]], begin[word], begin[word + count + width - 1] - 1)
 
+    def units(self, buf, off):
+        return np.diff(A.Words(buf, off).first)
+
     def single(self, buf, r):
         # content words are parted by one space: each window starts after one of the first count - 1 spaces
         data, first, count = [], [], []

@@ -28,7 +28,7 @@ GRAM = 20
 BLOCK = 1 << 16
 HOT = 20_000
 PART = 0xFF
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -171,6 +171,9 @@ class ByteWindows(Scheme):
         first, last, seed, row = first[keep], last[keep], seed[keep], row[keep]
         return buf, Runs(row, first - off[row], last - first, seed, first, last + w - 1)
 
+    def units(self, buf, off):
+        return np.diff(off)
+
     def single(self, buf: np.ndarray, r: Runs) -> Runs:
         of = np.repeat(np.arange(len(r.row)), r.count)
         step = A.spread_ranges(np.zeros(len(r.row), np.int64), r.count)
@@ -214,7 +217,7 @@ class ByteWindows(Scheme):
         lens = off[piece + 1] - off[piece]
         text = np.full(int((lens + 1).sum()), PART, np.uint8)
         begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-        text[A.spread_ranges(begin, lens)] = data[A.spread_ranges(off[piece], lens)]
+        text[A.spread_ranges(begin, lens)] = A.gather(data, off[piece], lens)
         sa = suffix_array(text)
         lcp = common_prefixes(text, sa)
         holds = np.full(len(text), -1, np.int64)

@@ -5,7 +5,8 @@ seed inside it from its content alone, so equal windows have equal seeds, wherev
 five passes over groups of whole documents (all read one exchange of the documents):
 
 1. seeds:    every group sends its distinct seed hashes to hash buckets; a bucket answers which of them more than
-             one document has. Only windows with such a seed can repeat.
+             one document has. Only windows with such a seed can repeat. Fingerprints of the texts go along: a copy
+             of a smaller document is covered as a whole and sends nothing further.
 2. contents: a group cuts the stretches of windows with the same shared seed, drops equal stretches (all but the
              smallest document's are covered at once) and sends each distinct one to its seed's bucket.
 3. shards:   a bucket finds, for every window of its stretches, the smallest document that has it. How is the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from math import ceil
 
 import numpy as np
@@ -33,7 +35,8 @@ from . import arrays as A
 from .tables import GROUP_BYTES, grouped, keyed, named_id, text_bytes
 
 U = np.uint64
-ANSWER = "part int, shared binary, hot binary"
+SEEDS = "bucket int, part int, hashes binary, counts binary, prints binary, least binary"
+ANSWER = "part int, shared binary, hot binary, prints binary, least binary"
 SENT = "bucket int, part int, data binary, lens binary, seed binary, least binary, item binary, row binary, at binary, spans binary"
 SPANS = "part int, spans binary"
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
@@ -62,6 +65,10 @@ class Scheme:
         """Normalised bytes that the slices refer to, and the stretches of all windows."""
         raise NotImplementedError
 
+    def units(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Units of each text."""
+        raise NotImplementedError
+
     def single(self, buf: np.ndarray, runs: Runs) -> Runs:
         """The same windows as stretches of one window each."""
         raise NotImplementedError
@@ -88,6 +95,22 @@ def in_order(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return key[order], text.take(pa.array(order))
 
 
+def _prints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """128-bit fingerprints of texts."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    return np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off[:-1], off[1:])), "<u8").reshape(-1, 2)
+
+
+def _first_of(prints: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by print, starts of equal ones, smallest key of each."""
+    order = np.lexsort((key, prints[:, 1], prints[:, 0]))
+    p = prints[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]).any(1)
+    start = np.flatnonzero(new)
+    return order, start, key[order][start]
+
+
 def _rows_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -105,7 +128,7 @@ def _seed_rows(scheme: Scheme, buckets: int):
     """Pass 1 of a group: bucket, part, seed hashes whose lowest bit says that several rows here have it, and their row counts."""
     def seeds(key, table):
         part = key[0].as_py()
-        _, text = in_order(table)
+        ids, text = in_order(table)
         buf, off = A.column_bytes(text)
         found = []
         for a, b in A.row_chunks(off):
@@ -120,32 +143,56 @@ def _seed_rows(scheme: Scheme, buckets: int):
         rows = []
         bucket = A.bucket_of(h, buckets)
         for b, at in _rows_by(bucket):
-            rows.append((b, part, A.pack(mark[at]), A.pack(n[at][n[at] > 1].astype("<u4"))))
-        return _batches("bucket int, part int, hashes binary, counts binary", rows)
+            rows.append((b, part, A.pack(mark[at]), A.pack(n[at][n[at] > 1].astype("<u4")), None, None))
+        prints = _prints(buf, off)
+        order, start, least = _first_of(prints, ids)
+        prints = prints[order[start]]
+        for b, at in _rows_by(A.bucket_of(prints[:, 0], buckets)):
+            rows.append((b, part, None, None, A.pack(prints[at]), A.pack(least[at])))
+        return _batches(SEEDS, rows)
     return seeds
 
 
+def _copies(table) -> list[tuple]:
+    """Which groups hold texts that a smaller document of another group has."""
+    if not table.num_rows:
+        return []
+    each = [A.unpack(x, "<u8").reshape(-1, 2) for x in table["prints"].to_pylist()]
+    keys = [A.unpack(x, "<i8") for x in table["least"].to_pylist()]
+    part = np.repeat(table["part"].to_numpy(), [len(x) for x in keys])
+    prints, key = np.concatenate(each), np.concatenate(keys)
+    order, start, least = _first_of(prints, key)
+    first = np.empty(len(key), np.int64)
+    first[order] = np.repeat(least, np.diff(np.append(start, len(key))))
+    late = np.flatnonzero(first < key)
+    return [(p, None, None, A.pack(prints[late[at]]), A.pack(first[late[at]])) for p, at in _rows_by(part[late])]
+
+
 def _answer(hot: int):
     """Pass 1 of a bucket: which hashes more than one row has, and which of them very many."""
     def answer(table):
+        rows = _copies(table.filter(pc.is_valid(table["prints"])))
+        table = table.filter(pc.is_valid(table["hashes"]))
         part = table["part"].to_numpy()
         each = [A.unpack(x, "<u8") for x in table["hashes"].to_pylist()]
+        if not each:
+            return _batches(ANSWER, rows)
         h = np.concatenate(each)
         n = np.ones(len(h), np.int64)
         n[(h & U(1)) == U(1)] = np.concatenate([A.unpack(x, "<u4") for x in table["counts"].to_pylist()])
-        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        h = h & ~U(1)
+        h &= ~U(1)
         order = np.argsort(h, kind="stable")
         s = h[order]
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         total = np.add.reduceat(n[order], begin)
         state = np.zeros(len(h), np.int8)
         state[order] = np.repeat((total > 1).astype(np.int8) + (total >= hot), np.diff(np.append(begin, len(s))))
-        rows = []
-        for i, x in enumerate(np.split(np.arange(len(h)), np.flatnonzero(np.diff(owner)) + 1)):
-            got = x[state[x] > 0]
-            if len(got):
-                rows.append((int(part[i]), A.pack(h[got]), A.pack(h[got[state[got] == 2]])))
+        at = 0
+        for i, x in enumerate(each):
+            mine, own = h[at: at + len(x)], state[at: at + len(x)]
+            at += len(x)
+            if own.any():
+                rows.append((int(part[i]), A.pack(mine[own > 0]), A.pack(mine[own == 2]), None, None))
         return _batches(ANSWER, rows)
     return answer
 
@@ -163,6 +210,19 @@ def _known(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def _later_copies(prints: np.ndarray, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Rows whose whole text a smaller document has, here or in another group."""
+    order, start, least = _first_of(prints, ids)
+    known = answers.filter(pc.is_valid(answers["prints"]))
+    if known.num_rows:
+        there, key = _joined(known, "prints", "<u8").reshape(-1, 2), _joined(known, "least", "<i8")
+        both = np.concatenate([prints, there])
+        order, start, least = _first_of(both, np.concatenate([ids, key]))
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(least, np.diff(np.append(start, len(order))))
+    return first[: len(ids)] < ids
+
+
 def _content_rows(scheme: Scheme, buckets: int):
     """Pass 2 of a group: distinct stretches for the seed buckets, and spans that are certain here already."""
     def contents(key, docs, answers):
@@ -172,22 +232,28 @@ def _content_rows(scheme: Scheme, buckets: int):
             return _batches(SENT, [])
         ids, text = in_order(docs)
         buf, off = A.column_bytes(text)
+        copy = _later_copies(_prints(buf, off), ids, answers)
+        rows = []
+        if copy.any():
+            n = np.concatenate([scheme.units(buf[off[a]: off[b]], off[a: b + 1] - off[a]) for a, b in A.row_chunks(off)])
+            at = np.flatnonzero(copy & (n >= scheme.width))
+            rows.append((int(part) % buckets, part, None, None, None, None, None, None, None, A.pack(_spans(at, np.zeros(len(at), np.int64), n[at]))))
         columns, runs = [], []
         for a, b in A.row_chunks(off):
             norm, r = scheme.runs(buf[off[a]: off[b]], off[a: b + 1] - off[a])
-            r = r.take(np.flatnonzero(_known(r.seed & ~U(1), shared)))
+            r = r.take(np.flatnonzero(_known(r.seed & ~U(1), shared) & ~copy[a:b][r.row]))
             much = _known(r.seed & ~U(1), hot)
             kinds = [(r.take(np.flatnonzero(~much)), False)] + ([(scheme.single(norm, r.take(np.flatnonzero(much))), True)] if much.any() else [])
             for q, alone in kinds:
-                for lo in range(0, len(q.row), 1 << 16):
-                    p = q.take(np.arange(lo, min(lo + (1 << 16), len(q.row))))
+                for lo in range(0, len(q.row), 1 << 14):
+                    p = q.take(np.arange(lo, min(lo + (1 << 14), len(q.row))))
                     columns.append(A.gather_bytes(norm, p.start, p.end))
                     p.row = p.row + a
                     if alone:
                         p.seed = np.full(len(p.row), 1, U)
                     runs.append(p)
         if not runs:
-            return _batches(SENT, [])
+            return _batches(SENT, rows)
         r = Runs(*(np.concatenate([getattr(x, k) for x in runs]) for k in ("row", "first", "count", "seed", "start", "end")))
         code = pa.chunked_array(columns).dictionary_encode().unify_dictionaries()
         index = np.concatenate([x.indices.to_numpy() for x in code.chunks]).astype(np.int64)
@@ -198,10 +264,9 @@ def _content_rows(scheme: Scheme, buckets: int):
         seed[index] = r.seed
         mine = ids[r.row] == least[index]
         certain = np.flatnonzero(~mine)
-        rows = []
         if len(certain):
-            rows.append(_spans(r.row[certain], r.first[certain], r.first[certain] + r.count[certain] + (scheme.width - 1)))
-            rows = [(int(part) % buckets, part, None, None, None, None, None, None, None, A.pack(rows[0]))]
+            spans = _spans(r.row[certain], r.first[certain], r.first[certain] + r.count[certain] + (scheme.width - 1))
+            rows.append((int(part) % buckets, part, None, None, None, None, None, None, None, A.pack(spans)))
         alone = seed == U(1)
         seed[alone] = slice_hashes(data, doff[:-1][alone], doff[1:][alone]) | U(1)
         bucket = A.bucket_of(seed, buckets)
@@ -212,7 +277,7 @@ def _content_rows(scheme: Scheme, buckets: int):
             lo, hi = np.searchsorted(held, at), np.searchsorted(held, at, "right")
             e = entry[A.spread_ranges(lo, hi - lo)]
             lens = doff[at + 1] - doff[at]
-            rows.append((b, part, A.pack(data[A.spread_ranges(doff[at], lens)]), A.pack(lens.astype("<u4")), A.pack(seed[at]), A.pack(least[at]),
+            rows.append((b, part, A.pack(A.gather(data, doff[at], lens)), A.pack(lens.astype("<u4")), A.pack(seed[at]), A.pack(least[at]),
                          A.pack(np.repeat(np.arange(len(at)), hi - lo).astype("<i4")), A.pack(r.row[e].astype("<i4")), A.pack(r.first[e].astype("<i8")), None))
         return _batches(SENT, rows)
     return contents
@@ -294,11 +359,10 @@ def remove_repeated_windows(docs: DataFrame, scheme: Scheme, kinds: pa.Schema, d
     """The five passes. Columns: key and what the scheme's `cut` gives (`kinds`, `ddl`)."""
     base = keyed(docs, id_col, text_col)
     groups = max(64, ceil(text_bytes(base) / group_bytes))
-    buckets = max(64, groups // 2)
     parts = grouped(base, groups)
-    seeds = parts.groupBy("part").applyInArrow(_seed_rows(scheme, buckets), "bucket int, part int, hashes binary, counts binary")
+    seeds = parts.groupBy("part").applyInArrow(_seed_rows(scheme, groups), SEEDS)
     answers = seeds.groupBy("bucket").applyInArrow(_answer(hot), ANSWER)
-    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_content_rows(scheme, buckets), SENT)
+    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_content_rows(scheme, groups), SENT)
     spans = contents.groupBy("bucket").applyInArrow(_shard(scheme), SPANS)
     out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut(scheme, kinds), ddl)
     return out.withColumn("key", named_id())

@@ -51,3 +51,33 @@ def words(docs, width=50):
 
 def in_order(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def near(docs, threshold=85):
+    """Links between all pairs on whole sets, and their components."""
+    rows, sets = [], []
+    for k, t in rows_of(docs):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t)]
+        rows.append(k)
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root = {k: k for k in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    for i, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if LAST not in (rows[i], rows[j]) and 100 * n >= threshold * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(rows[i]), find(rows[j])))
+                root[b] = a
+    return [(None, len(s), None, True) if k == LAST else (k, len(s), find(k), find(k) == k) for k, s in zip(rows, sets)]
