@@ -32,6 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give memory that a finished group used back to the system: a worker lives on through other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its offsets (rows + 1). Null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

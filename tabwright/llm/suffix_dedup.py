@@ -28,7 +28,7 @@ GRAM = 20
 BLOCK = 1 << 16
 HOT = 20_000
 PART = 0xFF
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:

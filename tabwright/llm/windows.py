@@ -313,7 +313,8 @@ def _shard(scheme: Scheme):
         table = table.filter(pc.is_valid(table["data"]))
         if not table.num_rows:
             return _batches(SPANS, plain)
-        data = np.concatenate([np.frombuffer(x, np.uint8) for x in table["data"].to_pylist()])
+        data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["data"]])
+        table = table.drop_columns(["data"])
         per_row = [A.unpack(x, "<u4") for x in table["lens"].to_pylist()]
         lens = np.concatenate(per_row).astype(np.int64)
         off = np.concatenate([[0], np.cumsum(lens)])
@@ -326,6 +327,7 @@ def _shard(scheme: Scheme):
         kind = np.zeros(n, U)
         kind[index] = seed
         ddata, doff = A.column_bytes(code.dictionary)
+        del data, code
         woff, early = scheme.earliest(ddata, doff, kind, best)
         base = np.concatenate([[0], np.cumsum([len(x) for x in per_row])])
         out = list(plain)
@@ -355,14 +357,24 @@ def _cut(scheme: Scheme, kinds: pa.Schema):
     return cut
 
 
+def _released(run, arguments: int):
+    """The function of a group, after which the worker gives memory back."""
+    def done(*given):
+        try:
+            return run(*given)
+        finally:
+            A.release()
+    return {1: lambda a: done(a), 2: lambda a, b: done(a, b), 3: lambda a, b, c: done(a, b, c)}[arguments]
+
+
 def remove_repeated_windows(docs: DataFrame, scheme: Scheme, kinds: pa.Schema, ddl: str, id_col: str, text_col: str, hot: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The five passes. Columns: key and what the scheme's `cut` gives (`kinds`, `ddl`)."""
     base = keyed(docs, id_col, text_col)
     groups = max(64, ceil(text_bytes(base) / group_bytes))
     parts = grouped(base, groups)
-    seeds = parts.groupBy("part").applyInArrow(_seed_rows(scheme, groups), SEEDS)
-    answers = seeds.groupBy("bucket").applyInArrow(_answer(hot), ANSWER)
-    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_content_rows(scheme, groups), SENT)
-    spans = contents.groupBy("bucket").applyInArrow(_shard(scheme), SPANS)
-    out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut(scheme, kinds), ddl)
+    seeds = parts.groupBy("part").applyInArrow(_released(_seed_rows(scheme, groups), 2), SEEDS)
+    answers = seeds.groupBy("bucket").applyInArrow(_released(_answer(hot), 1), ANSWER)
+    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_released(_content_rows(scheme, 2 * groups), 3), SENT)
+    spans = contents.groupBy("bucket").applyInArrow(_released(_shard(scheme), 1), SPANS)
+    out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_released(_cut(scheme, kinds), 3), ddl)
     return out.withColumn("key", named_id())
