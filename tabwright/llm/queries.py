@@ -1,13 +1,16 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
-from . import near_dedup, recompression, sentencepiece_bpe, suffix_dedup, token_codes
+from . import decontamination, near_dedup, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup, token_codes
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_token_codes": token_codes.op3_token_codes,
     "op4_recompression_dedup": recompression.op4_recompression_dedup,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.OP5_SQL}
