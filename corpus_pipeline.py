@@ -1,17 +1,84 @@
-"""From raw documents to a clean corpus: each stage calls one operator of tabwright.llm; see STAGES."""
+"""From raw documents to token ids: each stage calls one operator of tabwright.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows without an id
+are told apart by their text and stand behind all others. Every stage is defined for null and empty texts, repeated rows and ids,
+empty tables and extra columns; see the operators.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tabwright.llm.decontamination import decontaminate
+from tabwright.llm.near_dedup import minhash_near_dedup
+from tabwright.llm.quality_rules import quality_rules
+from tabwright.llm.sentencepiece_bpe import sentencepiece_encode
+from tabwright.llm.suffix_dedup import suffix_dedup
+from tabwright.session import shared_table_path
+
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key: the id, or beyond all ids a hash of the text."""
+    nameless = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1)
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), nameless))
+
+
+def _restored(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs from rest, with the text of this stage."""
+    held = {"text": F.col(text)} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[held.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that too many texts of their host have."""
+    out = quality_rules(docs).filter("kept")
+    held = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[held.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    carry = [c for c in docs.columns if c != "text"]
+    out = minhash_near_dedup(_keyed(docs), id_col=KEY, carry=carry).filter("kept")
+    return _restored(out, docs, "text")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what a smaller document has already; documents of which nothing is left go."""
+    carry = [c for c in docs.columns if c != "text"]
+    out = suffix_dedup(_keyed(docs), id_col=KEY, whole_chars=True, carry=carry).filter("n_removed = 0 OR kept <> ''")
+    return _restored(out, docs, "kept")
+
+
+def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    keyed = _keyed(docs)
+    leaks = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY).select(KEY).distinct()
+    return keyed.join(leaks, KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the decoded text."""
+    out = sentencepiece_encode(docs)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("test_items", test_items), ("tokens", tokens)]
 
-#: Several stages have no SQL form; the tests compare the result with a plain version.
+#: Near duplicates by components, byte runs and token ids have no SQL form; the tests compare the result with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            path = shared_table_path(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

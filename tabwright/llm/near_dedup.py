@@ -29,7 +29,7 @@ from ..session import cut_lineage
 from . import arrays as A
 from .components import components
 from .tables import GROUP_BYTES, LAST, grouped, keyed, named_id, part_of, text_bytes
-from .windows import _batches, _rows_by, in_order
+from .windows import _batches, _rows_by, in_order, in_order_with
 
 U = np.uint64
 SHINGLE = 5
@@ -248,9 +248,12 @@ def _confirm(threshold: int):
 
 def _labels(key, docs, roots):
     kinds = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("component", pa.int64()), ("kept", pa.bool_())])
+    carried = [c for c in ("rest",) if c in docs.column_names]
+    if carried:
+        kinds = kinds.append(pa.field("text", pa.string())).append(docs.schema.field("rest"))
     if not docs.num_rows:
         return kinds.empty_table()
-    ids, text = in_order(docs)
+    ids, text, order_of_rows = in_order_with(docs)
     buf, off = A.column_bytes(text)
     n = np.concatenate([np.fromiter((len(s) for s in sets_of(buf[off[a]: off[b]], off[a: b + 1] - off[a])), np.int64, b - a) for a, b in A.row_chunks(off)])
     node = roots["node"].to_numpy()
@@ -261,15 +264,19 @@ def _labels(key, docs, roots):
     again = np.zeros(len(ids), bool)
     again[1:] = ids[1:] == ids[:-1]
     kept = (ids == LAST) | ((component == ids) & ~again)
-    return pa.table({"key": ids, "n_shingles": n, "component": component, "kept": kept}, schema=kinds)
+    out = {"key": ids, "n_shingles": n, "component": component, "kept": kept}
+    if carried:
+        out |= {"text": docs["text"].take(order_of_rows), "rest": docs["rest"].take(order_of_rows)}
+    return pa.table(out, schema=kinds)
 
 
-def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= threshold * union.
 
-    One row for each document: the id, n_shingles, component_id (smallest id reachable), kept (it is that one).
+    One row for each document: the id, n_shingles, component_id (smallest id reachable), kept (it is that one), and,
+    if columns are to be carried along, text and rest (a struct of them).
     """
-    base = keyed(docs, id_col, text_col)
+    base = keyed(docs, id_col, text_col, carry)
     groups = max(64, ceil(text_bytes(base) / GROUP_BYTES))
     parts = grouped(base, groups)
     sketches = parts.groupBy("part").applyInArrow(_sketch(groups), "bucket int, keys binary, least binary, prints binary, edges binary, equal binary")
@@ -287,8 +294,9 @@ def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.withColumn("task", F.pmod(F.xxhash64("root", "low", "high"), F.lit(tasks)).cast("int"))
     links = members.groupBy("task").applyInArrow(_confirm(threshold), "u long, v long").unionByName(equal)
     roots = components(links).withColumn("part", part_of("node", groups))
-    out = parts.groupBy("part").cogroup(roots.groupBy("part")).applyInArrow(_labels, "key long, n_shingles long, component long, kept boolean")
-    return out.select(named_id().alias(id_col), "n_shingles", named_id("component").alias("component_id"), "kept")
+    out = parts.groupBy("part").cogroup(roots.groupBy("part")).applyInArrow(
+        _labels, "key long, n_shingles long, component long, kept boolean" + (f", text string, rest {base.schema['rest'].dataType.simpleString()}" if carry else ""))
+    return out.select(named_id().alias(id_col), "n_shingles", named_id("component").alias("component_id"), "kept", *(["text", "rest"] if carry else []))
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

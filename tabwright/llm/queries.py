@@ -1,6 +1,7 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
-from . import decontamination, near_dedup, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup, token_codes
+from . import (decontamination, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
+               token_codes, toxicity)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,6 +12,8 @@ QUERIES = {
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
+    "op9_preference_quality": preference_quality.op9_preference_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op5_quality_rules": quality_rules.OP5_SQL}

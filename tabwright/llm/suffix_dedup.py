@@ -124,11 +124,20 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.maximum(base, 0)[sa]
 
 
+def whole_characters(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shrink spans of UTF-8 bytes until they begin and end between characters."""
+    start, end, padded = start.copy(), end.copy(), np.append(buf, np.uint8(0))
+    for _ in range(3):
+        start += ((padded[start] & 0xC0) == 0x80) & (start < end)
+        end -= ((padded[end] & 0xC0) == 0x80) & (start < end)
+    return start, end
+
+
 class ByteWindows(Scheme):
     """Windows of `width` bytes."""
 
-    def __init__(self, width: int, shard_bytes: int):
-        self.width, self.shard_bytes = width, shard_bytes
+    def __init__(self, width: int, shard_bytes: int, whole_chars: bool = False):
+        self.width, self.shard_bytes, self.whole_chars = width, shard_bytes, whole_chars
 
     def runs(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Runs]:
         n, w = len(buf), self.width
@@ -250,6 +259,8 @@ class ByteWindows(Scheme):
             s = spans[lo:hi]
             row = s["row"].astype(np.int64)
             start, end = off[row] + s["start"], off[row] + s["end"]
+            if self.whole_chars:
+                start, end = whole_characters(buf, start, end)
             edge = np.zeros(int(off[b] - off[a]) + 1, np.int8)
             edge[start - off[a]] += 1
             edge[end - off[a]] -= 1
@@ -258,9 +269,9 @@ class ByteWindows(Scheme):
             lens = np.diff(off[a: b + 1])
             koff = np.concatenate([[0], np.cumsum(lens - gone)])
             soff = np.searchsorted(row, np.arange(a, b + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64))], ["start", "end"])
+            pairs = pa.StructArray.from_arrays([pa.array(start - off[row]), pa.array(end - off[row])], ["start", "end"])
             yield {"key": key[a:b], "n_bytes": lens, "n_removed": gone, "n_spans": np.diff(soff).astype(np.int64), "spans": pa.ListArray.from_arrays(pa.array(soff), pairs),
-                   "kept": A.from_bytes(buf[off[a]: off[b]][keep], koff).cast(pa.binary())}
+                   "kept": A.from_bytes(buf[off[a]: off[b]][keep], koff, pa.large_string()).cast(pa.string()) if self.whole_chars else A.from_bytes(buf[off[a]: off[b]][keep], koff).cast(pa.binary())}
 
 
 KINDS = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -268,14 +279,18 @@ KINDS = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", p
 DDL = "key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, hot: int = HOT, shard_bytes: int = SHARD_BYTES,
+                 whole_chars: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove every byte that a `width`-byte string covers which also starts in a document with a smaller id.
 
-    One row for each document: the id, n_bytes, n_removed, n_spans (maximal removed runs), spans, kept (binary).
+    One row for each document: the id, n_bytes, n_removed, n_spans (maximal removed runs), spans, kept (binary), and rest, a struct
+    of the columns to carry along. With whole_chars spans shrink to whole characters and kept is a string.
     """
     if width < GRAM + 8:
         raise ValueError(f"width must be {GRAM + 8} or more")
-    out = remove_repeated_windows(docs, ByteWindows(width, shard_bytes), KINDS, DDL, id_col, text_col, hot)
+    kinds = KINDS.set(5, pa.field("kept", pa.string())) if whole_chars else KINDS
+    ddl = DDL.replace("kept binary", "kept string") if whole_chars else DDL
+    out = remove_repeated_windows(docs, ByteWindows(width, shard_bytes, whole_chars), kinds, ddl, id_col, text_col, hot, carry)
     return out.withColumnRenamed("key", id_col)
 
 

@@ -9,9 +9,10 @@ LAST = (1 << 63) - 1
 GROUP_BYTES = 6 << 20
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key (the id, null last) and text, whatever other columns there are."""
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """key (the id, null last) and text, whatever other columns there are; rest holds those to be carried along."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), *rest)
 
 
 def text_bytes(frame: DataFrame) -> int:
@@ -21,7 +22,7 @@ def text_bytes(frame: DataFrame) -> int:
 
 def grouped(frame: DataFrame, groups: int) -> DataFrame:
     """Deal whole documents to groups by a hash of the key; passes over the result share one exchange."""
-    return frame.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part"), "key", "text")
+    return frame.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part"), *frame.columns)
 
 
 def part_of(key, groups: int):

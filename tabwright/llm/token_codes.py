@@ -17,8 +17,8 @@ their rows, ordered by text; other columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
-from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -31,13 +31,13 @@ from tokenizers import Tokenizer
 from ..session import shared_table_path
 from . import arrays as A
 from .tables import keyed, named_id, text_bytes
-from .units import Memo, dictionary, text_chunks
+from .units import Memo, text_chunks
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 MAGIC = b"DAC1"
 STRIDE = 512
-IMAGE_TOKENS = 2 << 20
+IMAGE_TOKENS = 1 << 20
 FILE_BYTES = 24 << 20
 
 
@@ -128,18 +128,37 @@ def _memo(vocabulary: str) -> Memo:
         tokenizer = Tokenizer.from_str(vocabulary)
 
         def encode(words: list[bytes]):
-            for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
-                yield (np.array(x.ids, "<u4").tobytes(),)
-        _READY[key] = Memo(encode)
+            ids = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            return [(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)]
+        _READY[key] = Memo(encode, ["<u4"])
     return _READY[key]
 
 
+#: a letter, then one of these: the tokenizer parts there anyway (marks that special tokens hold are not among them)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?#*$%&"]] = True
+
+
 def encode_chunk(text: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each with the end id, and offsets by text. The tokenizer drops white space, and nothing it does crosses it."""
+    """Ids of all texts, each with the end id, and offsets by text.
+
+    The tokenizer drops white space and nothing it does crosses it; it folds case, and parts letters from other marks. So words
+    are encoded apart, and letters apart from the marks after them, unless the chunk might hold a special token."""
     buf, off = A.column_bytes(pc.fill_null(text, ""))
     w = A.Words(buf, off)
-    (ids,) = dictionary(A.gather_bytes(buf, w.start, w.end), memo, ["<u4"])
-    ends = ids.ends[w.first]
+    start, end, first = w.start, w.end, w.first
+    special = (buf[:-1] == ord("<")) & (buf[1:] == ord("|"))
+    if not special.any():
+        inner = np.flatnonzero(_LETTER[buf[:-1]] & _STOP[buf[1:]]) + 1
+        inner = inner[~np.isin(inner, off)] if len(inner) else inner
+        start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
+        first = np.searchsorted(start, off)
+        buf = A.FOLD[buf]
+    (ids,) = memo.answers(A.gather_bytes(buf, start, end))
+    ends = ids.ends[first]
     return np.insert(ids.gather(), ends[1:], END), ends + np.arange(len(ends))
 
 
@@ -161,7 +180,7 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary_path: str | None =
             key, lens, ids = (np.concatenate(x) for x in zip(*held))
             raw = write_image(key, np.concatenate([[0], np.cumsum(lens)]), ids, before, bits)
             return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "place": pa.array([place], pa.int32()), "tokens": pa.array([len(ids)], pa.int64()), "image": pa.array([raw], pa.binary())}), len(ids)
-        for batch, text in text_chunks(batches):
+        for batch, text in text_chunks(batches, limit=1 << 20):
             ids, off = encode_chunk(text, memo)
             held.append((batch.column("key").to_numpy(), np.diff(off), ids))
             if sum(len(x[2]) for x in held) >= image_tokens:
@@ -176,7 +195,7 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary_path: str | None =
 
 
 def read_token_codes(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document, from the images: the id, start (ids of all documents before it), ids (array)."""
+    """One row for each document, from the images: the id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit numbers)."""
     images = spark.read.parquet(path)
     # one row for each file, and as many files as the writer had partitions
     sums = images.groupBy("file").agg(F.sum("tokens").alias("tokens"))
@@ -186,29 +205,17 @@ def read_token_codes(spark: SparkSession, path: str, id_col: str = "doc_id") ->
         for batch in batches:
             for raw, ahead in zip(batch.column("image"), batch.column("ahead").to_pylist()):
                 image = Image(raw.as_py())
-                ids = image.all().astype(np.int32)
-                for a in range(0, len(image.key), 4096):
-                    b = min(a + 4096, len(image.key))
+                ids = image.all().astype("<u4")
+                for a, b in A.row_chunks(image.off, 1 << 18):
                     off = image.off[a: b + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(image.key[a:b]), pa.array(off[:-1] + image.before + ahead),
-                                                      pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(ids[off[0]: off[-1]]))], ["key", "start", "ids"])
-
-    out = images.join(F.broadcast(sums), "file").select("ahead", "image").mapInArrow(run, "key long, start long, ids array<int>")
-    return out.select(named_id().alias(id_col), "start", "ids")
+                    own = A.from_bytes(ids[off[0]: off[-1]].view(np.uint8), 4 * (off - off[0])).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(image.key[a:b]), pa.array(off[:-1] + image.before + ahead), pa.array(np.diff(off)), own], ["key", "start", "n_tokens", "ids"])
 
-
-def with_crc32(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The id, start, n_tokens and the unsigned crc32 of the ids as little-endian 32-bit numbers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            values, off = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            sums = [crc32(values[a:b]) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("start"), pa.array(np.diff(off).astype(np.int64)), pa.array(sums, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
-    return tokens.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    out = images.join(F.broadcast(sums), "file").select("ahead", "image").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return out.select(named_id().alias(id_col), "start", "n_tokens", "ids")
 
 
 def op3_token_codes(spark, sf_dir: str) -> DataFrame:
     path = shared_table_path(spark, "token-codes")
     write_token_codes(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return with_crc32(read_token_codes(spark, path))
+    return read_token_codes(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

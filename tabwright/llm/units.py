@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,49 +11,69 @@ from . import arrays as A
 
 
 class Encoded:
-    """Answers for the distinct items of a chunk: values of all, with offsets, and which item each position is."""
+    """Answers for the distinct items of a chunk: values of all, with start and length of each, and which item each position is."""
 
-    def __init__(self, values: np.ndarray, off: np.ndarray, index: np.ndarray):
-        self.values, self.off, self.index = values, off, index
-        self.lens = np.diff(off)[index]
+    def __init__(self, values: np.ndarray, start: np.ndarray, lens: np.ndarray, index: np.ndarray):
+        self.values, self.start, self.lens = values, start[index], lens[index]
         self.ends = np.concatenate([[0], np.cumsum(self.lens)])
 
     def gather(self) -> np.ndarray:
-        return self.values[A.spread_ranges(self.off[self.index], self.lens)]
+        return A.gather(self.values, self.start, self.lens)
+
+
+class _Generation:
+    """Answers by piece: for each kind the values one after another."""
+
+    def __init__(self, kinds: list):
+        self.place: dict[bytes, int] = {}
+        self.values = [np.zeros(0, k) for k in kinds]
+        self.off = [np.zeros(1, np.int64) for _ in kinds]
+
+    def add(self, pieces: list[bytes], values: list[np.ndarray], lens: list[np.ndarray]) -> None:
+        n = len(self.place)
+        self.place.update(zip(pieces, range(n, n + len(pieces))))
+        self.values = [np.concatenate([a, b]) for a, b in zip(self.values, values)]
+        self.off = [np.concatenate([o, o[-1] + np.cumsum(x)]) for o, x in zip(self.off, lens)]
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        get = self.place.get
+        return np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+
+    def parts(self, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        lens = [o[at + 1] - o[at] for o in self.off]
+        return [A.gather(v, o[at], x) for v, o, x in zip(self.values, self.off, lens)], lens
 
 
 class Memo:
-    """Answers of a worker by piece, started anew beyond a number of entries, so that its memory is bounded."""
-
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[tuple[bytes, ...]]], entries: int = 250_000):
-        self.encode, self.entries, self.held = encode, entries, {}
-
-    def answers(self, pieces: list[bytes]) -> list[tuple[bytes, ...]]:
-        if len(self.held) > self.entries:
-            self.held.clear()
-        held = self.held
-        got = [held.get(p) for p in pieces]
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            for i, x in zip(new, self.encode([pieces[i] for i in new])):
-                got[i] = x
-                if len(pieces[i]) <= 256:
-                    held[pieces[i]] = x
-        return got
-
-
-def dictionary(pieces: pa.Array, memo: Memo, kinds: list) -> list[Encoded]:
-    """Encode a binary column through its distinct values; one Encoded for each part of the answers."""
-    code = pieces.dictionary_encode()
-    index = code.indices.to_numpy().astype(np.int64)
-    answers = memo.answers(code.dictionary.to_pylist())
-    out = []
-    for i, kind in enumerate(kinds):
-        each = [x[i] for x in answers]
-        size = np.dtype(kind).itemsize
-        lens = np.fromiter((len(x) // size for x in each), np.int64, len(each))
-        out.append(Encoded(np.frombuffer(b"".join(each), kind), np.concatenate([[0], np.cumsum(lens)]), index))
-    return out
+    """What a worker has encoded lately. Beyond `entries` the older half goes, so its memory is bounded; frequent pieces move along.
+
+    encode takes pieces and gives, for each kind of answer, the values one after another and their numbers."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], kinds: list, entries: int = 120_000):
+        self.encode, self.kinds, self.entries = encode, kinds, entries
+        self.new, self.old = _Generation(kinds), _Generation(kinds)
+
+    def answers(self, pieces: pa.Array) -> list[Encoded]:
+        """Encode a binary column through its distinct values; one Encoded for each kind."""
+        code = pieces.dictionary_encode()
+        index, distinct = code.indices.to_numpy().astype(np.int64), code.dictionary.to_pylist()
+        if len(self.new.place) > self.entries:
+            self.new, self.old = _Generation(self.kinds), self.new
+        where = self.new.find(distinct)
+        for known in (True, False):
+            lost = np.flatnonzero(where < 0)
+            missing = [distinct[i] for i in lost]
+            if known:
+                at = self.old.find(missing)
+                lost = lost[at >= 0]
+                missing = [distinct[i] for i in lost]
+                values, lens = self.old.parts(at[at >= 0])
+            elif missing:
+                values, lens = (list(x) for x in zip(*self.encode(missing)))
+            if missing:
+                where[lost] = len(self.new.place) + np.arange(len(missing))
+                self.new.add(missing, values, lens)
+        return [Encoded(v, o[where], o[where + 1] - o[where], index) for v, o in zip(self.new.values, self.new.off)]
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = A.CHUNK) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -84,6 +84,11 @@ class Scheme:
 
 def in_order(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Keys and texts of a group in an order that every pass repeats: by key, then text."""
+    return in_order_with(table)[:2]
+
+
+def in_order_with(table: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Keys, texts and the row numbers that put the table into this order."""
     key = table["key"].to_numpy().astype(np.int64)
     text = table["text"].cast(pa.large_string()).combine_chunks()
     if isinstance(text, pa.ChunkedArray):
@@ -92,7 +97,7 @@ def in_order(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     order = np.argsort(key, kind="stable")
     if len(key) > 1 and (np.diff(key[order]) == 0).any():
         order = pc.sort_indices(pa.table({"k": key, "t": text}), [("k", "ascending"), ("t", "ascending")]).to_numpy()
-    return key[order], text.take(pa.array(order))
+    return key[order], text.take(pa.array(order)), pa.array(order)
 
 
 def _prints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -347,13 +352,15 @@ def _shard(scheme: Scheme):
 
 def _cut(scheme: Scheme, kinds: pa.Schema):
     def cut(key, docs, spans):
+        has_rest = "rest" in docs.column_names
         if not docs.num_rows:
-            return kinds.empty_table()
-        ids, text = in_order(docs)
+            return (kinds.append(docs.schema.field("rest")) if has_rest else kinds).empty_table()
+        ids, text, order = in_order_with(docs)
         got = _joined(spans, "spans", SPAN)
         if len(got):
             got = _spans(got["row"], got["start"], got["end"])
-        return pa.concat_tables([pa.table(x, schema=kinds) for x in scheme.cut(ids, text, got)])
+        out = pa.concat_tables([pa.table(x, schema=kinds) for x in scheme.cut(ids, text, got)])
+        return out.append_column("rest", docs["rest"].take(order)) if has_rest else out
     return cut
 
 
@@ -367,14 +374,15 @@ def _released(run, arguments: int):
     return {1: lambda a: done(a), 2: lambda a, b: done(a, b), 3: lambda a, b, c: done(a, b, c)}[arguments]
 
 
-def remove_repeated_windows(docs: DataFrame, scheme: Scheme, kinds: pa.Schema, ddl: str, id_col: str, text_col: str, hot: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """The five passes. Columns: key and what the scheme's `cut` gives (`kinds`, `ddl`)."""
-    base = keyed(docs, id_col, text_col)
+def remove_repeated_windows(docs: DataFrame, scheme: Scheme, kinds: pa.Schema, ddl: str, id_col: str, text_col: str, hot: int,
+                            carry: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The five passes. Columns: key, what the scheme's `cut` gives (`kinds`, `ddl`), and rest, the carried columns."""
+    base = keyed(docs, id_col, text_col, carry)
     groups = max(64, ceil(text_bytes(base) / group_bytes))
     parts = grouped(base, groups)
     seeds = parts.groupBy("part").applyInArrow(_released(_seed_rows(scheme, groups), 2), SEEDS)
     answers = seeds.groupBy("bucket").applyInArrow(_released(_answer(hot), 1), ANSWER)
-    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_released(_content_rows(scheme, 2 * groups), 3), SENT)
+    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_released(_content_rows(scheme, 4 * groups), 3), SENT)
     spans = contents.groupBy("bucket").applyInArrow(_released(_shard(scheme), 1), SPANS)
-    out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_released(_cut(scheme, kinds), 3), ddl)
+    out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_released(_cut(scheme, kinds), 3), ddl + (f", rest {base.schema['rest'].dataType.simpleString()}" if carry else ""))
     return out.withColumn("key", named_id())
