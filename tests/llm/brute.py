@@ -81,3 +81,75 @@ def near(docs, threshold=85):
                 a, b = sorted((find(rows[i]), find(rows[j])))
                 root[b] = a
     return [(None, len(s), None, True) if k == LAST else (k, len(s), find(k), find(k) == k) for k, s in zip(rows, sets)]
+
+
+def repeat_words(w):
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i:i + 3]), []).append(i)
+    return len({i + o for at in seen.values() if len(at) > 1 for i in at for o in range(3)})
+
+
+LOOSE = re.compile("[^A-Za-z0-9\x80-\U0010ffff]+")
+
+
+def loose(t):
+    return [x for x in LOOSE.split(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+
+
+def _shingles(w, k=5):
+    k = min(k, len(w))
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set()
+
+
+def leaks(docs, items, overlap=0.8):
+    """(doc_id, item_id) whose question and answer are in the document, by a scan of all pairs."""
+    out = set()
+    for r in docs:
+        w = loose(r["text"])
+        have = _shingles(w)
+        for i in items:
+            x = loose(i["text"])
+            if not x:
+                continue
+            c = max(1, len(x) * 4 // 5)
+            q, a = _shingles(x[:c]), x[c:] or x[-1:]
+            if len(q & have) < overlap * len(q):
+                continue
+            if len(a) < 5:
+                ok = any(w[k:k + len(a)] == a for k in range(len(w) - len(a) + 1))
+            else:
+                ok = len(_shingles(a) & have) >= overlap * len(_shingles(a))
+            if ok:
+                out.add((r["doc_id"], i["item_id"]))
+    return out
+
+
+def whole_chars(b, c):
+    """Removed runs of bytes, shrunk to whole characters."""
+    out = bytearray(len(c))
+    for m in re.finditer(b"\1+", bytes(c)):
+        s, e = m.span()
+        while s < e and b[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(b) and b[e] & 0xC0 == 0x80:
+            e -= 1
+        out[s:e] = b"\1" * (e - s)
+    return out
+
+
+def pipeline(docs, items, encode):
+    """Rows (doc_id, ids) after all stages; no line is frequent in so small a table, ids are distinct."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs]
+    rows = [(k, t) for k, t in rows for w in [WORD.findall(t)] if len(w) >= 50 and 100 * repeat_words(w) <= 50 * len(w)]
+    kept = {r[0] for r in near([{"doc_id": k, "text": t} for k, t in rows]) if r[3]}
+    rows = [(k, t) for k, t in rows if k in kept]
+    raw = [(k, t.encode()) for k, t in rows]
+    first, after = earliest(raw, 50), []
+    for k, b in raw:
+        c = whole_chars(b, covered(b, first, k, 50))
+        left = bytes(x for x, gone in zip(b, c) if not gone)
+        if left or not any(c):
+            after.append((k, left.decode()))
+    bad = {k for k, _ in leaks([{"doc_id": k, "text": t} for k, t in after], items)}
+    return sorted((k, tuple(encode(t))) for k, t in after if k not in bad)
