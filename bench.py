@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
@@ -62,7 +64,7 @@ def engine_workload(spark, times):
 
 def main() -> None:
     spark = build_session("bench", f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__driver__memory="20g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__ui__showConsoleProgress="false", spark__checkpoint__dir=(shared := tempfile.mkdtemp(prefix="bench-")))
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}
@@ -75,6 +77,7 @@ def main() -> None:
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(SF_DIR.rstrip("/"))}))
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 if __name__ == "__main__":

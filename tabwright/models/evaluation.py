@@ -13,8 +13,6 @@ from ..core import agg_row, num, q
 from ..plans.ordered import running_totals
 from ..plans.quantiles import HOT_GROUP_ROWS
 
-MAX_CELLS = 250_000
-
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return (df.groupBy(q(label).cast("string").alias("actual"), q(prediction).cast("string").alias("predicted"))
@@ -22,12 +20,16 @@ def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(actual, predicted, count) over the full grid of class values."""
-    c = confusion_counts(df, label, prediction).limit(MAX_CELLS + 1).collect()
-    classes = sorted({r["actual"] for r in c} | {r["predicted"] for r in c})
-    got = {(r["actual"], r["predicted"]): r["count"] for r in c}
-    return df.sparkSession.createDataFrame([(a, p, int(got.get((a, p), 0))) for a in classes for p in classes],
-                                           "actual string, predicted string, count long")
+    """(actual, predicted, count) over the full grid of class values, built on the cluster.
+
+    The grid is as large as its definition says (classes squared); ``confusion_counts`` has the occupied cells only. Cells with
+    a null class follow as they occur.
+    """
+    c = confusion_counts(df, label, prediction)
+    classes = c.select(F.explode(F.array("actual", "predicted")).alias("actual")).where("actual is not null").distinct()
+    every = classes.agg(F.collect_list("actual").alias("all"))  # one row
+    grid = classes.join(F.broadcast(every)).select("actual", F.explode("all").alias("predicted"))
+    return grid.join(c, ["actual", "predicted"], "full_outer").select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def metrics_from_counts(cells: dict[tuple[str, str], float], positive: str | None = None) -> dict[str, float]:

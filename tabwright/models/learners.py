@@ -9,6 +9,7 @@ import os
 from dataclasses import dataclass, field
 from typing import Any, Callable, Sequence
 
+import numpy as np
 from pyspark.ml import classification as MC, clustering as ML, regression as MR
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -98,7 +99,7 @@ class Model:
         if m is not None and hasattr(m, "featureImportances"):
             return dict(zip(self.features, [float(v) for v in m.featureImportances.toArray()]))
         if m is not None and hasattr(m, "coefficientMatrix") and self.task == "classification":
-            return dict(zip(self.features, [abs(float(v)) for v in m.coefficientMatrix.toArray()[0]]))
+            return dict(zip(self.features, [float(v) for v in np.linalg.norm(m.coefficientMatrix.toArray(), axis=0)]))  # over all classes
         if m is not None and hasattr(m, "coefficients"):
             return dict(zip(self.features, [abs(float(v)) for v in m.coefficients]))
         return {}
@@ -148,8 +149,11 @@ def load_model(path: str) -> Model:
 # --- learners that are one Spark ML estimator ------------------------------------------------
 
 def _depth(p, default=5):
+    """Spark's trees have at most 30 levels: that is what no limit means here, and more cannot be asked for."""
     d = p.get("max_depth", default)
-    return 20 if d is None else min(int(d), 30)
+    if d is not None and int(d) > 30:
+        raise ValueError("max_depth is 30 at most")
+    return 30 if d is None else int(d)
 
 
 def _forest(p):
@@ -263,7 +267,15 @@ def fit_model(name: str, df: DataFrame, features: Sequence[str] | None = None, t
     if name in CLUSTERERS:
         m = CLUSTERERS[name](params)
         data = assemble(df, features)
-        fitted = m.setFeaturesCol("__x").setPredictionCol("__p").fit(data)
+        m = m.setFeaturesCol("__x").setPredictionCol("__p")
+        starts = params.get("n_init", 10) if isinstance(m, ML.KMeans) else 1
+        starts = 1 if starts == "auto" else max(1, int(starts))
+        if starts == 1:
+            fitted = m.fit(data)
+        else:  # the start with the least cost
+            data = data.persist()
+            fitted = min((m.copy({m.seed: m.getSeed() + i}).fit(data) for i in range(starts)), key=lambda f: f.summary.trainingCost)
+            data.unpersist()
         return Model(name, "clustering", features, None, None, params, [fitted])
     if name in CLASSIFIERS:
         return _fit_classifier(name, df, features, target, params)
@@ -542,7 +554,12 @@ DEFAULT_REGRESSORS = ["linear_regression", "random_forest_regressor"]
 
 def _members(name, params):
     default = DEFAULT_CLASSIFIERS if name.endswith("classifier") else DEFAULT_REGRESSORS
-    return [(m, {}) if isinstance(m, str) else (m["name"], dict(m.get("params") or {})) for m in params.get("base_estimators") or default]
+    out = [(m, {}) if isinstance(m, str) else (m["name"], dict(m.get("params") or {})) for m in params.get("base_estimators") or default]
+    if params.get("calibrate_base_models") and name.endswith("classifier"):
+        wrap = lambda m, p: {"base_estimator": m, "base_params": p, "method": params.get("calibration_method", "sigmoid"), "cv": int(params.get("calibration_cv", 3)),
+                             **{k: params[k] for k in ("key_columns", "random_state") if k in params}}
+        out = [(m, p) if m == "calibrated_classifier" else ("calibrated_classifier", wrap(m, p)) for m, p in out]
+    return out
 
 
 def _voting_fit(name, df, features, target, params):
@@ -605,10 +622,10 @@ def _stacking_fit(name, df, features, target, params):
             rest = folded.where(F.col("__fold") != i)
             fitted = [fit_model(m, rest, features, target, **p) for m, p in members]
             d, names = _meta_features(fitted, folded.where(F.col("__fold") == i), classes)
-            part = d.select(q(target), *names)
+            part = d.select(q(target), *names, *[q(c) for c in fitted[0].features if params.get("passthrough")])
             meta = part if meta is None else meta.unionByName(part)
         final = params.get("final_estimator") or ("logistic_regression" if classify else "ridge_regression")
-        top = fit_model(final, cut_lineage(meta), names, target)
+        top = fit_model(final, cut_lineage(meta), [*names, *(fitted[0].features if params.get("passthrough") else [])], target)
         parts = [fit_model(m, df, features, target, **p) for m, p in members]
     finally:
         folded.unpersist()

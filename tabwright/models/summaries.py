@@ -140,15 +140,15 @@ def outlier_report(df: DataFrame, cols: Sequence[str], key: Sequence[str], conta
         scored.unpersist()
 
 
-def surrogate_rules(df: DataFrame, cols: Sequence[str], target: str, task: str | None = None, max_depth: int = 4, max_classes: int = 10) -> dict:
+def surrogate_rules(df: DataFrame, cols: Sequence[str], target: str, task: str | None = None, max_depth: int = 4, max_classes: int | None = None) -> dict:
     """Rules and importances of a shallow tree."""
     from ..operators.selection import guess_problem_type
     task = task or guess_problem_type(df, target)
     means = agg_row(df, [F.avg(num(df, c)) for c in cols])
     d = df.select(*[F.coalesce(num(df, c), F.lit(m or 0.0)).alias(c) for c, m in zip(cols, means)], q(target))
     if task == "classification":
-        if d.select(q(target)).distinct().limit(max_classes + 1).count() > max_classes:
-            return {}
+        if max_classes is not None and d.select(q(target)).distinct().limit(max_classes + 1).count() > max_classes:
+            raise ValueError(f"{target} has more than {max_classes} classes")
         m = fit_model("decision_tree_classifier", d, list(cols), target, max_depth=max_depth)
         label = lambda v: m.classes[int(v)]
     else:

@@ -367,7 +367,7 @@ class GeoDistance(Operator):
         return with_columns(df, {art["output_column"]: fn(*[num(df, c) for c in names], r)})
 
 
-@operator("GridCell", "H3Index")
+@operator("GridCell")
 class GridCell(Operator):
     description = "Geohash cell of a coordinate pair (a square grid, not hexagons)"
     defaults = {"resolution": 6, "output_column": "geo_cell"}

@@ -155,6 +155,8 @@ class IterativeImputer(Operator):
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression, RandomForestRegressor)
         from ..session import cut_lineage, shared_table_path
+        if "Neighbors" in cfg["estimator"]:
+            raise ValueError("IterativeImputer has no neighbour estimator: use KNNImputer")
         cols = [c for c in choose_columns(df, cfg, numeric_candidates) if is_numeric(df, c)]
         row = agg_row(df, [F.avg(num(df, c)) for c in cols] + [F.count(num(df, c)) for c in cols]
                       + [F.count("*")] + [F.stddev_pop(num(df, c)) for c in cols])
@@ -162,7 +164,7 @@ class IterativeImputer(Operator):
         means, have, n, stds = dict(zip(cols, row[:p])), dict(zip(cols, row[p:2 * p])), row[2 * p], row[2 * p + 1:]
         stds = {c: s or 1.0 for c, s in zip(cols, stds)}
         order = sorted([c for c in cols if 0 < have[c] < n], key=lambda c: n - have[c])
-        linear = cfg["estimator"] in ("BayesianRidge", "bayesian_ridge", "KNeighbors", "KNeighborsRegressor")
+        linear = cfg["estimator"] in ("BayesianRidge", "bayesian_ridge")
         steps = []
         if order and p > 1:
             work = cut_lineage(df.select(

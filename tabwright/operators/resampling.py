@@ -43,6 +43,39 @@ def _totals(df, art):
     return cls, class_totals(df, cls)
 
 
+def class_targets(totals: dict, strategy, over: bool) -> dict:
+    """Rows wanted of each class.
+
+    ``strategy``: auto (over: all but the largest class; under: all but the smallest), all, minority, majority, not minority, not majority; a
+    ratio of smaller to larger class (two classes); or a dict of class -> rows.
+    """
+    small, large = min(totals, key=lambda k: (totals[k], str(k))), max(totals, key=lambda k: (totals[k], str(k)))
+    if isinstance(strategy, dict):
+        asked = {str(k): int(v) for k, v in strategy.items()}
+        if lost := sorted(set(asked) - {str(k) for k in totals}):
+            raise ValueError(f"sampling_strategy names unknown classes: {lost}")
+        want = {k: asked.get(str(k), n) for k, n in totals.items()}
+    elif isinstance(strategy, (int, float)) and not isinstance(strategy, bool):
+        if len(totals) != 2:
+            raise ValueError("a ratio needs two classes")
+        want = dict(totals)
+        if over:
+            want[small] = int(strategy * totals[large])
+        else:
+            want[large] = int(totals[small] / strategy)
+    else:
+        chosen = {"all": list(totals), "minority": [small], "majority": [large], "not minority": [k for k in totals if k != small],
+                  "not majority": [k for k in totals if k != large]}
+        chosen["auto"] = chosen["not majority"] if over else chosen["not minority"]
+        if (strategy or "auto") not in chosen:
+            raise ValueError(f"unknown sampling_strategy {strategy!r}")
+        end = totals[large] if over else totals[small]
+        want = {k: end if k in chosen[strategy or "auto"] else n for k, n in totals.items()}
+    if any((want[k] < n) if over else (want[k] > n) for k, n in totals.items()):
+        raise ValueError(f"sampling_strategy asks for {'fewer' if over else 'more'} rows than a class has")
+    return want
+
+
 def random_unit(keys: list, seed: int):
     """Uniform number in [0, 1) from row keys."""
     return hash_rank(F.concat_ws("|", *keys), seed) / F.lit(float(1 << 52))
@@ -58,13 +91,13 @@ class Oversampling(_Resampler):
 
     def random_over(self, df, art):
         cls, totals = _totals(df, art)
-        top = max(totals.values())
-        extra = {k: top % n for k, n in totals.items()}
+        want = class_targets(totals, art.get("sampling_strategy"), over=True)
+        extra = {k: want[k] % n for k, n in totals.items()}
         marked, cond = smallest_per_class(df, cls, hash_order(art["key_columns"], int(art["random_state"])),
                                           extra, totals)
         times = F.lit(0)
         for k, n in totals.items():
-            times = F.when(cls.eqNullSafe(F.lit(k)), F.lit(top // n)).otherwise(times)
+            times = F.when(cls.eqNullSafe(F.lit(k)), F.lit(want[k] // n)).otherwise(times)
         copies = times + F.when(cond, F.lit(1)).otherwise(F.lit(0))
         return (marked.select(*[q(c) for c in df.columns], copies.alias("__m"))
                 .withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__m")))).drop("__m", "__c"))
@@ -107,11 +140,11 @@ class Oversampling(_Resampler):
 
     def _run(self, df, art, make_seeds, even=True):
         cls, totals = _totals(df, art)
-        top = max(totals.values())
+        want = class_targets(totals, art.get("sampling_strategy"), over=True)
         feats = art["features"]
         parts = [df.select(*[(num(df, c).alias(c) if c in feats else q(c)) for c in df.columns])]
         for i, (k, n) in enumerate(totals.items()):
-            need = top - n
+            need = want[k] - n
             if need <= 0 or n < 2:
                 continue
             mine = df.where(cls.eqNullSafe(F.lit(k)))
@@ -230,30 +263,32 @@ class Undersampling(_Resampler):
 
     def random_under(self, df, art):
         cls, totals = _totals(df, art)
-        low = min(totals.values())
+        want = class_targets(totals, art.get("sampling_strategy"), over=False)
         order = hash_order(art["key_columns"], int(art["random_state"]))
         if art["replacement"]:
-            return self._with_replacement(df, art, cls, totals, low)
-        marked, cond = smallest_per_class(df, cls, order, {k: low for k in totals}, totals)
+            return self._with_replacement(df, art, cls, totals, want)
+        marked, cond = smallest_per_class(df, cls, order, want, totals)
         return marked.where(cond).select(*[q(c) for c in df.columns])
 
-    def _with_replacement(self, df, art, cls, totals, low):
+    def _with_replacement(self, df, art, cls, totals, want):
         """Draw slots per class: each slot names a random position in the class's hash order."""
         from ..plans.ordered import running_totals
         out = df.where(F.lit(False))
         for i, (k, n) in enumerate(totals.items()):
             mine = df.where(cls.eqNullSafe(F.lit(k)))
+            low = want[k]
             if n == low:
                 out = out.unionByName(mine)
                 continue
             h = hash_rank(key_text(art["key_columns"]), int(art["random_state"])).cast("double")
-            t = mine.withColumn("__h", h)
+            # rows with one hash take turns by key
+            t = mine.withColumn("__h", h).withColumn("__r", F.row_number().over(W.partitionBy("__h").orderBy(*[q(c) for c in art["key_columns"]])))
             pos = running_totals(t.groupBy("__h").agg(F.count("*").alias("n")), "__h", ["n"])
             slots = df.sparkSession.range(low).select(F.floor(
                 random_unit([F.col("id").cast("string")], int(art["random_state"]) + 31 * i) * n).alias("p"))
             slots = slots.groupBy("p").agg(F.count("*").alias("m"))
-            drawn = pos.select("__h", (F.col("cum_n") - 1).alias("p")).join(slots, "p")
-            rows = t.join(drawn.select("__h", "m"), "__h").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("m"))))
+            placed = t.join(pos.select("__h", (F.col("cum_n") - F.col("n")).alias("__b")), "__h").withColumn("p", F.col("__b") + F.col("__r") - 1)
+            rows = placed.join(slots, "p").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("m"))))
             out = out.unionByName(rows.select(*[q(c) for c in df.columns]))
         return out
 
@@ -286,14 +321,19 @@ class Undersampling(_Resampler):
         """
         cls, totals = _totals(df, art)
         small = min(totals, key=lambda k: (totals[k], str(k)))
-        low, keys, k = totals[small], art["key_columns"], int(art["n_neighbors"])
+        want = class_targets(totals, art.get("sampling_strategy"), over=False)
+        keys, k = art["key_columns"], int(art["n_neighbors"])
         feats, version = art["features"], int(art["version"])
         rare = df.where(cls.eqNullSafe(F.lit(small)))
         out = rare
         for c in totals:
             if c == small:
                 continue
+            low = want[c]
             mine = df.where(cls.eqNullSafe(F.lit(c)))
+            if low == totals[c]:
+                out = out.unionByName(mine)
+                continue
             if version == 2:
                 scored = mean_farthest(mine, rare, feats, k, keys)
             else:

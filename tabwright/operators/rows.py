@@ -99,7 +99,9 @@ class Deduplicate(Operator):
             kept = groups.agg(F.count("*").alias("__n"), F.first(row).alias("__r")).where("__n = 1")
         else:
             pick = F.min_by if art["keep"] == "first" else F.max_by
-            kept = groups.agg(pick(row, F.struct(*[q(c) for c in art["order_by"]])).alias("__r"))
+            # rows equal in order_by are told apart by their other columns that have an order
+            rest = [c for c in df.columns if c not in art["order_by"] and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+            kept = groups.agg(pick(row, F.struct(*[q(c) for c in [*art["order_by"], *rest]])).alias("__r"))
         return kept.select("__r.*")
 
 
@@ -191,8 +193,8 @@ def strip_upstream_dropped_columns(merged: DataFrame, baseline: Iterable[str],
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Repeatable uniform sample without replacement: the n smallest key hashes."""
-    k = F.concat_ws("|", *[q(c).cast("string") for c in key])
-    return df.orderBy(hash_rank(k, seed), *[q(c) for c in key]).limit(n)
+    from .splitting import hash_order, smallest
+    return df.where(smallest(df, hash_order(key, seed), n))
 
 
 # --- casting ---------------------------------------------------------------------------------

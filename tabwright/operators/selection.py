@@ -91,17 +91,16 @@ def _chi2_scores(z: DataFrame, cols: list[str]) -> dict[str, tuple]:
     low, high = lo_hi[0::2], lo_hi[1::2]
     if any(v is not None and v < 0 for v in low):
         z = z.select(*[((q(c) - F.lit(a)) / F.lit((b - a) or 1.0)).alias(c) for c, a, b in zip(cols, low, high)], "__y")
-    rows = (z.groupBy(q("__y").cast("string").alias("y")).agg(F.count("*").alias("n"), *[
-        F.sum(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).limit(1001).collect())
-    n, out = sum(r["n"] for r in rows), {}
-    for i, c in enumerate(cols):
-        total = sum(r[f"s{i}"] for r in rows)
-        if total <= 0:
-            out[c] = (0.0, 1.0)
-            continue
-        stat = sum((r[f"s{i}"] - r["n"] / n * total) ** 2 / (r["n"] / n * total) for r in rows)
-        out[c] = (stat, chi2_tail(stat, len(rows) - 1))
-    return out
+    # class sums stay on the cluster, however many classes there are; the statistic is a second aggregate over them
+    sums = z.groupBy(q("__y").cast("string").alias("y")).agg(F.count("*").alias("n"), *[F.sum(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).persist()
+    try:
+        classes, n, *totals = agg_row(sums, [F.count("*"), F.sum("n"), *[F.sum(f"s{i}") for i in range(len(cols))]])
+        live = [i for i, t in enumerate(totals) if t is not None and t > 0]
+        expected = {i: F.col("n") * F.lit(float(totals[i]) / float(n)) for i in live}
+        stats = dict(zip(live, agg_row(sums, [F.sum(F.pow(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) - expected[i], F.lit(2.0)) / expected[i]) for i in live]))) if live else {}
+    finally:
+        sums.unpersist()
+    return {c: (stats[i], chi2_tail(stats[i], classes - 1)) if i in stats else (0.0, 1.0) for i, c in enumerate(cols)}
 
 
 def binned_mutual_information(df: DataFrame, cols: list[str], target: str, numeric_target: bool,

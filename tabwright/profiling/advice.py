@@ -37,11 +37,11 @@ def semantic_types(df: DataFrame, basic: list | None = None, rows: int | None =
     return {r["column"]: semantic_type(dtype_of(df, r["column"]), r["distinct_count"], rows) for r in basic}
 
 
-def detect_date_strings(df: DataFrame, sample: int | None = 50) -> dict[str, str]:
+def detect_date_strings(df: DataFrame, sample: int | None = None) -> dict[str, str]:
     """Text columns with date-like names whose values all parse -> winning format.
 
     One aggregate tries every format on every candidate: all values must parse, and the format
-    with the most distinct months wins. ``sample`` rows are looked at, or all when None.
+    with the most distinct months wins. All rows are looked at, or only ``sample`` (any of them) if a caller asks so.
     """
     cand = [c for c, t in df.dtypes if t == "string" and any(k in c.lower() for k in DATE_NAME_HINTS)]
     if not cand:

@@ -163,13 +163,11 @@ def _filled(df, bin_col, edges, schema):
             .select("bin", "start", "end", F.coalesce("c", F.lit(0)).cast("bigint").alias("count")))
 
 
-def box_plots(df: DataFrame, target: str, columns: Sequence[str], max_groups: int = 20, max_features: int = 20,
+def box_plots(df: DataFrame, target: str, columns: Sequence[str], max_groups: int | None = None, max_features: int | None = None,
               method: str = "nearest") -> DataFrame:
-    """(column, group, min, q1, median, q3, max) for targets with few groups."""
-    groups = df.where(nn(df, target).isNotNull()).select(nn(df, target)).distinct().limit(max_groups + 1).count()
-    schema = "column string, group string, min double, q1 double, median double, q3 double, max double"
-    if groups > max_groups:
-        return df.sparkSession.createDataFrame([], schema)
+    """(column, group, min, q1, median, q3, max) for every group of the target; limits only where a caller sets them."""
+    if max_groups is not None and df.where(nn(df, target).isNotNull()).select(nn(df, target)).distinct().limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"{target} has more than {max_groups} groups")
     cols = list(columns)[:max_features]
     g = grouped_quantiles(df.where(nn(df, target).isNotNull()), target, cols, [0.0, 0.25, 0.5, 0.75, 1.0], method=method)
     items = F.array(*[F.struct(F.lit(c).alias("c"), q(f"{c}_q").alias("v")) for c in cols])
@@ -178,12 +176,12 @@ def box_plots(df: DataFrame, target: str, columns: Sequence[str], max_groups: in
         *[F.col("p.v")[i].alias(n) for i, n in enumerate(["min", "q1", "median", "q3", "max"])])
 
 
-def class_balance(df: DataFrame, target: str, max_classes: int = 1000) -> DataFrame:
+def class_balance(df: DataFrame, target: str, max_classes: int | None = None) -> DataFrame:
     """(classes, min_count, max_count, ratio, advice)."""
     g = df.where(nn(df, target).isNotNull()).groupBy(nn(df, target).alias("k")).agg(F.count("*").alias("n"))
     r = F.min("n") / F.max("n")
     return (g.agg(F.count("*").alias("classes"), F.min("n").alias("min_count"), F.max("n").alias("max_count"),
-                  r.alias("ratio")).where(F.col("classes") <= max_classes)
+                  r.alias("ratio")).where(F.lit(True) if max_classes is None else F.col("classes") <= max_classes)
             .withColumn("advice", F.when(F.col("ratio") < 0.2, "resample").when(F.col("ratio") > 0.8, "balanced")
                         .otherwise("none")))
 

@@ -178,8 +178,9 @@ def kendall_tau(df: DataFrame, x: Column, y: Column, rows_per_bucket: int = 1_00
         return g.agg(F.sum(F.col("w") * (F.col("w") - 1.0)) / 2.0).first()[0]
 
     def bounds(col):
-        b = range_bounds(c, col, rows_per_bucket, n_cells)
-        return sorted({v for e in b for v in (e, math.nextafter(e, math.inf))})[:1998]
+        # at most a thousand even ranges: the grid of range counts is small whatever the table's size
+        b = range_bounds(c, col, max(rows_per_bucket, -(-n_cells // 990)), n_cells)
+        return sorted({v for e in b for v in (e, math.nextafter(e, math.inf))})
     t = c
     for col in ("x", "y"):
         t = add_bucket(t, col, bounds(col), f"b{col}")
@@ -226,7 +227,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     return fn(df, cols)
 
 
-def profile_correlations(df: DataFrame, cols: Sequence[str] | None = None, max_columns: int = 20) -> DataFrame:
+def profile_correlations(df: DataFrame, cols: Sequence[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """(column_a, column_b, r) over complete rows; near-constant columns left out, undefined as 0."""
     cols = list(cols or numeric_candidates(df))[:max_columns]
     std = agg_row(df, [F.stddev_samp(num(df, c)) for c in cols]) if cols else []
@@ -307,10 +308,10 @@ def correlation_ratio(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
 
 
 def partial_correlation_edges(df: DataFrame, cols: Sequence[str] | None = None, target: str | None = None,
-                              alpha: float = 0.05, max_columns: int = 15) -> DataFrame:
+                              alpha: float = 0.05, max_columns: int | None = None) -> DataFrame:
     """Undirected edges between columns whose partial correlation given all others is not zero."""
     cols = list(cols or numeric_candidates(df))
-    if len(cols) > max_columns:
+    if max_columns is not None and len(cols) > max_columns:
         score = agg_row(df, [F.abs(F.corr(num(df, c), num(df, target))) if target else F.var_pop(num(df, c))
                              for c in cols])
         cols = [c for _, c in sorted(zip([-(s or 0.0) for s in score], cols))[:max_columns]]

@@ -81,16 +81,14 @@ def distribution_distance(ref: DataFrame, cur: DataFrame, column: str) -> tuple[
     return d, w or 0.0, int(nr), int(nc)
 
 
-def categorical_psi(ref: DataFrame, cur: DataFrame, column: str) -> float | None:
-    """PSI over categories; None for text-like columns or fewer than two categories."""
-    limit = V.DRIFT_MAX_CATEGORIES
+def categorical_psi(ref: DataFrame, cur: DataFrame, column: str, max_categories: int | None = None) -> float | None:
+    """PSI over all categories; None for fewer than two, or for more than ``max_categories`` if a caller sets it."""
     rx, cx = nn(ref, column).cast("string"), nn(cur, column).cast("string")
     r = ref.where(rx.isNotNull()).groupBy(rx.alias("k")).agg(F.count("*").alias("r"))
-    few = r.limit(limit + 1).collect()
-    if not few or len(few) > limit:
+    kinds, n_ref = r.agg(F.count("*"), F.sum("r").cast("double")).first()
+    if not kinds or (max_categories is not None and kinds > max_categories):
         return None
     c = cur.where(cx.isNotNull()).groupBy(cx.alias("k")).agg(F.count("*").alias("c"))
-    n_ref = float(sum(x["r"] for x in few))
     n_cur = cur.agg(F.count(cx)).first()[0]
     if not n_cur:
         return None

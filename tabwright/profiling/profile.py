@@ -84,7 +84,7 @@ def analyze(df: DataFrame, target: str | None = None, exclude: Sequence[str] = (
         chosen = TM.pick_date_column(df, date)
         if chosen:
             trend = TM.resample_trend(df, chosen, feats, target)
-            report["timeseries"] = {"date_column": chosen, "trend": [r.asDict() for r in trend.limit(5000).collect()],
+            report["timeseries"] = {"date_column": chosen, "trend": [r.asDict() for r in trend.collect()],
                                     "seasonality": [r.asDict() for r in TM.seasonality(df, chosen, feats[0] if feats else None).collect()]}
             if feats:
                 report["timeseries"]["acf"] = [r.asDict() for r in TM.autocorrelation(trend, feats[0]).collect()]

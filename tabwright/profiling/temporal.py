@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..core import DATE_TYPES, dtype_of, num, numeric_candidates, q
 from .aggregates import distinct_counts
 
-RAW_ROWS = 1_000
 STEPS = [(60, "second"), (3_600, "minute"), (86_400, "hour"), (604_800, "day")]
 
 
@@ -31,15 +30,15 @@ def trend_unit(span_seconds: float) -> str:
 
 
 def resample_trend(df: DataFrame, date: str, cols: list[str] | None = None, target: str | None = None,
-                   max_columns: int = 3) -> DataFrame:
-    """(date, <means> or count): raw rows for small tables, else about a hundred buckets."""
+                   max_columns: int | None = None, raw_rows: int = 0) -> DataFrame:
+    """(date, <means> or count) in about a hundred buckets; the rows themselves for a table under ``raw_rows`` rows."""
     cols = [c for c in (cols if cols is not None else numeric_candidates(df, [target] if target else []))][:max_columns]
     if target and target in numeric_candidates(df) and target not in cols:
         cols.append(target)
     d = df.where(q(date).isNotNull())
     ts = q(date).cast("timestamp")
     n, lo, hi = d.agg(F.count("*"), F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
-    if n < RAW_ROWS:
+    if n < raw_rows:
         return d.select(q(date).cast("timestamp_ntz").alias("date"), *[num(d, c).alias(c) for c in cols]).na.drop().orderBy("date")
     unit = trend_unit((hi - lo) / 1e6)
     bucket = F.date_trunc(unit, ts).cast("timestamp_ntz").alias("date")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-EXPORT_MAX_ROWS = 50_000
+EXPORT_ONE_FILE = 50_000
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
@@ -29,8 +29,8 @@ def read_parquet(spark: SparkSession, path: str, limit: int | None = None) -> Da
 
 
 def read_json(spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType | str | None = None,
-              lines: bool = False) -> DataFrame:
-    """JSON records; ``lines=True`` for one record per line, which splits over tasks."""
+              lines: bool = True) -> DataFrame:
+    """JSON records, one per line; ``lines=False`` for a document over many lines, which is one task a file."""
     r = spark.read.option("multiLine", not lines)
     return _limited((r.schema(schema) if schema else r).json(path), limit)
 
@@ -84,11 +84,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", limit: int = 10_000) -> str:
-    """The first rows as CSV or Parquet; at most 50,000."""
+    """The first ``limit`` rows as CSV or Parquet; one file up to 50,000 rows."""
     if fmt not in ("csv", "parquet"):
         raise ValueError("format is csv or parquet")
-    n = max(1, min(int(limit), EXPORT_MAX_ROWS))
-    w = df.limit(n).coalesce(1).write.mode("overwrite")
+    n = max(1, int(limit))
+    rows = df.limit(n)
+    w = (rows.coalesce(1) if n <= EXPORT_ONE_FILE else rows).write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
     return path
 

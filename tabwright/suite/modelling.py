@@ -173,6 +173,12 @@ def evaluate_confusion(spark, sf):
     return EV.confusion_matrix(_scored(spark, sf), "y3", "p3")
 
 
+@query("T4", """WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS a, CAST(l_partkey % 97 AS VARCHAR) AS p, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT a AS x FROM c UNION SELECT p FROM c)
+  SELECT r.x AS actual, s.x AS predicted, coalesce(c.n, 0)::BIGINT AS count FROM k r CROSS JOIN k s LEFT JOIN c ON c.a = r.x AND c.p = s.x""")
+def evaluate_confusion_many_classes(spark, sf):
+    return EV.confusion_matrix(table(spark, sf, "lineitem").withColumn("p", F.col("l_partkey") % 97), "l_suppkey", "p")
+
+
 @query("T5", AREAS + " SELECT p AS threshold, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr, round(tp / (tp + fp), 6) AS precision FROM c, t")
 def evaluate_curves(spark, sf):
     return rounded(EV.curve_points(_scored(spark, sf), q("y"), q("p")), "fpr", "tpr", "precision")

@@ -24,10 +24,10 @@ def decompose_split(spark, sf):
     return rounded(rounded(d, "value", digits=2), "ratio", digits=9)
 
 
-@query("E2", """WITH g AS (SELECT event_type AS name, round(avg(value), 6) AS value, count(*)::BIGINT AS count FROM events WHERE user_id < 100 GROUP BY 1)
+@query("E2", """WITH g AS (SELECT event_type AS name, round(avg(value), 6) AS value, count(*)::BIGINT AS count FROM events GROUP BY 1)
   SELECT name, value, count, round(value / sum(value) OVER (), 6) AS ratio FROM g""")
 def decompose_mean(spark, sf):
-    d = A.decompose(table(spark, sf, "events"), "value", "mean", "event_type", [{"column": "user_id", "operator": "<", "value": "100"}])
+    d = A.decompose(table(spark, sf, "events"), "value", "mean", "event_type")
     return rounded(d, "value", "ratio")
 
 
@@ -152,6 +152,13 @@ def box_plot_groups(spark, sf):
     return A.box_plots(table(spark, sf, "events"), "event_type", ["value"])
 
 
+@query("E16", """WITH r AS (SELECT c_nationkey AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+  SELECT 'c_acctbal' AS "column", CAST(g AS VARCHAR) AS "group", min(v) AS min, max(CASE WHEN r = floor(0.25 * (n - 1) + 0.5) THEN v END) AS q1, max(CASE WHEN r = floor(0.5 * (n - 1) + 0.5) THEN v END) AS median,
+  max(CASE WHEN r = floor(0.75 * (n - 1) + 0.5) THEN v END) AS q3, max(v) AS max FROM r GROUP BY g""")
+def box_plot_many_groups(spark, sf):
+    return A.box_plots(table(spark, sf, "customer"), "c_nationkey", ["c_acctbal"])
+
+
 F_SQL = """SELECT '{c}' AS "column", round((sum(n * pow(m - g, 2)) / (count(*) - 1)) / (sum(q) / (sum(n) - count(*))), 6) AS f FROM (SELECT count({c}) AS n, avg({c}) AS m, var_pop({c}) * count({c}) AS q,
   (SELECT avg({c}) FROM {t}) AS g FROM {t} GROUP BY {y})"""
 
@@ -295,6 +302,15 @@ def drift_categorical(spark, sf):
     return rounded(spark.createDataFrame([(v,)], "psi double"), "psi")
 
 
+@query("Q9", """WITH k AS (SELECT CAST(user_id AS VARCHAR) AS k, event_id % 2 = 0 AS ref FROM events), n AS (SELECT sum(ref::INT)::DOUBLE AS r, sum((NOT ref)::INT)::DOUBLE AS c FROM k),
+  g AS (SELECT k, sum(ref::INT) AS r, sum((NOT ref)::INT) AS c FROM k GROUP BY k), s AS (SELECT CASE WHEN g.r = 0 THEN 0.5 / n.r ELSE g.r / n.r END AS r, CASE WHEN g.c = 0 THEN 0.5 / n.c ELSE g.c / n.c END AS c FROM g, n)
+  SELECT round(sum((c - r) * ln(c / r)), 6) AS psi FROM s""")
+def drift_many_categories(spark, sf):
+    e, odd = table(spark, sf, "events"), F.col("event_id") % 2 == 1
+    v = DR.categorical_psi(e.where(~odd), e.where(odd), "user_id")
+    return rounded(spark.createDataFrame([(v,)], "psi double"), "psi")
+
+
 @query("Q10", f"""WITH m AS (SELECT min(v) AS lo, max(v) AS hi FROM {BOTH}), e AS (SELECT list_transform(range(20), lambda i: lo + i * ((hi - lo) / 20)) || [hi] AS e FROM m),
   b AS (SELECT ref, least(len(list_filter(e, lambda x: x <= v)) - 1, 19) AS bin FROM {BOTH}, e)
   SELECT i::INTEGER AS bin, round(e[i + 1], 6) AS start, round(e[i + 2], 6) AS "end", (SELECT count(*) FROM b WHERE bin = i AND ref)::BIGINT AS reference_count, (SELECT count(*) FROM b WHERE bin = i AND NOT ref)::BIGINT AS current_count FROM e, range(20) t(i)""")

@@ -51,6 +51,19 @@ def export_orders(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("rows"))
 
 
+@query("A8", """SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type
+  FROM (DESCRIBE orders)""")
+def read_schema_orders(spark, sf):
+    return spark.createDataFrame(list(S.read_schema(spark, f"{sf}/orders.parquet").items()), "column string, type string")
+
+
+@query("A9", "SELECT least(count(*), 5)::BIGINT AS rows, least(count(*), 5)::BIGINT AS found FROM orders")
+def sample_head_orders(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    head = spark.createDataFrame([(r["o_orderkey"], r["o_custkey"], r["o_totalprice"]) for r in S.sample_head(spark, f"{sf}/orders.parquet")], o.schema)
+    return head.join(o.withColumn("there", F.lit(1)), o.columns, "left").agg(F.count("*").alias("rows"), F.count("there").alias("found"))
+
+
 # --- rows and columns ------------------------------------------------------------------------
 
 @query("B1", "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus AS target FROM orders")

@@ -47,6 +47,11 @@ def score_chi2(spark, sf):
     return rounded(_scores(spark, S.univariate_scores(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag", "chi2")), "score")
 
 
+@query("O5", " UNION ALL ".join(CHI.format(c=c).replace("GROUP BY l_returnflag", "GROUP BY l_partkey") for c in ("l_quantity", "l_tax")))
+def score_chi2_many_classes(spark, sf):
+    return rounded(_scores(spark, S.univariate_scores(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], "l_partkey", "chi2")), "score")
+
+
 @query("O6", """WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM lineitem),
   b AS (SELECT len(list_filter(e, lambda x: x < l_extendedprice)) AS b, l_returnflag AS y FROM lineitem, e), n AS (SELECT count(*)::DOUBLE AS n FROM b),
   c AS (SELECT b, y, count(*) AS k FROM b GROUP BY 1, 2), x AS (SELECT b, sum(k) AS kb FROM c GROUP BY 1), y AS (SELECT y, sum(k) AS ky FROM c GROUP BY 1)

@@ -9,9 +9,9 @@ from tabwright.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session("tests", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="8g",
-                      spark__ui__showConsoleProgress="false")
+                      spark__ui__showConsoleProgress="false", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
