@@ -33,9 +33,9 @@ def _restored(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that too many texts of their host have."""
-    out = quality_rules(docs).filter("kept")
-    held = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[held.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    out = quality_rules(docs.select("doc_id", "text", "source", rest)).filter("kept")
+    return _restored(out, docs, "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ both with partial sums before the shuffle: a line that a third of all texts hold
 Three-word windows are compared by 64-bit hashes within a text, packed with their place and sorted.
 
 Defined cases: null texts are empty (no words, base_failed, not kept); a null host is a host of its own; rows equal in id, text and
-host get the same answer; other columns are kept; an empty table gives no rows.
+host get the same answer; other columns are kept, those named like a result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,54 +29,54 @@ def words_of(text: Column) -> Column:
 #: number of words in repeated three-word windows, from grams (a hash for each window, in order)
 REPEATED = """
   aggregate(
-    transform(places, (p, k) -> least(3, coalesce(get(places, k + 1), p + 3) - p)),
+    transform(__places, (p, k) -> least(3, coalesce(get(__places, k + 1), p + 3) - p)),
     0, (a, x) -> a + x)"""
 PLACES = """
   sort_array(transform(
-    filter(packed, (x, k) -> shiftrightunsigned(x, bits) = shiftrightunsigned(get(packed, k + 1), bits)
-                          OR shiftrightunsigned(x, bits) = shiftrightunsigned(get(packed, k - 1), bits)),
-    x -> CAST(x & (shiftleft(1L, bits) - 1L) AS INT)))"""
-PACKED = "sort_array(transform(grams, (h, k) -> shiftleft(h, bits) | CAST(k AS BIGINT)))"
-GRAMS = "CASE WHEN size(words) > 3 THEN transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) ELSE CAST(array() AS ARRAY<BIGINT>) END"
+    filter(__packed, (x, k) -> shiftrightunsigned(x, __bits) = shiftrightunsigned(get(__packed, k + 1), __bits)
+                          OR shiftrightunsigned(x, __bits) = shiftrightunsigned(get(__packed, k - 1), __bits)),
+    x -> CAST(x & (shiftleft(1L, __bits) - 1L) AS INT)))"""
+PACKED = "sort_array(transform(__grams, (h, k) -> shiftleft(h, __bits) | CAST(k AS BIGINT)))"
+GRAMS = "CASE WHEN size(__words) > 3 THEN transform(sequence(0, size(__words) - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])) ELSE CAST(array() AS ARRAY<BIGINT>) END"
 NONE = "CAST(array() AS ARRAY<BIGINT>)"
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __text, __lines (lines with a word) and the base figures."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    d = docs.withColumn("__text", text).withColumn("words", words_of(F.col("__text")))
+    d = docs.withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
     d = d.withColumn("__lines", F.expr("filter(split(__text, '\n'), x -> x rlike '[^ \\\\x09-\\\\x0D]')"))
-    d = d.withColumn("grams", F.expr(GRAMS))
-    d = d.withColumn("bits", F.length(F.bin(F.size("grams").cast("long"))))
+    d = d.withColumn("__grams", F.expr(GRAMS))
+    d = d.withColumn("__bits", F.length(F.bin(F.size("__grams").cast("long"))))
     # most texts repeat no window: they skip the sorted form
-    d = d.withColumn("packed", F.expr(f"CASE WHEN size(array_distinct(grams)) < size(grams) THEN {PACKED} ELSE {NONE} END"))
-    d = d.withColumn("places", F.expr(PLACES)).withColumn("n_repeat_words", F.expr(REPEATED).cast("long"))
-    d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    d = d.withColumn("__packed", F.expr(f"CASE WHEN size(array_distinct(__grams)) < size(__grams) THEN {PACKED} ELSE {NONE} END"))
+    d = d.withColumn("__places", F.expr(PLACES)).withColumn("n_repeat_words", F.expr(REPEATED).cast("long"))
+    d = d.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
     d = d.withColumn("n_symbols", F.length(F.regexp_replace("__text", "[^#*$%&|<>]+", "")).cast("long"))
     d = d.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return d.drop("words", "grams", "bits", "packed", "places")
+    return d.drop("__words", "__grams", "__bits", "__packed", "__places")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, kept and clean_text (the lines left)."""
-    taken = {"__text", "__lines", "words", "grams", "bits", "packed", "places", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept", "clean_text"}
+    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept", "clean_text"}
     docs = docs.select(*[c for c in docs.columns if c not in taken - {id_col, text_col, host_col}])
     d = measured(docs, text_col)
     norm = "xxhash64(regexp_replace(lower(trim(regexp_replace(x, '[ \\\\x09-\\\\x0D]+', ' '))), '[0-9]', '0'))"
     keys = [F.col(f"`{id_col}`").alias("__id"), F.xxhash64("__text").alias("__print"), F.col(f"`{host_col}`").alias("__host")]
     lines = d.select(*keys, F.explode(F.expr(f"transform(__lines, x -> named_struct('line', {norm}, 'words', size(array_remove(split(x, '[ \\\\x09-\\\\x0D]+'), ''))))")).alias("l"))
     lines = lines.select("__id", "__print", "__host", "l.*")
-    often = lines.select("line", "__host", "__print").distinct().groupBy("line", "__host").count().filter(F.col("count") > limit).select("line", F.col("__host").alias("host2"))
-    gone = lines.join(often, (lines.line == often.line) & lines["__host"].eqNullSafe(F.col("host2")), "left_semi")
+    often = lines.select("line", "__host", "__print").distinct().groupBy("line", "__host").count().filter(F.col("count") > limit).select("line", F.col("__host").alias("__host2"))
+    gone = lines.join(often, (lines.line == often.line) & lines["__host"].eqNullSafe(F.col("__host2")), "left_semi")
     lost = gone.groupBy("__id", "__print", "__host").agg(F.sum("words").alias("n_lost_words"), F.collect_set("line").alias("__gone"))
-    lost = lost.select(F.col("__id").alias("i2"), F.col("__print").alias("p2"), F.col("__host").alias("h2"), "n_lost_words", "__gone")
+    lost = lost.select(F.col("__id").alias("__i2"), F.col("__print").alias("__p2"), F.col("__host").alias("__h2"), "n_lost_words", "__gone")
     d = d.withColumn("__print", F.xxhash64("__text"))
-    out = d.join(lost, (F.col("__print") == F.col("p2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("i2")) & F.col(f"`{host_col}`").eqNullSafe(F.col("h2")), "left")
+    out = d.join(lost, (F.col("__print") == F.col("__p2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i2")) & F.col(f"`{host_col}`").eqNullSafe(F.col("__h2")), "left")
     out = out.withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.lit(depleted) * F.col("n_words")))
     clean = F.expr(f"CASE WHEN __gone IS NULL THEN __text ELSE array_join(filter(split(__text, '\n'), x -> NOT array_contains(__gone, {norm})), '\n') END")
-    return out.withColumn("clean_text", clean).drop("__text", "__lines", "__print", "i2", "p2", "h2", "__gone")
+    return out.withColumn("clean_text", clean).drop("__text", "__lines", "__print", "__i2", "__p2", "__h2", "__gone")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

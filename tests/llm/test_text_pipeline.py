@@ -8,7 +8,7 @@ import brute
 import corpus_pipeline
 from conftest import SMALL
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept int, words int"
 
 
 def test_rows(spark):
@@ -20,8 +20,8 @@ def test_rows(spark):
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_odd(spark, name, stage):
-    rows = [(None, None, "en", None, 1, 5), (None, "", "en", "s", 0, 5), (1, "a b c", None, "s", 3, 6), (1, "a b c", None, "s", 3, 6), (None, "x " * 80, "e", "s", 3, 6), (None, "x " * 80, "e", "s", 3, 6),
-            (7, " ".join(f"é{i}" for i in range(90)), "e", "s", 3, 6), (8, " ".join(f"é{i}" for i in range(30, 150)), "e", "s", 3, 6)]
+    rows = [(None, None, "en", None, 1, 5, 5), (None, "", "en", "s", 0, 5, 5), (1, "a b c", None, "s", 3, 6, 6), (1, "a b c", None, "s", 3, 6, 6), (None, "x " * 80, "e", "s", 3, 6, 6), (None, "x " * 80, "e", "s", 3, 6, 6),
+            (7, " ".join(f"é{i}" for i in range(90)), "e", "s", 3, 6, 6), (8, " ".join(f"é{i}" for i in range(30, 150)), "e", "s", 3, 6, 6)]
     d = spark.createDataFrame(rows, COLUMNS)
     out = stage(spark, d, SMALL)
     last = name == corpus_pipeline.STAGES[-1][0]
