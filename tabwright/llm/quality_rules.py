@@ -74,7 +74,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.withColumn("__print", F.xxhash64("__text"))
     out = d.join(lost, (F.col("__print") == F.col("__p2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i2")) & F.col(f"`{host_col}`").eqNullSafe(F.col("__h2")), "left")
     out = out.withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.lit(depleted) * F.col("n_words")))
+    # one comparison over both sides of the join: as two conditions, the first would be pushed down and its figures computed again inside it
+    lost = F.when(F.col("base_failed"), F.col("n_words") + 1).otherwise(F.col("n_lost_words"))
+    out = out.withColumn("kept", lost <= F.lit(min(depleted, 1.0)) * F.col("n_words"))
     clean = F.expr(f"CASE WHEN __gone IS NULL THEN __text ELSE array_join(filter(split(__text, '\n'), x -> NOT array_contains(__gone, {norm})), '\n') END")
     return out.withColumn("clean_text", clean).drop("__text", "__lines", "__print", "__i2", "__p2", "__h2", "__gone")
 
