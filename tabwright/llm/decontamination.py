@@ -53,6 +53,16 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(out)
 
 
+def shared(part: np.ndarray, own: np.ndarray, have: np.ndarray) -> float:
+    """Share of a part's shingles that a passage has; a part under five words is there as a whole or not."""
+    if len(part) >= SHINGLE:
+        return float(np.isin(shingles(part), have).mean())
+    hit = np.ones(max(0, len(own) - len(part) + 1), bool)
+    for j in range(len(part)):
+        hit &= own[j: j + len(hit)] == part[j]
+    return float(hit.any())
+
+
 class ItemIndex:
     """Postings, block maxima and term maxima of a slice of items."""
 
@@ -85,8 +95,8 @@ class ItemIndex:
         self.item_at, self.item, self.weight = _csr(term, len(self.terms), item, weight)
         self.top = np.maximum.reduceat(self.weight, self.item_at[:-1])
         cut = np.maximum(1, (self.length * 4) // 5)
-        self.question = [shingles(x[:c]) for x, c in zip(self.words, cut)]
-        self.answer = [shingles(x[c:]) if len(x) > c else shingles(x[-1:]) for x, c in zip(self.words, cut)]
+        self.question = [x[:c] for x, c in zip(self.words, cut)]
+        self.answer = [x[c:] if len(x) > c else x[-1:] for x, c in zip(self.words, cut)]
 
 
 def _sums(group: np.ndarray, place: np.ndarray, wide: int, value: np.ndarray, least: float):
@@ -143,19 +153,10 @@ def search(index: ItemIndex, buf: np.ndarray, off: np.ndarray, stride: int, retr
         p = passage[g]
         t = int(np.searchsorted(halves, p, "right") - 1)
         a = w.first[t] + (p - halves[t]) * stride
-        have = shingles(h[a: min(a + 2 * stride, w.first[t + 1])])
-        question, answer = index.question[i], index.answer[i]
-        q = np.isin(question, have).mean()
-        if len(answer) and len(index.words[i]) - max(1, len(index.words[i]) * 4 // 5) < SHINGLE:
-            k = max(1, len(index.words[i]) - max(1, len(index.words[i]) * 4 // 5))
-            tail = index.words[i][-k:]
-            own = h[a: min(a + 2 * stride, w.first[t + 1])]
-            hit = np.ones(max(0, len(own) - k + 1), bool)
-            for j in range(k):
-                hit &= own[j: j + len(hit)] == tail[j]
-            r = float(hit.any())
-        else:
-            r = np.isin(answer, have).mean()
+        own = h[a: min(a + 2 * stride, w.first[t + 1])]
+        have = shingles(own)
+        q = shared(index.question[i], own, have)
+        r = shared(index.answer[i], own, have)
         if q >= overlap and r >= overlap and (s, q, r) > best.get((t, i), (0,)):
             best[t, i] = (float(s), float(q), float(r))
     return [(t, index.ids[i], *v) for (t, i), v in sorted(best.items())]

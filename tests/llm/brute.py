@@ -113,13 +113,11 @@ def leaks(docs, items, overlap=0.8):
             if not x:
                 continue
             c = max(1, len(x) * 4 // 5)
-            q, a = _shingles(x[:c]), x[c:] or x[-1:]
-            if len(q & have) < overlap * len(q):
-                continue
-            if len(a) < 5:
-                ok = any(w[k:k + len(a)] == a for k in range(len(w) - len(a) + 1))
-            else:
-                ok = len(_shingles(a) & have) >= overlap * len(_shingles(a))
+            def there(part):
+                if len(part) < 5:
+                    return any(w[k:k + len(part)] == part for k in range(len(w) - len(part) + 1))
+                return len(_shingles(part) & have) >= overlap * len(_shingles(part))
+            ok = there(x[:c]) and there(x[c:] or x[-1:])
             if ok:
                 out.add((r["doc_id"], i["item_id"]))
     return out
