@@ -17,6 +17,8 @@ from tabwright.llm.suffix_dedup import suffix_dedup
 from tabwright.session import shared_table_path
 
 KEY = "__row_key"
+#: near duplicates of the corpus: five words, 100 * intersection >= 80 * union (op7's own contract is stricter)
+NEAR = 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     carry = [c for c in docs.columns if c != "text"]
-    out = minhash_near_dedup(_keyed(docs), id_col=KEY, carry=carry).filter("kept")
+    out = minhash_near_dedup(_keyed(docs), id_col=KEY, threshold=NEAR, carry=carry).filter("kept")
     return _restored(out, docs, "text")
 
 

@@ -28,3 +28,23 @@ def test_odd(spark, name, stage):
     assert last or out.columns == d.columns
     assert len(out.collect()) == {"quality_rules": 2, "near_duplicates": 6, "repeated_passages": 8, "test_items": 8, "tokens": 8}[name]
     assert stage(spark, d.limit(0), SMALL).count() == 0
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    words = [[f"w{k}x{i}" for i in range(104)] for k in range(3)]  # 100 shingles each; a changed last word costs one, an inner one five
+    texts = []
+    for w, cut in zip(words, (11, 10, 12)):
+        texts += [" ".join(w), " ".join(w[:-cut] + [f"other{i}" for i in range(cut)])]  # shares 100 - cut of 100 + cut
+    d = spark.createDataFrame([(i, t, "en", "s", len(t), 0, 0) for i, t in enumerate(texts)], COLUMNS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, SMALL).collect()}
+    want = {r[0] for r in brute.near([r.asDict() for r in d.collect()], threshold=80) if r[3]}
+    assert kept == want == {0, 2, 4, 5}  # 89/111 and 90/110 are alike, 88/112 is not
+
+
+def test_rows_at_four_fifths(spark, monkeypatch):
+    """As test_rows, with the plain version linking from 0.8 on."""
+    monkeypatch.setattr(brute.near, "__defaults__", (80,))
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SMALL).collect())
+    assert got == brute.pipeline(docs, items, lambda t: [*sp.encode(t), 2])
