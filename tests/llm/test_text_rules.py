@@ -116,3 +116,12 @@ def test_classifiers_odd(spark):
         out = run(d, none).collect()
         assert len(out) == 4 and {r.score for r in out} == {0.5}
         assert run(d.limit(0), none).count() == 0
+
+
+def test_toxicity_scores_rare_expressions(spark):
+    code = lambda t: int.from_bytes(t.encode(), "big")
+    counts = [(code("hello"), 900, 100), (code("hellp"), 300, 30), (code("grunk"), 0, 3), (code("grunt"), 5, 0), (code("rarer"), 1, 0)]
+    got = {r.code: r.ratio for r in toxicity.ratios(spark.createDataFrame(counts, "code long, plain long, toxic long")).collect()}
+    context = lambda t: code(t) + toxicity.CONTEXT
+    assert set(got) == {c for c, _, _ in counts} | {context(t) for t in ("hell", "grun", "rare")}  # all counted, and all contexts
+    assert got[code("grunk")] > 0 and got[code("grunt")] < 0 and got[code("rarer")] < 0 and all(got.values())
