@@ -125,3 +125,11 @@ def test_toxicity_scores_rare_expressions(spark):
     context = lambda t: code(t) + toxicity.CONTEXT
     assert set(got) == {c for c, _, _ in counts} | {context(t) for t in ("hell", "grun", "rare")}  # all counted, and all contexts
     assert got[code("grunk")] > 0 and got[code("grunt")] < 0 and got[code("rarer")] < 0 and all(got.values())
+
+
+def test_toxicity_uses_the_whole_table(spark):
+    docs = [(i, f"plain words number {i % 7} about weather" + (" grunkle" if i % 3 == 0 else "")) for i in range(120)] + [(None, "a grunkle"), (None, "a grunkle"), (5, "again"), (5, None)]
+    d = spark.createDataFrame([(i, f"{t} {i}" if i else t) for i, t in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    whole, sliced = (sorted((r.doc_id or -1, round(r.score, 6)) for r in toxicity.toxicity(d, labels, entries=n).collect()) for n in (1 << 20, 100))
+    assert len(whole) == len(docs) and whole == sliced
