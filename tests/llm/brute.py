@@ -136,11 +136,11 @@ def whole_chars(b, c):
     return out
 
 
-def pipeline(docs, items, encode):
+def pipeline(docs, items, encode, threshold):
     """Rows (doc_id, ids) after all stages; no line is frequent in so small a table, ids are distinct."""
     rows = [(r["doc_id"], r["text"] or "") for r in docs]
     rows = [(k, t) for k, t in rows for w in [WORD.findall(t)] if len(w) >= 50 and 100 * repeat_words(w) <= 50 * len(w)]
-    kept = {r[0] for r in near([{"doc_id": k, "text": t} for k, t in rows]) if r[3]}
+    kept = {r[0] for r in near([{"doc_id": k, "text": t} for k, t in rows], threshold) if r[3]}
     rows = [(k, t) for k, t in rows if k in kept]
     raw = [(k, t.encode()) for k, t in rows]
     first, after = earliest(raw, 50), []

@@ -15,7 +15,7 @@ def test_rows(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SMALL).collect())
-    assert got == brute.pipeline(docs, items, lambda t: [*sp.encode(t), 2])
+    assert got == brute.pipeline(docs, items, lambda t: [*sp.encode(t), 2], corpus_pipeline.NEAR)
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
@@ -39,12 +39,3 @@ def test_near_duplicates_from_four_fifths(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, SMALL).collect()}
     want = {r[0] for r in brute.near([r.asDict() for r in d.collect()], threshold=80) if r[3]}
     assert kept == want == {0, 2, 4, 5}  # 89/111 and 90/110 are alike, 88/112 is not
-
-
-def test_rows_at_four_fifths(spark, monkeypatch):
-    """As test_rows, with the plain version linking from 0.8 on."""
-    monkeypatch.setattr(brute.near, "__defaults__", (80,))
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
-    got = sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SMALL).collect())
-    assert got == brute.pipeline(docs, items, lambda t: [*sp.encode(t), 2])
