@@ -1,6 +1,6 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
-from . import (decontamination, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
+from . import (decontamination, hard_negatives, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
                token_codes, toxicity)
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op9_preference_quality": preference_quality.op9_preference_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules.OP5_SQL}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.OP5_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
