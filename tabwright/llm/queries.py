@@ -1,7 +1,7 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
 from . import (decontamination, hard_negatives, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
-               token_codes, toxicity)
+               token_codes, toxicity, whitening)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op9_preference_quality": preference_quality.op9_preference_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_whitening": whitening.op11_whitening,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
