@@ -1,6 +1,6 @@
 """The operators' named queries, and SQL where it can say what they return."""
 
-from . import (decontamination, hard_negatives, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
+from . import (decontamination, hard_negatives, language_id, near_dedup, preference_quality, quality_rules, recompression, sentencepiece_bpe, sharding, suffix_dedup,
                token_codes, toxicity, whitening)
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_preference_quality": preference_quality.op9_preference_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_whitening": whitening.op11_whitening,
+    "op12_language_id": language_id.op12_language_id,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
