@@ -1,12 +1,18 @@
 """Exact k-nearest-neighbour join.
 
-Right rows are cut into the leaves of a k-d tree built on a bounded sample; every leaf carries the
-box of its own rows. A left row first meets its home leaf, which bounds its k-th distance, and is
-then sent only to leaves whose box is closer than that bound. Distances are computed in blocks
-inside tasks and only k candidates per (row, leaf) leave a task, so no pair table exists at any
-point. Oversized leaves are cut by hash, busy leaves replicate over left salts, and identical
-points are reduced to one before anything is compared. Below a checked size the right side is
-broadcast instead.
+Right rows are dealt to leaves. With complete coordinates a leaf is the cell of its nearest pivot (a row of
+a hash sample), and the triangle inequality with the leaf's range of distances to the pivot, and with the
+plane between two pivots, bounds how near any of its rows can be. With missing coordinates distances
+keep no triangle inequality, so leaves are those of a k-d tree and the box of each leaf bounds them.
+A left row first meets its home leaf, which bounds its k-th distance, and is then sent only to leaves
+that can hold something closer. Leaves grow with the table: their number is bounded by the bytes of what
+describes them, and large ones are cut by hash, so neither grows beyond a task.
+
+Distances inside tasks are matrix products of blocks; whatever may belong to the k nearest within
+the product's rounding is computed again coordinate by coordinate, so results are exact. Only k
+candidates per (row, leaf) leave a task and no pair table exists at any point. Busy leaves replicate over left
+salts, and identical points are reduced to one before anything is compared. Below a checked number of bytes
+(carried columns included) the right side is broadcast instead.
 """
 
 from __future__ import annotations
@@ -17,16 +23,19 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..core import agg_row, num, q
+from ..core import num, q
+from ..session import cut_lineage
 
-BROADCAST_VALUES = 2_000_000
+BROADCAST_BYTES = 16 << 20
+#: what describes the leaves (pivots or boxes) goes to every task
+LEAF_BYTES = 16 << 20
 LEAF_ROWS = 4_096
-MAX_LEAVES = 4_096
 BLOCK_LEFT = 20_000
 SAMPLE_ROWS = 40_000
+#: numbers in a block's matrix
+BLOCK_CELLS = 4_000_000
 
 
 @dataclass
@@ -78,15 +87,15 @@ def build_tree(sample: np.ndarray, leaves: int) -> Tree:
     return t
 
 
-def block_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) -> np.ndarray:
-    """|a| x |b| distances; with ``missing``, coordinates absent on either side are left out and
-    the sum is scaled up by their share. A metric named ``-euclidean`` or ``-manhattan`` gives
-    negative distances, which turns nearest into farthest."""
+def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) -> np.ndarray:
+    """Distance of each row of a to the same row of b, one coordinate after another; with ``missing``,
+    coordinates absent on either side are left out and the sum is scaled up by their share. A
+    metric named ``-euclidean`` or ``-manhattan`` gives negative distances, which turns nearest into
+    farthest."""
     sign, metric = (-1.0, metric[1:]) if metric.startswith("-") else (1.0, metric)
-    acc = np.zeros((len(a), len(b)))
-    seen = np.zeros_like(acc) if missing else None
+    acc, seen = np.zeros(len(a)), np.zeros(len(a))
     for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
+        d = a[:, j] - b[:, j]
         d = np.abs(d) if metric == "manhattan" else d * d
         if missing:
             ok = ~np.isnan(d)
@@ -99,18 +108,52 @@ def block_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) ->
     return sign * (acc if metric == "manhattan" else np.sqrt(acc))
 
 
+def block_bounds(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """|a| x |b| numbers that order as distances do (squares for euclidean), and how far each row's may be off."""
+    sign, metric = (-1.0, metric[1:]) if metric.startswith("-") else (1.0, metric)
+    p = a.shape[1]
+    if metric == "manhattan":
+        acc = np.zeros((len(a), len(b)))
+        seen = np.zeros_like(acc) if missing else None
+        for j in range(p):
+            d = np.abs(a[:, j, None] - b[None, :, j])
+            if missing:
+                ok = ~np.isnan(d)
+                seen += ok
+                d = np.where(ok, d, 0.0)
+            acc += d
+        off = np.zeros(len(a))
+    else:
+        centre = np.nan_to_num(np.nanmean(b, axis=0)) if len(b) and not np.isnan(b).all() else np.zeros(p)
+        x, y = a - centre, b - centre
+        if missing:
+            here, there = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            seen = here @ there.T
+            acc = (x * x) @ there.T + here @ (y * y).T - 2 * (x @ y.T)
+        else:
+            seen = None
+            acc = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        size = (np.abs(x).max(axis=1, initial=0.0) + np.abs(y).max(initial=0.0)) ** 2
+        off = size * (4e-16 * p * (p + 4)) * (p if missing else 1)
+    if missing:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            acc = np.where(seen > 0, acc * (p / seen), sign * np.inf)
+    return sign * acc, off
+
+
 def block_top_k(a, b, k, metric, missing, same=None):
     """(left row, right row, distance) of the k nearest; ties go to the earlier right row."""
-    step = max(1, 4_000_000 // max(1, len(b)))
+    step = max(1, BLOCK_CELLS // max(1, len(b)))
     rows_out, cols_out, dist_out = [], [], []
     for s in range(0, len(a), step):
-        d = block_distances(a[s:s + step], b, metric, missing)
+        d, off = block_bounds(a[s:s + step], b, metric, missing)
         if same is not None:
             d[same(s, s + step)] = np.inf
         kk = min(k, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-        v = d[r, c]
+        r, c = np.nonzero((d <= (kth + 2 * off)[:, None]) & np.isfinite(d))
+        v = pair_distances(a[r + s], b[c], metric, missing)
         order = np.lexsort((c, v, r))
         r, c, v = r[order], c[order], v[order]
         first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
@@ -131,11 +174,27 @@ def _vector(df: DataFrame, cols: Sequence[str]):
     return F.array(*[F.coalesce(num(df, c), nan) for c in cols])
 
 
+def _row_bytes(df: DataFrame):
+    """Bytes of a row: 8 for each number, the length of texts, and of others' text form."""
+    total = F.lit(0).cast("long")
+    for f in df.schema:
+        x = q(f.name)
+        if f.name == "v":
+            total = total + 8 * F.coalesce(F.size(x), F.lit(0))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 8 + F.coalesce(F.octet_length(x), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            total = total + 8 + F.coalesce(F.octet_length(F.to_json(F.struct(x))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def knn_join(left: DataFrame, right: DataFrame, cols: Sequence[str] | None, k: int,
              left_key: Sequence[str], right_key: Sequence[str], *, vector: str | None = None,
              metric: str = "euclidean", missing: bool = False, exclude_self: bool = False,
-             carry: Sequence[str] = (), broadcast_values: int = BROADCAST_VALUES,
-             leaf_rows: int = LEAF_ROWS) -> DataFrame:
+             carry: Sequence[str] = (), broadcast_bytes: int = BROADCAST_BYTES,
+             leaf_rows: int = LEAF_ROWS, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """(l_<key>, r_<key>, r_<carry>, distance, rank) of the k nearest right rows per left row.
 
     Coordinates are numeric ``cols`` or one array column ``vector``. Ties go to the smaller right
@@ -145,15 +204,15 @@ def knn_join(left: DataFrame, right: DataFrame, cols: Sequence[str] | None, k: i
         v = q(vector).cast("array<double>") if vector else _vector(df, cols)
         out = df.select(*[q(c).alias(f"{side}_{c}") for c in keys],
                         *[q(c).alias(f"{side}_{c}") for c in extra if c not in keys], v.alias("v"))
-        if not missing:
-            out = out.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-        return out
+        endless = lambda x: F.abs(x) == float("inf")  # noqa: E731  at no finite distance from anything
+        gone = endless if missing else lambda x: x.isNull() | F.isnan(x) | endless(x)
+        return out.where(~F.coalesce(F.exists("v", gone), F.lit(False)))
 
     lk = [f"l_{c}" for c in left_key]
     rk = [f"r_{c}" for c in right_key]
     cy = [f"r_{c}" for c in carry if c not in right_key]
     lt, rt = shape(left, left_key, "l"), shape(right, right_key, "r", carry)
-    n_right, p = rt.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_right, p, size = rt.agg(F.count("*"), F.max(F.size("v")), F.sum(_row_bytes(rt))).first()
     p = p or (len(cols) if cols else 1)
     out_type = T.StructType([lt.schema[c] for c in lk] + [rt.schema[c] for c in rk + cy]
                             + [T.StructField("distance", T.DoubleType())])
@@ -161,10 +220,10 @@ def knn_join(left: DataFrame, right: DataFrame, cols: Sequence[str] | None, k: i
         raise ValueError("farthest rows need complete coordinates")
     if not n_right:
         return left.sparkSession.createDataFrame([], out_type).withColumn("rank", F.lit(1))
-    if n_right * p <= broadcast_values:
+    if size <= broadcast_bytes:
         res = _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type)
     else:
-        res = _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows)
+        res = _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows, leaf_bytes)
     w = W.partitionBy(*[q(c) for c in lk]).orderBy("distance", *[q(c) for c in rk])
     out = res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.withColumn("distance", F.abs("distance")) if metric.startswith("-") else out
@@ -196,7 +255,7 @@ def _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p, extra=())
 
 
 def _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type):
-    """The right side fits a checked number of values: ship it once, stream the left side past."""
+    """The right side fits a checked number of bytes: ship it once, stream the left side past."""
     rpdf = rt.toPandas().sort_values(rk, kind="stable").reset_index(drop=True)
     shared = lt.sparkSession.sparkContext.broadcast(rpdf)
 
@@ -206,59 +265,137 @@ def _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out
     return lt.mapInPandas(run, out_type)
 
 
-def _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows):
-    spark = lt.sparkSession
-    kk = k + 1 if exclude_self else k
-    rt = _thin_copies(rt, rk, kk, n_right)
-    leaves = int(min(MAX_LEAVES, max(1, math.ceil(n_right / leaf_rows))))
-    rows = rt.orderBy(F.xxhash64(*[q(c) for c in rk])).select("v").limit(SAMPLE_ROWS).collect()
-    sample = np.array([[np.nan if x is None else x for x in r["v"]] for r in rows], dtype="float64")
-    with np.errstate(all="ignore"):
-        fill = np.where(np.isnan(sample).all(axis=0), 0.0, np.nanmean(sample, axis=0)) if missing else None
-    tree = build_tree(np.where(np.isnan(sample), fill, sample) if missing else sample, leaves)
+class Pivots:
+    """Leaves as the cells of pivots. Distances to pivots are matrix products, so bounds are a little slack."""
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.far, self.metric, self.pivots = metric.startswith("-"), metric.lstrip("-"), pivots
+        self.ids = self.low = self.high = None
+
+    def _distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """All distances, euclidean ones within slack."""
+        if self.metric == "manhattan":
+            out = np.zeros((len(x), len(y)))
+            for j in range(x.shape[1]):
+                out += np.abs(x[:, j, None] - y[None, :, j])
+            return out
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        return np.sqrt(np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0.0))
+
+    def _slack(self, x: np.ndarray) -> float:
+        """No product is off by more: its square is off by some 1e-16 of the largest squares."""
+        size = max(float(np.abs(x).max(initial=0.0)), float(np.abs(self.pivots).max(initial=0.0))) * x.shape[1]
+        return size * 1e-6 + 1e-300
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each row and its distance to the leaf's pivot."""
+        leaf, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+        step = max(1, BLOCK_CELLS // len(self.pivots))
+        for s in range(0, len(x), step):
+            d = self._distances(x[s:s + step], self.pivots)
+            leaf[s:s + step] = d.argmin(axis=1)
+            dist[s:s + step] = d[np.arange(len(d)), leaf[s:s + step]]
+        return leaf, dist
+
+    def describe(self, rows) -> None:
+        """Leaves that hold rows, with the range of their distances to the pivot."""
+        self.ids = np.array([r["leaf"] for r in rows], np.int64)
+        self.low, self.high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
+        self.pivots = self.pivots[self.ids]
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """rows x leaves lower bounds on the (signed) distance."""
+        d, slack = self._distances(x, self.pivots), self._slack(x)
+        if self.far:
+            return -(d + self.high + 2 * slack)
+        out = np.maximum(np.maximum(d - self.high, self.low - d) - 2 * slack, 0.0)
+        if self.metric == "euclidean" and len(x):
+            # rows of a leaf lie on its side of the plane between its pivot and the nearest one
+            home = d.argmin(axis=1)
+            homes, at = np.unique(home, return_inverse=True)
+            between = self._distances(self.pivots[homes], self.pivots)[at]
+            near = d[np.arange(len(x)), home][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(between > 100 * slack, (d * d - near * near - 4 * slack * (d + near + slack)) / (2 * between) - 2 * slack, 0.0)
+            # cells were cut with products too: a row may be on the wrong side by as much
+            reach = np.maximum(self.high[None, :], near)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane -= np.where(between > 100 * slack, 4 * slack * (reach + slack) / (2 * between), 0.0)
+            out = np.maximum(out, plane)
+        return out
 
-    def add_leaf(batches):
-        for pdf in batches:
-            x = _matrix(pdf["v"], p)
-            pdf["leaf"] = tree.assign(np.where(np.isnan(x), fill, x) if missing else x).astype("int32")
-            yield pdf
-    rl = rt.mapInPandas(add_leaf, _with_leaf(rt.schema))
-    rl = rl.persist(StorageLevel.MEMORY_AND_DISK)
-    boxes = _boxes(rl, p)
-    chunks = {leaf: max(1, math.ceil(n / (4 * leaf_rows))) for leaf, n in boxes["count"].items()}
-    ids, lows, highs, gaps = boxes["ids"], boxes["low"], boxes["high"], boxes["gap"]
 
-    far, plain = metric.startswith("-"), metric.lstrip("-")
+class Boxes:
+    """Leaves of a k-d tree with the boxes of their rows, for coordinates that may be missing."""
 
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """rows x leaves lower bounds on the (signed) distance."""
-        acc = np.zeros((len(x), len(ids)))
-        present = np.zeros(len(x))
-        for j in range(p):
+    def __init__(self, tree: Tree, fill: np.ndarray, metric: str, p: int):
+        self.tree, self.fill, self.metric, self.p = tree, fill, metric, p
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.tree.assign(np.where(np.isnan(x), self.fill, x)), np.zeros(len(x))
+
+    def describe(self, rows) -> None:
+        def grid(prefix, missing_value):
+            return np.array([[missing_value if r[f"{prefix}{j}"] is None else r[f"{prefix}{j}"] for j in range(self.p)]
+                             for r in rows], dtype="float64")
+        self.ids = np.array([r["leaf"] for r in rows], np.int64)
+        self.low, self.high = grid("a", -math.inf), grid("b", math.inf)
+        self.gap = np.array([[bool(r[f"m{j}"]) for j in range(self.p)] for r in rows])
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        acc, present = np.zeros((len(x), len(self.ids))), np.zeros(len(x))
+        for j in range(self.p):
             v = x[:, j, None]
-            under, over = lows[None, :, j] - v, v - highs[None, :, j]
-            d = np.maximum(-under, -over) if far else np.maximum(np.maximum(under, over), 0.0)
-            d = d if plain == "manhattan" else d * d
+            d = np.maximum(np.maximum(self.low[None, :, j] - v, v - self.high[None, :, j]), 0.0)
+            d = d if self.metric == "manhattan" else d * d
             here = ~np.isnan(x[:, j])
             present += here
-            d = np.where(here[:, None] & ~gaps[None, :, j], d, 0.0) if missing else d
-            acc += d
-        if missing:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                acc = np.where(present[:, None] > 0, acc * (p / present[:, None]), 0.0)
-        return (-1.0 if far else 1.0) * (acc if plain == "manhattan" else np.sqrt(acc))
+            acc += np.where(here[:, None] & ~self.gap[None, :, j], d, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            acc = np.where(present[:, None] > 0, acc * (self.p / present[:, None]), 0.0)
+        return acc if self.metric == "manhattan" else np.sqrt(acc)
+
+
+def leaf_count(n: int, leaf_rows: int, leaf_bytes: int, bytes_each: int) -> int:
+    """Leaves of about max(leaf_rows, sqrt(n)) rows, as many at most as leaf_bytes can describe."""
+    return int(max(1, min(math.ceil(n / max(leaf_rows, math.isqrt(n))), leaf_bytes // bytes_each)))
+
+
+def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows, leaf_bytes):
+    kk = k + 1 if exclude_self else k
+    rt = _thin_copies(rt, rk, kk, n_right)
+    leaves = leaf_count(n_right, leaf_rows, leaf_bytes, p * (17 if missing else 8) + 24)
+    sample = rt.orderBy(F.xxhash64(*[q(c) for c in rk])).select("v").limit(max(leaves, SAMPLE_ROWS) if missing else leaves).collect()
+    sample = np.array([[np.nan if x is None else x for x in r["v"]] for r in sample], dtype="float64")
+    if missing:
+        with np.errstate(all="ignore"):
+            fill = np.where(np.isnan(sample).all(axis=0), 0.0, np.nanmean(sample, axis=0))
+        parts = Boxes(build_tree(np.where(np.isnan(sample), fill, sample), leaves), fill, metric, p)
+    else:
+        parts = Pivots(np.unique(sample, axis=0), metric)
+
+    def add_leaf(batches):
+        for pdf in batches:
+            leaf, dist = parts.assign(_matrix(pdf["v"], p))
+            pdf["leaf"], pdf["reach"] = leaf.astype("int32"), dist
+            yield pdf
+    rl = cut_lineage(rt.mapInPandas(add_leaf, _with_leaf(rt.schema).add("reach", "double")))
+    rows = rl.groupBy("leaf").agg(F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"), *(_box(p) if missing else [])).orderBy("leaf").collect()
+    rl = rl.drop("reach")
+    parts.describe(rows)  # as many rows as leaves, bounded above
+    chunks = {r["leaf"]: max(1, math.ceil(r["n"] / (4 * leaf_rows))) for r in rows}
+    ids, step = parts.ids, max(1, BLOCK_CELLS // len(parts.ids))
 
     def homes(batches):
         for pdf in batches:
             x = _matrix(pdf["v"], p)
-            best = np.argmin(bounds(x), axis=1) if len(pdf) else np.zeros(0, int)
-            pdf["leaf"] = np.array(ids)[best].astype("int32")
+            best = [parts.bounds(x[s:s + step]).argmin(axis=1) for s in range(0, len(x), step)]
+            pdf["leaf"] = ids[np.concatenate(best or [np.zeros(0, int)])].astype("int32")
             yield pdf
     l_type = _with_leaf(lt.schema)
     # phase 1: the home leaf gives a bound on the k-th distance
-    home = lt.mapInPandas(homes, l_type).persist(StorageLevel.MEMORY_AND_DISK)
-    first = _meet(home, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type)
-    first = first.persist(StorageLevel.MEMORY_AND_DISK)
+    home = cut_lineage(lt.mapInPandas(homes, l_type))
+    first = cut_lineage(_meet(home, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type))
     w = W.partitionBy(*[q(c) for c in lk]).orderBy("distance")
     kth = (first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == k)
            .select(*[q(c) for c in lk], F.col("distance").alias("bound")))
@@ -269,17 +406,19 @@ def _tree_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
 
     def visits(batches):
         for pdf in batches:
-            x = _matrix(pdf["v"], p)
-            near = bounds(x) <= slack(pdf["bound"].to_numpy()[:, None]) if len(pdf) else np.zeros((0, len(ids)), bool)
-            near &= np.array(ids)[None, :] != pdf["leaf"].to_numpy()[:, None]
-            r, c = np.nonzero(near)
-            out = pdf.drop(columns=["bound"]).iloc[r].reset_index(drop=True)
-            out["leaf"] = np.array(ids)[c].astype("int32")
+            x, bound, mine = _matrix(pdf["v"], p), slack(pdf["bound"].to_numpy()), pdf["leaf"].to_numpy()
+            near = []
+            for s in range(0, len(x), step):
+                ok = (parts.bounds(x[s:s + step]) <= bound[s:s + step, None]) & (ids[None, :] != mine[s:s + step, None])
+                near += [ids[row].tolist() for row in ok]
+            out = pdf.drop(columns=["bound", "leaf"])
+            out["leaves"] = near
             yield out
-    cols = [q(f.name) for f in l_type.fields]
-    rest = bounded.select(*cols, "bound").mapInPandas(visits, l_type)
-    second = _meet(rest, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type)
-    return first.unionByName(second)
+    # one row for each left row, with the leaves it still has to see
+    v_type = T.StructType([f for f in l_type.fields if f.name != "leaf"]).add("leaves", T.ArrayType(T.IntegerType()))
+    left = cut_lineage(bounded.select(*[q(f.name) for f in l_type.fields], "bound").mapInPandas(visits, v_type))
+    rest = left.select(*[q(f.name) for f in v_type.fields if f.name != "leaves"], F.explode("leaves").alias("leaf"))
+    return first.unionByName(_meet(rest, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type))
 
 
 def _with_leaf(schema: T.StructType) -> T.StructType:
@@ -305,18 +444,12 @@ def _thin_copies(rt, rk, k, n):
     return salted.drop("__s")
 
 
-def _boxes(rl, p):
-    aggs = [F.count("*").alias("n")]
+def _box(p):
+    aggs = []
     for j in range(p):
         x = F.when(~F.isnan(F.col("v")[j]), F.col("v")[j])
         aggs += [F.min(x).alias(f"a{j}"), F.max(x).alias(f"b{j}"), F.bool_or(x.isNull()).alias(f"m{j}")]
-    rows = rl.groupBy("leaf").agg(*aggs).orderBy("leaf").collect()  # at most MAX_LEAVES rows
-    def grid(prefix, missing_value):
-        return np.array([[missing_value if r[f"{prefix}{j}"] is None else r[f"{prefix}{j}"] for j in range(p)]
-                         for r in rows], dtype="float64")
-    return {"ids": [r["leaf"] for r in rows], "count": {r["leaf"]: r["n"] for r in rows},
-            "low": grid("a", -math.inf), "high": grid("b", math.inf),
-            "gap": np.array([[bool(r[f"m{j}"]) for j in range(p)] for r in rows])}
+    return aggs
 
 
 def _meet(visits, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type):
@@ -327,7 +460,7 @@ def _meet(visits, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, o
             for leaf, c in chunks.items() if load.get(leaf)]
     if not plan:
         return spark.createDataFrame([], out_type)
-    table = F.broadcast(spark.createDataFrame(plan, "leaf int, chunks int, blocks int"))  # <= MAX_LEAVES
+    table = F.broadcast(spark.createDataFrame(plan, "leaf int, chunks int, blocks int"))  # a row for each leaf
     lkeys, rkeys = [q(c) for c in lk], [q(c) for c in rk]
     left = (visits.join(table, "leaf")
             .withColumn("block", F.pmod(F.xxhash64(*lkeys), F.col("blocks")).cast("int"))

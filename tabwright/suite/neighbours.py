@@ -9,20 +9,30 @@ from ..plans.neighbors import knn_join
 from .base import query, r6, rounded, table
 
 
-@query("C7", """SELECT l_vec_id, r_vec_id, round(d, 6) AS distance, rn::INTEGER AS rank FROM (SELECT a.vec_id AS l_vec_id, b.vec_id AS r_vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rn <= 5""")
+EMBEDDED = """SELECT l_vec_id, r_vec_id, round(d, 6) AS distance, rn::INTEGER AS rank FROM (SELECT a.vec_id AS l_vec_id, b.vec_id AS r_vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rn <= 5"""
+
+
+@query("C7", EMBEDDED)
 def nearest_embeddings(spark, sf):
     e = table(spark, sf, "embeddings")
     return rounded(knn_join(e, e, None, 5, ["vec_id"], ["vec_id"], vector="embedding", exclude_self=True), "distance")
 
 
+@query("C7", EMBEDDED)
+def nearest_embeddings_by_pivots(spark, sf):
+    """Through the leaves of pivots, as on a large right side."""
+    e = table(spark, sf, "embeddings")
+    return rounded(knn_join(e, e, None, 5, ["vec_id"], ["vec_id"], vector="embedding", exclude_self=True, broadcast_bytes=0, leaf_rows=64), "distance")
+
+
 @query("C7", """SELECT l_c_custkey, r_s_suppkey, round(d, 6) AS distance, rn::INTEGER AS rank FROM (SELECT c_custkey AS l_c_custkey, s_suppkey AS r_s_suppkey, sqrt(pow(c_acctbal / 1000 - s_acctbal / 1000, 2) + pow(c_nationkey - s_nationkey, 2)) AS d,
   row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt(pow(c_acctbal / 1000 - s_acctbal / 1000, 2) + pow(c_nationkey - s_nationkey, 2)), s_suppkey) AS rn FROM customer, supplier) WHERE rn <= 3""")
 def nearest_suppliers_by_tree(spark, sf):
     """Always through the tree plan, as on a large right side."""
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return rounded(knn_join(c, s, ["x", "y"], 3, ["c_custkey"], ["s_suppkey"], broadcast_values=0, leaf_rows=16), "distance")
+    return rounded(knn_join(c, s, ["x", "y"], 3, ["c_custkey"], ["s_suppkey"], broadcast_bytes=0, leaf_rows=16), "distance")
 
 
 GAPS = """(SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal / 1000 END AS x, CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey::DOUBLE END AS y, (c_custkey % 31)::DOUBLE AS z FROM customer)"""

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from tabwright.operators.outliers import shortest_half_centre
 from tabwright.operators.splitting import hash_order, smallest, smallest_per_class
-from tabwright.plans.neighbors import knn_join
+from tabwright.plans.neighbors import Pivots, block_top_k, knn_join, leaf_count
 from tabwright.plans.ordered import running_totals
 from tabwright.plans.quantiles import grouped_quantiles, quantiles_of
 from tabwright.plans.textorder import number_sorted
@@ -81,34 +81,81 @@ def result(df):
     return got
 
 
-@pytest.mark.parametrize("broadcast_values", [10_000_000, 0])
-def test_knn_join_is_exact(spark, broadcast_values):
+@pytest.mark.parametrize("broadcast_bytes", [10_000_000, 0])
+def test_knn_join_is_exact(spark, broadcast_bytes):
     rng = np.random.RandomState(1)
     x = np.round(rng.normal(size=(220, 3)) * 10)  # whole numbers: equal distances are equal exactly
     x[:70] = x[0]  # a third of the rows are copies of one point
     d, cols = points(spark, x)
-    got = result(knn_join(d, d, cols, 4, ["id"], ["id"], exclude_self=True, broadcast_values=broadcast_values, leaf_rows=16))
+    got = result(knn_join(d, d, cols, 4, ["id"], ["id"], exclude_self=True, broadcast_bytes=broadcast_bytes, leaf_rows=16))
     assert got == brute_knn(x, x, 4, same=True)
 
 
-@pytest.mark.parametrize("broadcast_values", [10_000_000, 0])
-def test_knn_join_with_missing_coordinates(spark, broadcast_values):
+@pytest.mark.parametrize("broadcast_bytes", [10_000_000, 0])
+def test_knn_join_with_missing_coordinates(spark, broadcast_bytes):
     rng = np.random.RandomState(2)
     x = rng.normal(size=(150, 3))
     x[rng.rand(150, 3) < 0.2] = np.nan
     x[np.isnan(x).all(axis=1)] = 0.0
     d, cols = points(spark, x)
-    got = result(knn_join(d, d, cols, 3, ["id"], ["id"], missing=True, exclude_self=True, broadcast_values=broadcast_values, leaf_rows=12))
+    got = result(knn_join(d, d, cols, 3, ["id"], ["id"], missing=True, exclude_self=True, broadcast_bytes=broadcast_bytes, leaf_rows=12))
     assert got == brute_knn(x, x, 3, True, same=True)
 
 
 def test_knn_join_farthest(spark):
     x = np.random.RandomState(3).normal(size=(120, 2))
     d, cols = points(spark, x)
-    got = result(knn_join(d, d, cols, 3, ["id"], ["id"], metric="-euclidean", broadcast_values=0, leaf_rows=10))
+    got = result(knn_join(d, d, cols, 3, ["id"], ["id"], metric="-euclidean", broadcast_bytes=0, leaf_rows=10))
     assert got == brute_knn(x, x, 3, sign=-1.0)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_knn_join_by_pivots_in_many_dimensions(spark, metric):
+    rng = np.random.RandomState(5)
+    centres = rng.randint(-200, 200, (6, 24))
+    x = (centres[rng.randint(0, 6, 260)] + rng.randint(-5, 6, (260, 24))).astype(float)
+    x[200:] = x[3]  # many copies
+    x[7, 0] = np.inf  # at no finite distance
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = result(knn_join(d, d, None, 3, ["id"], ["id"], vector="v", metric=metric, exclude_self=True, broadcast_bytes=0, leaf_rows=10))
+    use = [i for i in range(260) if i != 7]
+    far = np.abs(x[:, None, :] - x[None, :, :]).sum(axis=2) if metric == "manhattan" else ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    assert got == {i: sorted((j for j in use if j != i), key=lambda j: (far[i, j], j))[:3] for i in use}
+
+
+def test_blocks_are_exact_far_from_zero():
+    rng = np.random.RandomState(6)
+    a, b = 1e7 + rng.randint(0, 9, (40, 5)).astype(float), 1e7 + rng.randint(0, 9, (300, 5)).astype(float)
+    b[17] = -3e7
+    r, c, v = block_top_k(a, b, 4, "euclidean", False)
+    far = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    want = [(i, j) for i in range(40) for j in np.lexsort((np.arange(300), far[i]))[:4]]
+    assert list(zip(r, c)) == want and np.allclose(v, [far[i, j] for i, j in want], rtol=1e-15)
+
+
+def test_pivots_bound_and_prune():
+    rng = np.random.RandomState(7)
+    centres = rng.normal(size=(12, 8)) * 50
+    right, left = (centres[rng.randint(0, 12, n)] + rng.normal(size=(n, 8)) for n in (600, 200))
+    for metric in ("euclidean", "manhattan", "-euclidean"):
+        p = Pivots(right[:30].copy(), metric)
+        leaf, reach = p.assign(right)
+        p.describe([{"leaf": i, "low": reach[leaf == i].min(), "high": reach[leaf == i].max()} for i in np.unique(leaf)])
+        diff = np.abs(left[:, None, :] - right[None, :, :])
+        far = diff.sum(axis=2) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=2)) * (-1 if metric[0] == "-" else 1)
+        bound = p.bounds(left)
+        for k, i in enumerate(p.ids):
+            assert (bound[:, k] <= far[:, leaf == i].min(axis=1) + 1e-12).all()
+        if metric[0] != "-":
+            kth = np.sort(far, axis=1)[:, 4]
+            assert (bound <= kth[:, None]).mean() < 0.3  # most leaves are never visited
+
+
+def test_leaves_grow_with_the_table():
+    assert [leaf_count(n, 4096, 16 << 20, 536) for n in (100, 10 ** 6, 10 ** 8)] == [1, 245, 10_000]
+    assert leaf_count(10 ** 12, 4096, 16 << 20, 536) == (16 << 20) // 536
+
+
 def test_kendall_matches_pairs(spark):
     rng = np.random.RandomState(4)
     x = np.where(rng.rand(300) < 0.35, 5, rng.randint(0, 40, 300)).astype(float)
