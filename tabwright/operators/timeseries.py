@@ -33,10 +33,10 @@ def over_slices(df: DataFrame, art: dict, halo: int, build) -> DataFrame:
     Without ``group_by`` the whole table is one group, so it is always cut by range once it is
     larger than ``hot_rows``.
     """
-    cut, parts = split_hot_groups(df, art["group_by"], art["sort_by"], halo, art["hot_rows"])
-    w = W.partitionBy(*[q(p) for p in parts]).orderBy(*[q(s).asc_nulls_first() for s in art["sort_by"]])
+    cut, parts, order = split_hot_groups(df, art["group_by"], art["sort_by"], halo, art["hot_rows"])
+    w = W.partitionBy(*[q(p) for p in parts]).orderBy(*order)
     out = cut.select("*", *[e.alias(n) for n, e in build(w).items()])
-    return out.where(~F.col("__halo")).drop("__slice", "__halo")
+    return out.where(~F.col("__halo")).drop("__slice", "__halo", "__tie", "__all")
 
 
 @operator("LagFeatures")

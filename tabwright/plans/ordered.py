@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..core import q
+from ..session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
@@ -65,57 +66,81 @@ def running_totals(df: DataFrame, value: str, totals: Sequence[str],
             .select(*keep, *shifted, F.coalesce("next_value", "next_lo").alias("next_value")))
 
 
+#: sampled rows for each boundary between slices, and rows of a small table that may be broadcast
+PER_BOUND, SMALL_TABLE = 64, 100_000
+
+
+def _null_safe(left: Sequence[str], right: Sequence[str]):
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & q(a).eqNullSafe(q(b))
+    return out
+
+
+def _beside(df: DataFrame, table: DataFrame, rows: int, keys: Sequence[str], how: str) -> DataFrame:
+    """Join by keys that may be null; broadcast below a checked number of rows."""
+    return df.join(F.broadcast(table) if rows <= SMALL_TABLE else table, _null_safe(keys, [f"__k{i}" for i in range(len(keys))]), how)
+
+
 def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[str], halo: int,
-                     hot_rows: int = 5_000_000) -> tuple[DataFrame, list[str]]:
-    """Cut oversized groups into ranges of the first sort column for frames of bounded width.
+                     hot_rows: int = 5_000_000) -> tuple[DataFrame, list[str], list]:
+    """Cut oversized groups into ranges of the whole sort tuple for frames of bounded width.
 
-    Returns a frame with ``__slice`` and ``__halo`` and the partition columns to use. Each slice
+    Returns a frame with ``__slice`` and ``__halo``, the partition columns and the order to use. Each slice
     also receives the last ``halo`` rows before it, marked ``__halo``, so a frame reaching at most
-    ``halo`` rows back sees what it would see in the whole group. Groups below the limit (all of
-    them, usually) are left alone and cost nothing but the counting pass.
+    ``halo`` rows back sees what it would see in the whole group. Boundaries are quantiles of a
+    hash sample of the tuples, any type that sorts; rows with equal tuples are told apart by a hash of
+    the whole row, so a tuple that many rows share is cut like any other (rows equal in every
+    column stay together). Hot groups, boundaries and halos are tables. Groups below the limit
+    (all of them, usually) are left alone and cost nothing but the counting pass.
     """
-    lead = sort_by[0]
-    order_value = df.select(lead).schema[0].dataType
-    as_num = (q(lead).cast("timestamp").cast("double")
-              if order_value.typeName() in ("date", "timestamp", "timestamp_ntz")
-              else q(lead).cast("double") if order_value.typeName() != "string" else None)
     keys = list(group_by)
-    if as_num is None:
-        return df.withColumn("__slice", F.lit(0)).withColumn("__halo", F.lit(False)), keys + ["__slice"]
-    sizes = df.groupBy(*[q(k).alias(f"g{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_rows).collect()
-    slice_expr = F.lit(0)
-    for r in hot:
-        mine = F.lit(True)
-        for i, k in enumerate(keys):
-            mine = mine & q(k).eqNullSafe(F.lit(r[f"g{i}"]))
-        bounds = _safe_bounds(df.where(mine).select(as_num.alias("v")), r["n"], hot_rows, halo)
-        pos = F.lit(0)
-        for j, b in enumerate(bounds):
-            pos = F.when(as_num >= F.lit(b), F.lit(j + 1)).otherwise(pos)
-        slice_expr = F.when(mine, pos).otherwise(slice_expr)
-    cut = df.withColumn("__slice", slice_expr).withColumn("__halo", F.lit(False))
+    if not keys:
+        df = df.withColumn("__all", F.lit(0))
+        keys = ["__all"]
+    order = [q(s).asc_nulls_first() for s in sort_by]
+    named = [q(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    kn = [f"__k{i}" for i in range(len(keys))]
+    hot = cut_lineage(df.groupBy(*named).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows))
+    n_hot = hot.count()
+    if not n_hot:
+        return df.withColumn("__slice", F.lit(0)).withColumn("__halo", F.lit(False)), keys + ["__slice"], order
+    plain = [q(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    df = df.withColumn("__tie", F.xxhash64(*plain))
+    order = order + [F.col("__tie").asc()]
+    at = F.struct(*[q(s).alias(f"s{i}") for i, s in enumerate(sort_by)], F.col("__tie").alias("tie"))
+    # boundaries of every hot group: each PER_BOUND-th of its sampled tuples
+    rate = min(1.0, 2 * PER_BOUND / max(hot_rows, 2 * halo + 1))
+    mine = _beside(df.select(*[q(k) for k in keys], at.alias("__at")), hot, n_hot, keys, "inner")
+    sample = mine.where(F.pmod(F.xxhash64("__at", F.lit(7)), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select(*kn, "__at")
+    step = max(1, round(rate * max(hot_rows, 2 * halo + 1) / 2))
+    place = F.row_number().over(W.partitionBy(*kn).orderBy("__at"))
+    bounds = sample.withColumn("__r", place).where(F.col("__r") % step == 0).groupBy(*kn).agg(F.array_sort(F.collect_set("__at")).alias("__bounds"))
+    wide = F.ceil(F.sqrt(F.size("__bounds"))).cast("int")
+    bounds = cut_lineage(bounds.withColumn("__wide", wide).withColumn("__heads", F.filter("__bounds", lambda _, i: i % F.col("__wide") == 0)))
+    n_bounds = bounds.agg(F.sum(F.size("__bounds"))).first()[0] or 0
+    # two short scans: which stretch of boundaries, then which of its boundaries
+    cut = _beside(df, bounds, n_bounds, keys, "left").withColumn("__at", at)
+    head = F.size(F.filter("__heads", lambda b: b <= F.col("__at")))
+    inner = F.slice("__bounds", (F.greatest(F.col("__head"), F.lit(1)) - 1) * F.col("__wide") + 1, F.col("__wide"))
+    cut = cut.withColumn("__head", head).withColumn("__slice", F.when(F.col("__head") > 0, (F.col("__head") - 1) * F.col("__wide") + F.size(F.filter(inner, lambda b: b <= F.col("__at")))).otherwise(0).cast("int"))
+    cut = cut.select(*[q(c) for c in df.columns], "__slice").withColumn("__halo", F.lit(False))
     parts = keys + ["__slice"]
-    if not hot:
-        return cut, parts
-    w = W.partitionBy(*[q(k) for k in parts]).orderBy(*[q(s).desc_nulls_last() for s in sort_by])
-    tail = (cut.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= halo)
-            .drop("__back").withColumn("__slice", F.col("__slice") + 1)
-            .withColumn("__halo", F.lit(True)))
-    return cut.unionByName(tail), parts
-
-
-def _safe_bounds(values: DataFrame, n: int, hot_rows: int, halo: int) -> list[float]:
-    """Range boundaries whose every slice holds at least ``halo`` rows."""
-    bounds = range_bounds(values, "v", max(hot_rows // 2, 2 * halo + 1), n)
-    if not bounds:
-        return []
-    sliced = add_bucket(values.na.drop(), "v", bounds)
-    got = {int(r[0]): r[1] for r in sliced.groupBy("__bucket").count().collect()}
-    kept, run = [], 0
-    for i, b in enumerate(bounds):
-        run += got.get(i, 0)
-        if run >= max(halo, 1):
-            kept.append(b)
-            run = 0
-    return kept
+    if halo < 1:
+        return cut, parts, order
+    back = W.partitionBy(*[q(k) for k in parts]).orderBy(*[q(s).desc_nulls_last() for s in sort_by], F.col("__tie").desc())
+    tails = cut.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= halo)
+    tails = cut_lineage(_beside(tails, hot.select(*kn), n_hot, keys, "left_semi"))  # halo rows for each slice
+    # a slice may hold fewer rows than the halo: then it takes from those before it too
+    each = tails.groupBy(*named, "__slice").agg(F.count("*").alias("m"))
+    each = each.withColumn("c", F.sum("m").over(W.partitionBy(*kn).orderBy("__slice")))
+    upto = each.groupBy(*kn).agg(F.array_sort(F.collect_list(F.struct("__slice", "c"))).alias("__upto"), F.max("__slice").alias("__last"))
+    far = _beside(tails, upto, n_bounds, keys, "inner")
+    own = F.filter("__upto", lambda u: u["__slice"] == F.col("__slice"))[0]["c"]
+    reach = F.filter("__upto", lambda u: (u["__slice"] >= F.col("__slice")) & (u["c"] - F.col("__own") + F.col("__back") <= halo))
+    far = far.withColumn("__own", own).withColumn("__until", F.array_max(F.transform(reach, lambda u: u["__slice"])))
+    following = F.filter("__upto", lambda u: (u["__slice"] > F.col("__slice")))
+    last = F.coalesce(F.array_min(F.transform(F.filter(following, lambda u: u["__slice"] > F.col("__until")), lambda u: u["__slice"])), F.col("__last"))
+    far = far.withColumn("__to", F.filter(F.transform(following, lambda u: u["__slice"]), lambda t: t <= last))
+    halos = far.withColumn("__slice", F.explode("__to")).withColumn("__halo", F.lit(True))
+    return cut.unionByName(halos.select(*[q(c) for c in cut.columns])), parts, order

@@ -25,6 +25,23 @@ def lag_whole_table_sliced(spark, sf):
     return d.select("event_id", "value_lag_2")
 
 
+@query("F1", """SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 4) OVER w AS value_lag_4 FROM events WINDOW w AS (ORDER BY event_type, props, event_id)""")
+def lag_by_text_sliced(spark, sf):
+    """The whole table is one group, sorted by texts that many rows share; slices are cut in the middle of them."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "props", "value")
+    d = fit_apply("LagFeatures", e, columns=["value"], lags=[1, 4], sort_by=["event_type", "props", "event_id"], hot_rows=1500)
+    return d.select("event_id", "value_lag_1", "value_lag_4")
+
+
+@query("F2", """SELECT event_id, round(avg(value) OVER w, 6) AS value_roll_mean_40, max(value) OVER w AS value_roll_max_40 FROM events
+  WINDOW w AS (PARTITION BY user_id % 2 ORDER BY event_type, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)""")
+def rolling_tied_lead_sliced(spark, sf):
+    """Two large groups whose first sort column has five values; a slice holds fewer rows than a frame reaches over."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value", (F.col("user_id") % 2).alias("half"))
+    d = fit_apply("RollingAggregate", e, columns=["value"], window=40, aggregations=["mean", "max"], group_by=["half"], sort_by=["event_type", "event_id"], hot_rows=60)
+    return d.select("event_id", r6("value_roll_mean_40").alias("value_roll_mean_40"), "value_roll_max_40")
+
+
 ROLL = "ROWS BETWEEN 4 PRECEDING AND CURRENT ROW"
 
 

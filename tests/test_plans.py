@@ -9,7 +9,8 @@ from pyspark.sql import Window as W, functions as F
 from tabwright.operators.outliers import shortest_half_centre
 from tabwright.operators.splitting import hash_order, smallest, smallest_per_class
 from tabwright.plans.neighbors import Pivots, block_top_k, knn_join, leaf_count
-from tabwright.plans.ordered import running_totals
+from tabwright.core import fit_apply
+from tabwright.plans.ordered import running_totals, split_hot_groups
 from tabwright.plans.quantiles import grouped_quantiles, quantiles_of
 from tabwright.plans.textorder import number_sorted
 from tabwright.profiling.correlations import kendall_tau, signed_pairs
@@ -52,6 +53,34 @@ def test_running_totals_over_many_ranges(spark):
     assert [r["next_value"] for r in rows] == [float(x) for x in v[1:]] + [None]
 
 
+@pytest.mark.parametrize("window", [2, 9, 70])
+def test_slices_of_hot_groups(spark, window):
+    rng = np.random.RandomState(8)
+    words = [None, "a", "b", "é", "zz"]
+    rows = [(i, ["hot", None, f"g{i % 9}"][min(2, rng.randint(0, 4))], words[rng.randint(0, 5)], float(rng.randint(0, 3)), int(rng.randint(0, 1000))) for i in range(900)]
+    d = spark.createDataFrame(rows, "id long, g string, t string, u double, v long").withColumn("m", F.create_map(F.lit("k"), F.col("v"))).repartition(5)
+    got = fit_apply("RollingAggregate", d, columns=["v"], window=window, aggregations=["sum"], group_by=["g"], sort_by=["t", "u", "id"], hot_rows=50)
+    assert got.columns == d.columns + [f"v_roll_sum_{window}"]
+    want, groups = {}, {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[3], r[0])):
+        past = groups.setdefault(r[1], [])
+        past.append(r[4])
+        want[r[0]] = float(sum(past[-window:]))
+    assert {r["id"]: r[-1] for r in got.collect()} == want
+    cut, _, _ = split_hot_groups(d, ["g"], ["t", "u", "id"], window - 1, 50)
+    sizes = {(r["g"], r["__slice"]): r["count"] for r in cut.where(~F.col("__halo")).groupBy("g", "__slice").count().collect()}
+    whole = {g: sum(n for k, n in sizes.items() if k[0] == g) for g, _ in sizes}
+    assert max(sizes.values()) < 110 and sum(sizes.values()) == 900 and all((k[1] == 0) or whole[k[0]] > 50 for k in sizes)
+
+
+def test_slices_cut_a_shared_tuple(spark):
+    d = spark.range(800).select("id", F.lit("same").alias("t"), (F.col("id") % 5).alias("v"))
+    out = fit_apply("LagFeatures", d, columns=["v"], lags=[1], sort_by=["t"], hot_rows=100)
+    assert out.where("v_lag_1 IS NULL").count() == 1 and out.count() == 800
+    cut, _, _ = split_hot_groups(d, [], ["t"], 1, 100)
+    assert cut.select("__slice").distinct().count() > 5
+
+
 def brute_knn(a, b, k, missing=False, same=None, sign=1.0):
     out = {}
     for i, x in enumerate(a):
