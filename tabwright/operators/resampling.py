@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..core import Operator, is_numeric, nn, num, operator, q
 from ..functions.expressions import hash_rank
 from ..plans.neighbors import knn_join
+from ..session import cut_lineage
 from .splitting import class_totals, hash_order, key_text, smallest_per_class
 
 
@@ -112,7 +113,7 @@ class Oversampling(_Resampler):
         near = pairs.select(*[q(f"l_{c}").alias(c) for c in keys], "rank",
                             F.struct(*[q(f"r_{c}").alias(c) for c in feats]).alias("nb"))
         got = near.groupBy(*[q(c) for c in keys]).agg(F.array_sort(F.collect_list(F.struct("rank", "nb"))).alias("nbs"))
-        base = seeds.join(got, keys)
+        base = cut_lineage(seeds.join(got, keys))  # the neighbour join runs once
         # integer shares: floor, then one more with probability of the remainder, by key hash
         share = F.lit(float(need)) * F.col("w") / F.lit(float(weights_total))
         floor = F.floor(share)
@@ -167,7 +168,7 @@ class Oversampling(_Resampler):
         pairs = knn_join(mine, pool, art["features"], m, keys, keys, exclude_self=True, carry=["__y"])
         other = F.avg((~F.col("r___y").eqNullSafe(F.lit(k))).cast("double"))
         t = pairs.groupBy(*[q(f"l_{c}").alias(c) for c in keys]).agg(other.alias("__d"))
-        return mine.join(t, keys)
+        return cut_lineage(mine.join(t, keys))
 
     def adasyn(self, df, art):
         def seeds(d, a, k, mine, cls):
@@ -241,7 +242,7 @@ def nearest_one(df: DataFrame, target: str, feats: list[str], keys: list[str]) -
 def tomek_filter(df: DataFrame, target: str, feats: list[str], keys: list[str], both: bool = False,
                  keep: str | None = None) -> DataFrame:
     """Drop members of mutual nearest pairs of different classes, sparing class ``keep``."""
-    pairs = nearest_one(df, target, feats, keys).persist()
+    pairs = cut_lineage(nearest_one(df, target, feats, keys))
     fwd = pairs.select(*[q(f"l_{c}").alias(f"a_{c}") for c in keys], *[q(f"r_{c}").alias(f"b_{c}") for c in keys],
                        F.col("r___y").alias("by"))
     back = pairs.select(*[q(f"l_{c}").alias(f"b_{c}") for c in keys], *[q(f"r_{c}").alias(f"a_{c}") for c in keys],
@@ -344,7 +345,7 @@ class Undersampling(_Resampler):
                 p = knn_join(pool, rare, feats, k, keys, keys)
                 scored = p.groupBy(*[q(f"l_{x}").alias(x) for x in keys]).agg(F.avg("distance").alias("__s"))
             score = F.col("__s") if version != 3 else -F.col("__s")
-            ranked = scored.withColumn("__v", score)
+            ranked = cut_lineage(scored.withColumn("__v", score))
             from .splitting import smallest
             n = ranked.count()
             take = smallest(ranked, [F.col("__v")] + hash_order(keys, 0), min(low, n), n)

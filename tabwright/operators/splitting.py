@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import Operator, Splits, nn, operator, q
 from ..functions.expressions import hash_rank
+from ..plans.ordered import segmented_totals
 from ..plans.quantiles import order_statistics
+from ..session import cut_lineage
 
-# Classes up to this many are cut by rank thresholds in one pass each side; more classes means
-# small classes, which are ranked in a window unless they are large.
-THRESHOLD_CLASSES = 60
-HOT_CLASS_ROWS = 2_000_000
+#: hashes of hash_order are below this
+HASH_RANGE = float(1 << 52)
 
 
 def key_text(keys: list[str]) -> Column:
@@ -52,40 +52,68 @@ def smallest(df: DataFrame, order: list[Column], take: int, total: int | None =
 def smallest_per_class(df: DataFrame, cls: Column, order: list[Column], take: dict, totals: dict
                        ) -> tuple[DataFrame, Column]:
     """As ``smallest`` inside every class. Returns the frame to filter and the condition on it."""
-    hot = list(totals) if len(totals) <= THRESHOLD_CLASSES else [k for k, n in totals.items() if n > HOT_CLASS_ROWS]
-    hot = [k for k in hot if 0 < take[k] < totals[k]]
-    cond = F.lit(False)
-    if hot:
-        e = order[0].cast("double")
-        exprs = [F.when(cls.eqNullSafe(F.lit(k)), e) for k in hot]
-        _, found = order_statistics(df, exprs, [[take[k] / totals[k]] for k in hot],
-                                    lambda i, n: [take[hot[i]] - 1])
-        cuts = {k: found[i][take[k] - 1] for i, k in enumerate(hot)}
-        row = df.agg(*[x for k in hot for x in (
-            F.count_if(cls.eqNullSafe(F.lit(k)) & (e < F.lit(cuts[k]))),
-            F.count_if(cls.eqNullSafe(F.lit(k)) & (e == F.lit(cuts[k]))))]).first()
-        for i, k in enumerate(hot):
-            below, ties = row[2 * i], row[2 * i + 1]
-            mine = cls.eqNullSafe(F.lit(k))
-            if below + ties == take[k]:
-                c = e <= F.lit(cuts[k])
-            else:
-                c = (e < F.lit(cuts[k])) | ((e == F.lit(cuts[k])) & smallest(
-                    df.where(mine & (e == F.lit(cuts[k]))), order[1:], take[k] - below, ties))
-            cond = cond | (mine & c)
-    for k, n in totals.items():
-        if take[k] >= n and (k in hot or len(totals) <= THRESHOLD_CLASSES):
-            cond = cond | cls.eqNullSafe(F.lit(k))
-    cold = [] if len(totals) <= THRESHOLD_CLASSES else [k for k in totals if k not in hot]
-    if cold:
-        table = df.sparkSession.createDataFrame([(k, take[k]) for k in cold], "__ck string, __take long")
-        w = W.partitionBy(cls).orderBy(*order)
-        is_cold = F.when(cls.isin(hot), F.lit(None)).otherwise(cls) if hot else cls
-        df = df.withColumn("__rn", F.row_number().over(w)) if not hot else df.where(~cls.isin(hot)).withColumn(
-            "__rn", F.row_number().over(w)).unionByName(df.where(cls.isin(hot)).withColumn("__rn", F.lit(None).cast("int")))
-        df = df.join(F.broadcast(table), is_cold == F.col("__ck"), "left")  # <= 100,000 classes, checked by caller
-        cond = cond | (F.col("__rn") <= F.col("__take"))
-    return df, F.coalesce(cond, F.lit(False))
+    marked, conds = smallest_in_classes(df, cls, order, [take], totals)
+    return marked, conds[0]
+
+
+def smallest_in_classes(df: DataFrame, cls: Column, order: list[Column], takes: list[dict], totals: dict
+                        ) -> tuple[DataFrame, list[Column]]:
+    """Conditions that hold for exactly ``takes[i][class]`` rows of every class, the first by ``order``.
+
+    Hashes are spread evenly, so the last row to take lies within a few standard deviations of its
+    share of the hash range: one pass counts the rows below that stretch, for all classes and cuts at
+    once, and keeps only those inside it to rank. Classes whose hashes are not spread so (keys that repeat) are ranked
+    whole, in slices. The cuts are a table with a row for each class, not expressions in the plan.
+    """
+    spark = df.sparkSession
+    wanted, all_of = [], []
+    for i, take in enumerate(takes):
+        for k, n in totals.items():
+            t = min(int(take[k]), n)
+            if t == n:
+                all_of.append((k, i))
+            elif t > 0:
+                p = t / n
+                wide = 8 * math.sqrt(max(p * (1 - p), 1 / n) / n) + 16 / n
+                wanted.append((k, i, t, max(0.0, p - wide) * HASH_RANGE, min(1.0, p + wide) * HASH_RANGE))
+    cuts = None
+    todo, whole = spark.createDataFrame(wanted, "__ck string, __which int, __take long, __lo double, __hi double"), False
+    while wanted:
+        found = cut_lineage(_class_cuts(df, cls, order, todo, len(wanted), whole))
+        odd = found.where(F.col("cum") != F.col("__take")).limit(1).count()
+        if odd:
+            raise ValueError("the order columns do not tell rows apart")
+        cuts = found if cuts is None else cuts.unionByName(found)
+        have = {(r["__ck"], r["__which"]) for r in found.select("__ck", "__which").collect()}
+        wanted = [w for w in wanted if w[:2] not in have]
+        if wanted and whole:
+            raise ValueError("classes changed while they were counted")
+        todo, whole = spark.createDataFrame([(*w[:3], -math.inf, math.inf) for w in wanted], "__ck string, __which int, __take long, __lo double, __hi double"), True
+    at = F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order)])
+    kind = df.select(at.alias("a")).schema["a"].dataType
+    none = spark.createDataFrame(all_of, "__ck string, __which int").withColumn("__cut", F.lit(None).cast(kind))
+    table = none if cuts is None else none.unionByName(cuts.select("__ck", "__which", F.col("__at").cast(kind).alias("__cut")))
+    conds = []
+    for i in range(len(takes)):
+        mine = table.where(F.col("__which") == i).select(F.col("__ck").alias(f"__ck{i}"), F.col("__cut").alias(f"__cut{i}"), F.lit(True).alias(f"__in{i}"))
+        df = df.join(F.broadcast(mine), cls.eqNullSafe(F.col(f"__ck{i}")), "left")  # a row for each class, checked by class_totals
+        conds.append(F.coalesce(F.col(f"__in{i}") & (F.col(f"__cut{i}").isNull() | (at <= F.col(f"__cut{i}"))), F.lit(False)))
+    return df, conds
+
+
+def _class_cuts(df: DataFrame, cls: Column, order: list[Column], wanted: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(class, which, take, the last row's order, rows up to it) where the last row lies inside its bracket."""
+    rows = df.select(cls.alias("__c"), F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order)]).alias("__o"), order[0].cast("double").alias("__h"))
+    hit = rows.join(F.broadcast(wanted), F.col("__c").eqNullSafe(F.col("__ck"))).where(F.col("__h") <= F.col("__hi"))
+    keys = ["__ck", "__which", "__take"]
+    # rows below the bracket become one row of each task
+    counts = hit.groupBy(*keys, F.when(F.col("__h") >= F.col("__lo"), F.col("__o")).alias("__at")).agg(F.count("*").alias("n"))
+    if whole:
+        run = segmented_totals(counts, keys, "__at", ["n"]).withColumnRenamed("cum_n", "cum")
+    else:
+        w = W.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+        run = counts.withColumn("cum", F.sum("n").over(w))
+    return run.where(F.col("__at").isNotNull() & (F.col("cum") - F.col("n") < F.col("__take")) & (F.col("__take") <= F.col("cum"))).select(*keys, "__at", "cum")
 
 
 def class_totals(df: DataFrame, cls: Column, limit: int = 100_000) -> dict:
@@ -164,15 +192,11 @@ class TrainTestSplitter(Operator):
         left = {k: totals[k] - t1[k] for k in totals}
         t2 = {k: t1[k] + v for k, v in allocate(left, n_val).items()} if n_val else t1
         cols = [q(c) for c in df.columns]
-        f1, test = smallest_per_class(df, cls, order, t1, totals)
+        marked, (test, *more) = smallest_in_classes(df, cls, order, [t1, t2] if n_val else [t1], totals)
+        part = lambda c: marked.where(c).select(*cols)
         if not n_val:
-            return Splits(f1.where(~test).select(*cols), f1.where(test).select(*cols))
-        f2, upto = smallest_per_class(df, cls, order, t2, totals)
-        both = (f2.withColumn("__u", upto).select(*cols, "__u"))
-        f3, test3 = smallest_per_class(both, cls, order, t1, totals)
-        marked = f3.withColumn("__t", test3)
-        return Splits(marked.where(~F.col("__u")).select(*cols), marked.where("__t").select(*cols),
-                      marked.where(F.col("__u") & ~F.col("__t")).select(*cols))
+            return Splits(part(~test), part(test))
+        return Splits(part(~more[0]), part(test), part(more[0] & ~test))
 
 
 def _numeric_order(df: DataFrame, c: str) -> Column:

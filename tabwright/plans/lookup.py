@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import q
-from ..session import shared_table_path
+from ..session import cut_lineage, shared_table_path
 
 INLINE_KEYS = 1_000
 BROADCAST_KEYS = 200_000
@@ -61,6 +61,10 @@ def map_join(df: DataFrame, column: str, mapping: dict, default: Any = None, out
 
 def size_checked_join(df: DataFrame, small: DataFrame, on, how: str = "left",
                       limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Join a side that is unique on its key: broadcast below the checked size, shuffle above."""
-    n = small.limit(limit + 1).count()
-    return df.join(F.broadcast(small) if n <= limit else small, on, how)
+    """Join a side that is unique on its key: broadcast below the checked size, shuffle above.
+
+    The side is computed once, into the shared folder, and counted there; a condition on its columns stays valid.
+    """
+    rows = cut_lineage(small)
+    n = rows.limit(limit + 1).count()
+    return df.join(F.broadcast(rows) if n <= limit else rows, on, how)

@@ -83,7 +83,7 @@ def _beside(df: DataFrame, table: DataFrame, rows: int, keys: Sequence[str], how
 
 
 def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[str], halo: int,
-                     hot_rows: int = 5_000_000) -> tuple[DataFrame, list[str], list]:
+                     hot_rows: int = 5_000_000, sizes: DataFrame | None = None) -> tuple[DataFrame, list[str], list]:
     """Cut oversized groups into ranges of the whole sort tuple for frames of bounded width.
 
     Returns a frame with ``__slice`` and ``__halo``, the partition columns and the order to use. Each slice
@@ -92,7 +92,8 @@ def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[s
     hash sample of the tuples, any type that sorts; rows with equal tuples are told apart by a hash of
     the whole row, so a tuple that many rows share is cut like any other (rows equal in every
     column stay together). Hot groups, boundaries and halos are tables. Groups below the limit
-    (all of them, usually) are left alone and cost nothing but the counting pass.
+    (all of them, usually) are left alone and cost nothing but the counting pass, and not that if
+    ``sizes`` (the keys and ``__n``, rows or more) is known.
     """
     keys = list(group_by)
     if not keys:
@@ -101,7 +102,8 @@ def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[s
     order = [q(s).asc_nulls_first() for s in sort_by]
     named = [q(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     kn = [f"__k{i}" for i in range(len(keys))]
-    hot = cut_lineage(df.groupBy(*named).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows))
+    sizes = df.groupBy(*named).agg(F.count("*").alias("__n")) if sizes is None else sizes.select(*named, "__n")
+    hot = cut_lineage(sizes.where(F.col("__n") > hot_rows))
     n_hot = hot.count()
     if not n_hot:
         return df.withColumn("__slice", F.lit(0)).withColumn("__halo", F.lit(False)), keys + ["__slice"], order
@@ -120,7 +122,7 @@ def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[s
     bounds = cut_lineage(bounds.withColumn("__wide", wide).withColumn("__heads", F.filter("__bounds", lambda _, i: i % F.col("__wide") == 0)))
     n_bounds = bounds.agg(F.sum(F.size("__bounds"))).first()[0] or 0
     # two short scans: which stretch of boundaries, then which of its boundaries
-    cut = _beside(df, bounds, n_bounds, keys, "left").withColumn("__at", at)
+    cut = _beside(df.withColumn("__at", at), bounds, n_bounds, keys, "left")
     head = F.size(F.filter("__heads", lambda b: b <= F.col("__at")))
     inner = F.slice("__bounds", (F.greatest(F.col("__head"), F.lit(1)) - 1) * F.col("__wide") + 1, F.col("__wide"))
     cut = cut.withColumn("__head", head).withColumn("__slice", F.when(F.col("__head") > 0, (F.col("__head") - 1) * F.col("__wide") + F.size(F.filter(inner, lambda b: b <= F.col("__at")))).otherwise(0).cast("int"))
@@ -132,15 +134,31 @@ def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[s
     tails = cut.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= halo)
     tails = cut_lineage(_beside(tails, hot.select(*kn), n_hot, keys, "left_semi"))  # halo rows for each slice
     # a slice may hold fewer rows than the halo: then it takes from those before it too
-    each = tails.groupBy(*named, "__slice").agg(F.count("*").alias("m"))
-    each = each.withColumn("c", F.sum("m").over(W.partitionBy(*kn).orderBy("__slice")))
-    upto = each.groupBy(*kn).agg(F.array_sort(F.collect_list(F.struct("__slice", "c"))).alias("__upto"), F.max("__slice").alias("__last"))
-    far = _beside(tails, upto, n_bounds, keys, "inner")
-    own = F.filter("__upto", lambda u: u["__slice"] == F.col("__slice"))[0]["c"]
-    reach = F.filter("__upto", lambda u: (u["__slice"] >= F.col("__slice")) & (u["c"] - F.col("__own") + F.col("__back") <= halo))
-    far = far.withColumn("__own", own).withColumn("__until", F.array_max(F.transform(reach, lambda u: u["__slice"])))
-    following = F.filter("__upto", lambda u: (u["__slice"] > F.col("__slice")))
-    last = F.coalesce(F.array_min(F.transform(F.filter(following, lambda u: u["__slice"] > F.col("__until")), lambda u: u["__slice"])), F.col("__last"))
-    far = far.withColumn("__to", F.filter(F.transform(following, lambda u: u["__slice"]), lambda t: t <= last))
-    halos = far.withColumn("__slice", F.explode("__to")).withColumn("__halo", F.lit(True))
+    each = tails.groupBy(*named, F.col("__slice").alias("__from")).agg(F.count("*").alias("m"))
+    of = W.partitionBy(*kn).orderBy("__from")
+    each = each.withColumn("c", F.sum("m").over(of)).withColumn("__before", F.col("c") - F.col("m"))
+    nexts = F.collect_list(F.struct(F.col("__from").alias("to"), F.col("__before").alias("before"))).over(of.rowsBetween(1, halo))
+    pairs = each.withColumn("__next", nexts).select(*kn, "__from", "c", F.explode("__next").alias("n"))
+    pairs = pairs.select(*kn, "__from", F.col("n.to").alias("__to"), (F.col("n.before") - F.col("c")).alias("__gap")).where(F.col("__gap") < halo)
+    near = _null_safe(keys, kn) & (F.col("__slice") == F.col("__from")) & (F.col("__back") + F.col("__gap") <= halo)
+    halos = tails.join(pairs, near).withColumn("__slice", F.col("__to")).withColumn("__halo", F.lit(True))
     return cut.unionByName(halos.select(*[q(c) for c in cut.columns])), parts, order
+
+
+def segmented_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Sequence[str],
+                     hot_rows: int = ROWS_PER_BUCKET, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``cum_<t>`` (inclusive, ascending value) within each segment.
+
+    A value must occur once in a segment: callers group first. All segments are windowed at once; those above
+    ``hot_rows`` rows are cut into slices, which are shifted by the totals of the slices before them.
+    """
+    cut, parts, order = split_hot_groups(df, keys, [value], 0, hot_rows, sizes)
+    w = W.partitionBy(*[q(p) for p in parts]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = cut.select("*", *[F.sum(q(t)).over(w).alias(f"cum_{t}") for t in totals])
+    if "__tie" not in cut.columns:  # nothing was cut
+        return out.drop("__slice", "__halo", "__all")
+    per = cut.groupBy(*[q(p) for p in parts]).agg(*[F.sum(q(t)).alias(f"sum_{t}") for t in totals])
+    before = W.partitionBy(*[q(k) for k in parts[:-1]]).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut_lineage(per.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(parts)], *[F.coalesce(F.sum(f"sum_{t}").over(before), F.lit(0)).alias(f"off_{t}") for t in totals]))
+    shifted = _beside(out, offsets, offsets.count(), parts, "left")
+    return shifted.select(*[q(c) for c in df.columns], *[(q(f"cum_{t}") + q(f"off_{t}")).alias(f"cum_{t}") for t in totals])

@@ -13,6 +13,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import agg_row, num, q
+from ..session import cut_lineage
 
 ACCURACY = 10_000
 CANDIDATE_LIMIT = 200_000
@@ -193,39 +194,42 @@ def grouped_quantiles(df: DataFrame, by: str, columns: Sequence[str], probs: Seq
                       hot_rows: int = HOT_GROUP_ROWS, method: str = "linear") -> DataFrame:
     """(by, <column>_q: array<double>) with exact quantiles per group.
 
-    Groups above ``hot_rows`` rows (few by arithmetic) go through the bracket plan, each as an
-    expression of its own; all others fit one reducer and use the built-in ``percentile``.
+    Values are counted within (group, column), running totals of these counts place every value at
+    its ranks, and a quantile is the weighted sum of the values that hold its ranks: one plan for all
+    groups, columns and shares. Groups above ``hot_rows`` rows are cut into slices of values.
     """
-    spark = df.sparkSession
-    sizes = df.groupBy(q(by).alias("g")).agg(F.count("*").alias("n"))
-    hot = [r["g"] for r in sizes.where(F.col("n") > hot_rows).select("g").collect()]
-    rest = df
-    for g in hot:
-        rest = rest.where(~q(by).eqNullSafe(F.lit(g)))
-    aggs = []
-    for c in columns:
-        if method == "linear":
-            e = F.percentile(num(df, c), list(probs))
-        else:
-            s = F.array_sort(F.collect_list(num(df, c)))
-            e = F.array(*[_pick(s, p, method) for p in probs])
-        aggs.append(e.alias(f"{c}_q"))
-    out = rest.groupBy(q(by)).agg(*aggs)
-    if hot:
-        exprs = [F.when(q(by).eqNullSafe(F.lit(g)), num(df, c)) for g in hot for c in columns]
-        _, vals = quantiles_of(df, exprs, probs, method)
-        k = len(columns)
-        rows = [(g, *vals[i * k:(i + 1) * k]) for i, g in enumerate(hot)]
-        out = out.unionByName(spark.createDataFrame(rows, out.schema))
-    return out
-
-
-def _pick(sorted_values: Column, p: float, method: str) -> Column:
-    n = F.size(sorted_values)
+    from .lookup import size_checked_join
+    from .ordered import segmented_totals
+    items = F.array(*[F.struct(F.lit(i).alias("i"), num(df, c).alias("v")) for i, c in enumerate(columns)])
+    long = df.select(q(by).alias("g"), F.explode(items).alias("t")).select("g", "t.i", "t.v")
+    sizes = cut_lineage(long.groupBy("g", "i").agg(F.count("v").alias("__n")))
+    counts = long.where("v IS NOT NULL").groupBy("g", "i", "v").agg(F.count("*").alias("n"))
+    run = segmented_totals(counts, ["g", "i"], "v", ["n"], hot_rows, sizes)
+    known = sizes.select(F.col("g").alias("__g"), F.col("i").alias("__i"), "__n")
+    run = size_checked_join(run, known, run["g"].eqNullSafe(known["__g"]) & (run["i"] == known["__i"]), "inner")
+    place = lambda r: (F.col("cum_n") - F.col("n") <= r) & (r < F.col("cum_n"))
+    shares = [_weighted_ranks(F.col("__n"), p, method) for p in probs]
+    used = [(r, w) for pair in shares for r, w in pair]
+    hit = F.lit(False)
+    for r, w in used:
+        hit = hit | (place(r) & (w > 0))
+    values = [sum((F.sum(F.when(place(r) & (w > 0), F.col("v") * w)) if k == 0 else F.coalesce(F.sum(F.when(place(r) & (w > 0), F.col("v") * w)), F.lit(0.0)) for k, (r, w) in enumerate(pair)), F.lit(0.0)) for pair in shares]
+    found = run.where(hit).groupBy("g", "i").agg(F.array(*values).alias("qs"))
+    every = sizes.select(F.col("g").alias("__g"), F.col("i").alias("__i"))
+    every = every.join(found, every["__g"].eqNullSafe(found["g"]) & (every["__i"] == found["i"]), "left")
+    wide = [F.first(F.when(F.col("__i") == i, F.col("qs")), ignorenulls=True).alias(f"{c}_q") for i, c in enumerate(columns)]
+    return every.groupBy(F.col("__g").alias(by)).agg(*wide)
+
+
+def _weighted_ranks(n: Column, p: float, method: str) -> list[tuple[Column, Column]]:
+    """Zero-based ranks and weights of a quantile of n sorted values, as expressions."""
+    last, one = n - 1, F.lit(1.0)
+    h = F.lit(float(p)) * last
+    if method == "linear":
+        low = F.floor(h)
+        return [(low, one - (h - low)), (low + 1, h - low)]
     if method == "nearest":
-        k = F.least(n - 1, F.floor(F.lit(p) * (n - 1) + 0.5).cast("int"))
-    elif method == "half_even":
-        k = F.least(n - 1, F.greatest(F.lit(0), F.bround(F.lit(p) * (n - 1)).cast("int")))
-    else:
-        raise ValueError(f"grouped quantiles do not offer {method!r}")
-    return F.get(sorted_values, k)
+        return [(F.least(last, F.floor(h + 0.5)), one)]
+    if method == "half_even":
+        return [(F.least(last, F.greatest(F.lit(0), F.bround(h).cast("long"))), one)]
+    raise ValueError(f"grouped quantiles do not offer {method!r}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..core import q
+from ..plans.lookup import size_checked_join
 from ..plans.quantiles import grouped_quantiles
 
 
@@ -34,8 +35,9 @@ def slow_steps(df: DataFrame, step: str, seconds: str, run_id: str, limit: int =
     d = df.where(q(seconds) > 0).select(q(step).alias("step"), q(seconds).cast("double").alias("s"), q(run_id).alias("run"))
     agg = d.groupBy("step").agg(F.count("*").alias("runs"), F.sum("s").alias("total"), F.avg("s").alias("avg"), F.max("s").alias("max"))
     p95 = grouped_quantiles(d, "step", ["s"], [0.95], method="half_even").select("step", F.col("s_q")[0].alias("p95"))
-    flagged = (d.join(agg.select("step", "avg"), "step").where(F.col("s") > 1.5 * F.col("avg"))
-               .groupBy("step").agg(F.count("*").alias("outliers")))
+    times = d.groupBy("step", "s").agg(F.count("*").alias("n"))  # a hot step meets its mean as counts
+    flagged = (size_checked_join(times, agg.select("step", "avg"), "step", "inner").where(F.col("s") > 1.5 * F.col("avg"))
+               .groupBy("step").agg(F.sum("n").alias("outliers")))
     return (agg.join(p95, "step").join(flagged, "step", "left")
             .select("step", "runs", "total", "avg", "p95", "max", F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"))
             .orderBy(F.desc("total"), "step").limit(limit))

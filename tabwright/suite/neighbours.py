@@ -61,20 +61,24 @@ def _classes(spark, sf):
 
 
 CLS = "(SELECT c_custkey, c_acctbal / 1000 + CASE WHEN c_custkey % 7 = 0 THEN 2.0 ELSE 0.0 END AS x, c_nationkey::DOUBLE AS y, (c_custkey % 7 = 0)::INT AS label FROM customer)"
-OVER = f"""SELECT label::INTEGER AS label, sum(original)::BIGINT AS original, (SELECT max(n) FROM (SELECT count(*) AS n FROM {CLS} GROUP BY label)) - sum(original)::BIGINT AS needed FROM (SELECT label, 1 AS original FROM {CLS}) GROUP BY 1"""
+OVER = f"""SELECT label, count(*) AS original, (SELECT max(n) FROM (SELECT count(*) AS n FROM {CLS} GROUP BY label)) - count(*) AS synthetic,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM {CLS} GROUP BY label)) - count(*) AS inside FROM {CLS} GROUP BY 1"""
 
 
 def _counts(d, base):
-    """Originals kept, and how many synthetic rows came out, by class."""
-    n = d.groupBy("label").agg(F.count("c_custkey").alias("original"), F.count_if(F.col("c_custkey").isNull()).alias("synthetic"))
-    return n
+    """Originals kept, how many synthetic rows came out, and how many of these lie in the box of their class's rows."""
+    made = F.col("c_custkey").isNull()
+    box = base.groupBy(F.col("label").alias("l")).agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))])
+    inside = made & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return d.join(F.broadcast(box), F.col("label") == F.col("l")).groupBy("label").agg(F.count("c_custkey").alias("original"), F.count_if(made).alias("synthetic"), F.count_if(inside).alias("inside"))
 
 
 for _m in ("smote", "adasyn", "borderline_smote", "svm_smote", "kmeans_smote"):
     def _run(spark, sf, m=_m):
         d = _classes(spark, sf)
         return _counts(fit_apply("Oversampling", d, method=m, target_column="label", key_columns=["c_custkey"]), d)
-    query({"smote": "P5", "svm_smote": "P7"}.get(_m, "P6"), name=f"oversample_{_m}")(_run)
+    # the others share by weights, with one row more or less for a seed
+    query({"smote": "P5", "svm_smote": "P7"}.get(_m, "P6"), *([OVER] if _m in ("smote", "borderline_smote", "svm_smote") else []), name=f"oversample_{_m}")(_run)
 
 
 @query("P7")

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from tabwright.operators.outliers import shortest_half_centre
-from tabwright.operators.splitting import hash_order, smallest, smallest_per_class
+from tabwright.operators.splitting import hash_order, smallest, smallest_in_classes, smallest_per_class
 from tabwright.plans.neighbors import Pivots, block_top_k, knn_join, leaf_count
 from tabwright.core import fit_apply
-from tabwright.plans.ordered import running_totals, split_hot_groups
+from tabwright.plans.ordered import running_totals, segmented_totals, split_hot_groups
 from tabwright.plans.quantiles import grouped_quantiles, quantiles_of
 from tabwright.plans.textorder import number_sorted
 from tabwright.profiling.correlations import kendall_tau, signed_pairs
@@ -224,6 +224,31 @@ def test_smallest_per_class_with_many_classes(spark):
     assert len(got) == 80 and all(r["count"] == 3 for r in got)
 
 
+def test_smallest_per_class_with_large_and_odd_classes(spark):
+    size = {"a": 1700, "b": 40, None: 300, "c": 3, "d": 1}
+    rows = [(f"{k}{i}", k) for k, n in size.items() for i in range(n)]
+    d = spark.createDataFrame(rows, "id string, c string").repartition(4)
+    takes = [{"a": 333, "b": 40, None: 1, "c": 2, "d": 0}, {"a": 1500, "b": 0, None: 299, "c": 3, "d": 1}]
+    f, conds = smallest_in_classes(d, F.col("c"), hash_order(["id"], 3), takes, size)
+    for take, cond in zip(takes, conds):
+        assert {r["c"]: r["count"] for r in f.where(cond).groupBy("c").count().collect()} == {k: n for k, n in take.items() if n}
+    small = {r["id"] for r in f.where(conds[0]).collect() if r["c"] == "a"}
+    assert small < {r["id"] for r in f.where(conds[1]).collect()}
+    # hashes that are not spread: few distinct leading values, settled by the others
+    g, (cond,) = smallest_in_classes(d, F.col("c"), [F.length("id"), F.col("id")], [takes[0]], size)
+    assert {r["id"] for r in g.where(cond & (F.col("c") == "a")).collect()} == set(sorted((r[0] for r in rows if r[1] == "a"), key=lambda x: (len(x), x))[:333])
+    with pytest.raises(ValueError):
+        smallest_in_classes(d, F.col("c"), [F.length("id")], [takes[0]], size)
+
+
+def test_segmented_totals(spark):
+    rows = [(g, float(v), 1 + v % 3) for g, n in (("hot", 700), ("x", 9), (None, 120)) for v in range(n)]
+    d = spark.createDataFrame(rows, "g string, v double, n long").repartition(3)
+    for limit in (10_000, 40):
+        got = {(r["g"], r["v"]): r["cum_n"] for r in segmented_totals(d, ["g"], "v", ["n"], hot_rows=limit).collect()}
+        assert got == {(g, v): sum(1 + k % 3 for k in range(int(v) + 1)) for g, v, _ in rows}
+
+
 def test_number_sorted_strings(spark):
     words = [f"w{(i * 131) % 997:04d}" for i in range(900)]
     got = {r["v"]: r["code"] for r in number_sorted(spark.createDataFrame([(w,) for w in words], "v string"), "v", ranges=16).collect()}
