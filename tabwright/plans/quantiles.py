@@ -190,6 +190,26 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return dict(zip(columns, vals))
 
 
+def quantile_sets(df: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[Sequence[float], str]]
+                  ) -> list[dict[str, list[float | None]]]:
+    """Exact quantiles of several columns for several (shares, method) requests in one search."""
+    every = [p for probs, _ in wanted for p in probs]
+
+    def ranks(_i, n):
+        return [r for probs, method in wanted for p in probs for r, _ in rank_weights(n, p, method)]
+    if not columns:
+        return [{} for _ in wanted]
+    counts, found = order_statistics(df, [num(df, c) for c in columns], [every] * len(columns), ranks)
+    return [{c: [sum(w * f[r] for r, w in rank_weights(n, p, method)) if n else None for p in probs]
+             for c, n, f in zip(columns, counts, found)} for probs, method in wanted]
+
+
+def long_form(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """(i, v): a row for each expression and row."""
+    items = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])
+    return df.select(F.explode(items).alias("t")).select("t.i", "t.v")
+
+
 def grouped_quantiles(df: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float],
                       hot_rows: int = HOT_GROUP_ROWS, method: str = "linear") -> DataFrame:
     """(by, <column>_q: array<double>) with exact quantiles per group.
@@ -208,7 +228,7 @@ def grouped_quantiles(df: DataFrame, by: str, columns: Sequence[str], probs: Seq
     known = sizes.select(F.col("g").alias("__g"), F.col("i").alias("__i"), "__n")
     run = size_checked_join(run, known, run["g"].eqNullSafe(known["__g"]) & (run["i"] == known["__i"]), "inner")
     place = lambda r: (F.col("cum_n") - F.col("n") <= r) & (r < F.col("cum_n"))
-    shares = [_weighted_ranks(F.col("__n"), p, method) for p in probs]
+    shares = [weighted_ranks(F.col("__n"), p, method) for p in probs]
     used = [(r, w) for pair in shares for r, w in pair]
     hit = F.lit(False)
     for r, w in used:
@@ -221,7 +241,7 @@ def grouped_quantiles(df: DataFrame, by: str, columns: Sequence[str], probs: Seq
     return every.groupBy(F.col("__g").alias(by)).agg(*wide)
 
 
-def _weighted_ranks(n: Column, p: float, method: str) -> list[tuple[Column, Column]]:
+def weighted_ranks(n: Column, p: float, method: str) -> list[tuple[Column, Column]]:
     """Zero-based ranks and weights of a quantile of n sorted values, as expressions."""
     last, one = n - 1, F.lit(1.0)
     h = F.lit(float(p)) * last

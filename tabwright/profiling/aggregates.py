@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..core import DATE_TYPES, agg_row, dtype_of, is_numeric, nn, num, numeric_candidates, q
 from ..operators.rows import filter_rows_coerced
-from ..plans.quantiles import column_quantiles, grouped_quantiles
+from ..plans.quantiles import grouped_quantiles, long_form, quantile_sets
 
 MEASURES = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max}
 
@@ -84,8 +84,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, interpo
         x = num(df, c)
         exprs += [f(x) for f in fns] + [F.count_if(x == 0), F.count_if(x < 0)]
     row = agg_row(df, exprs)
-    quart = column_quantiles(df, cols, [0.25, 0.75], "nearest" if interpolation == "nearest" else "linear")
-    med = column_quantiles(df, cols, [0.5], "linear")
+    quart, med = quantile_sets(df, cols, [([0.25, 0.75], "nearest" if interpolation == "nearest" else "linear"), ([0.5], "linear")])
     rows, k = [], len(fns) + 2
     for i, c in enumerate(cols):
         mean, std, var, lo, hi, skew, kurt, zeros, negs = row[k * i:k * i + k]
@@ -95,13 +94,28 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, interpo
         "q25 double, q75 double, skewness double, kurtosis double, zeros long, negatives long"))
 
 
+def categorical_profiles(df: DataFrame, columns: Sequence[str], rare_below: int = 5) -> DataFrame:
+    """(column, distinct, rare_labels, top): distinct labels, labels seen fewer than five times, most common; all columns at once."""
+    cols = list(columns)
+    counts = long_form(df, [nn(df, c).cast("string") for c in cols]).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+    head = counts.groupBy("i").agg(F.count("*").alias("distinct"), F.count_if(F.col("n") < rare_below).alias("rare_labels"))
+    place = F.row_number().over(W.partitionBy("i").orderBy(F.desc("n"), "v"))
+    best = counts.withColumn("__r", place).where(F.col("__r") <= 10).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("__r", "v", "n"))).alias("t"))
+    top = F.array_join(F.transform("t", lambda r: F.concat_ws(":", r["v"], r["n"].cast("string"))), ",")
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, column string")
+    out = names.join(F.broadcast(head), "i", "left").join(F.broadcast(best), "i", "left")  # a row for each column
+    return out.select("column", F.coalesce("distinct", F.lit(0)).cast("bigint").alias("distinct"), F.coalesce("rare_labels", F.lit(0)).cast("bigint").alias("rare_labels"), F.coalesce(top, F.lit("")).alias("top"))
+
+
 def categorical_profile(df: DataFrame, column: str, rare_below: int = 5) -> DataFrame:
-    """(distinct, rare_labels, top): distinct labels, labels seen fewer than five times, most common."""
-    counts = value_counts(df, column, None)
-    top = counts.limit(10).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("m"), "value"))).alias("t"))
-    head = counts.agg(F.count("*").alias("distinct"), F.count_if(F.col("count") < rare_below).alias("rare_labels"))
-    return head.join(F.broadcast(top)).select("distinct", "rare_labels", F.array_join(
-        F.transform("t", lambda r: F.concat_ws(":", r["value"], (-r["m"]).cast("string"))), ",").alias("top"))
+    """(distinct, rare_labels, top) of one column."""
+    return categorical_profiles(df, [column], rare_below).drop("column")
+
+
+def date_profiles(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """First and last date and the days between, of all columns in one aggregate."""
+    row = agg_row(df, [e for c in columns for e in (F.min(q(c)), F.max(q(c)), F.datediff(F.max(q(c)), F.min(q(c))).cast("bigint"))])
+    return {c: dict(zip(("min_date", "max_date", "duration_days"), row[3 * i:3 * i + 3])) for i, c in enumerate(columns)}
 
 
 def date_profile(df: DataFrame, column: str) -> DataFrame:
@@ -110,21 +124,34 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
                   F.datediff(F.max(x), F.min(x)).cast("bigint").alias("duration_days"))
 
 
+def text_profiles(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Mean, least and largest length in bytes, of all columns in one aggregate."""
+    row = agg_row(df, [f(F.octet_length(q(c))) for c in columns for f in (F.avg, F.min, F.max)])
+    return {c: dict(zip(("avg_length", "min_length", "max_length"), row[3 * i:3 * i + 3])) for i, c in enumerate(columns)}
+
+
 def text_profile(df: DataFrame, column: str) -> DataFrame:
     n = F.octet_length(q(column))
     return df.agg(F.avg(n).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"))
 
 
+def histograms(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
+    """(column, bin, start, end, count): equal-width, right-closed, the first bin holds the minimum; two scans for all columns.
+    A column without two values has no rows."""
+    from .drift import bin_counts
+    row = agg_row(df, [f(num(df, c)) for c in columns for f in (F.min, F.max)])
+    edges = {}
+    for i, c in enumerate(columns):
+        lo, hi = row[2 * i:2 * i + 2]
+        if lo is not None and lo != hi:
+            edges[c] = [lo + k * ((hi - lo) / bins) for k in range(bins)] + [hi]
+    rows = [(c, k, edges[c][k], edges[c][k + 1], n) for c, counts in bin_counts(df, edges, "right").items() for k, n in enumerate(counts)]
+    return df.sparkSession.createDataFrame(rows, "column string, bin int, start double, end double, count long")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """(bin, start, end, count): equal-width, right-closed, the first bin holds the minimum."""
-    x = num(df, column)
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    schema = "bin int, start double, end double, count long"
-    if lo is None or lo == hi:
-        return df.sparkSession.createDataFrame([], schema)
-    width = (hi - lo) / bins
-    edges = [lo + i * width for i in range(bins)] + [hi]
-    return _filled(df, _edge_bin(x, edges, "right"), edges, schema)
+    """(bin, start, end, count) of one column."""
+    return histograms(df, [column], bins).drop("column")
 
 
 def histogram10(df: DataFrame, x: Column, bins: int = 10) -> DataFrame:

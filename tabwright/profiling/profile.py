@@ -5,11 +5,17 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..core import agg_row, dtype_of, nn, num, numeric_candidates, q
 from ..operators.rows import exclude_columns, filter_rows
+from ..plans.ordered import segmented_totals
+from ..plans.quantiles import long_form
+from ..stats import ks_tail
 from . import advice, aggregates as A, correlations as C, temporal as TM
 
 
@@ -29,16 +35,42 @@ def geo_bounds(df: DataFrame, lat: str | None = None, lon: str | None = None) ->
     return a.where("points > 0 and min_lat >= -90 and max_lat <= 90 and min_lon >= -180 and max_lon <= 180")
 
 
+@F.pandas_udf(DoubleType())
+def _below(z: pd.Series) -> pd.Series:
+    """Share of the standard normal below z."""
+    return pd.Series(0.5 * (1.0 + np.frompyfunc(math.erf, 1, 1)(z.to_numpy() / math.sqrt(2.0)).astype("float64")))
+
+
+def normalities(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Kolmogorov-Smirnov test of each column against the normal with its own mean and deviation.
+
+    One running total of the value counts within every column; three jobs whatever their number. p is asymptotic.
+    Columns with at most 20 values or without spread have none.
+    """
+    row = agg_row(df, [e for c in columns for x in [num(df, c)] for e in (F.count(x), F.avg(x), F.stddev_pop(x))])
+    moments = [(i, *row[3 * i:3 * i + 3]) for i in range(len(columns))]
+    moments = [(i, n, m, s) for i, n, m, s in moments if n > 20 and s and s > 1e-10]
+    if not moments:
+        return {c: {} for c in columns}
+    spark = df.sparkSession
+    known = F.broadcast(spark.createDataFrame(moments, "i int, total long, mean double, std double"))  # a row for each column
+    sizes = spark.createDataFrame([(i, n) for i, n, _, _ in moments], "i int, __n long")
+    counts = long_form(df, [num(df, c) for c in columns]).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+    run = segmented_totals(counts, ["i"], "v", ["n"], sizes=sizes).join(known, "i")
+    p = run.withColumn("p", _below((F.col("v") - F.col("mean")) / F.col("std")))
+    gap = F.greatest(F.col("cum_n") / F.col("total") - F.col("p"), F.col("p") - (F.col("cum_n") - F.col("n")) / F.col("total"))
+    got = {r["i"]: (r["d"], r["total"]) for r in p.groupBy("i", "total").agg(F.max(gap).alias("d")).collect()}
+    out = {}
+    for i, c in enumerate(columns):
+        out[c] = {}
+        if i in got:
+            tail = ks_tail(got[i][0], got[i][1])
+            out[c] = {"test_name": "Kolmogorov-Smirnov", "statistic": got[i][0], "p_value": tail, "is_normal": tail > 0.05}
+    return out
+
+
 def normality(df: DataFrame, column: str) -> dict:
-    """Kolmogorov-Smirnov test of a column against the normal with its own mean and deviation."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-    d = df.select(num(df, column).alias("x")).where("x is not null")
-    n, mean, std = d.agg(F.count("*"), F.avg("x"), F.stddev_pop("x")).first()
-    if n <= 20 or not std or std <= 1e-10:
-        return {}
-    r = KolmogorovSmirnovTest.test(d, "x", "norm", float(mean), float(std)).first()
-    return {"test_name": "Kolmogorov-Smirnov", "statistic": r["statistic"], "p_value": r["pValue"],
-            "is_normal": r["pValue"] > 0.05}
+    return normalities(df, [column])[column]
 
 
 def analyze(df: DataFrame, target: str | None = None, exclude: Sequence[str] = (), filters: Sequence[dict] = (),
@@ -62,11 +94,14 @@ def analyze(df: DataFrame, target: str | None = None, exclude: Sequence[str] = (
         feats = [c for c in nums if c != target]
         report.update(missing=A.missing_cells(df).first().asDict(), duplicates=A.duplicate_rows(df).first()[0], types=types,
                       basic=[r.asDict() for r in basic], numeric=[r.asDict() for r in numeric if r["column"] in nums])
-        report["histograms"] = {c: [r.asDict() for r in A.histogram(df, c).collect()] for c in nums}
-        report["categories"] = {c: A.categorical_profile(df, c).first().asDict() for c, t in types.items() if t in ("Categorical", "Boolean")}
-        report["dates"] = {c: A.date_profile(df, c).first().asDict() for c, t in types.items() if t == "DateTime"}
-        report["texts"] = {c: A.text_profile(df, c).first().asDict() for c, t in types.items()
-                           if t == "Text" and dtype_of(df, c).typeName() == "string"}
+        # every section below is one plan for all its columns
+        report["histograms"] = {c: [] for c in nums}
+        for r in A.histograms(df, nums).collect():
+            report["histograms"][r["column"]].append({k: r[k] for k in ("bin", "start", "end", "count")})
+        kinds = [c for c, t in types.items() if t in ("Categorical", "Boolean")]
+        report["categories"] = {r["column"]: {k: r[k] for k in ("distinct", "rare_labels", "top")} for r in A.categorical_profiles(df, kinds).collect()} if kinds else {}
+        report["dates"] = A.date_profiles(df, [c for c, t in types.items() if t == "DateTime"])
+        report["texts"] = A.text_profiles(df, [c for c, t in types.items() if t == "Text" and dtype_of(df, c).typeName() == "string"])
         report["correlations"] = [r.asDict() for r in C.profile_correlations(df, nums).collect()] if len(nums) > 1 else []
         report["vif"] = C.vif(df, feats) if len(feats) > 1 else {}
         target_r = {}
@@ -80,7 +115,7 @@ def analyze(df: DataFrame, target: str | None = None, exclude: Sequence[str] = (
                 report["anova"] = {c: {"f": f, "p_value": p} for c, (f, p) in C.anova(df, target, feats).items()} if feats else {}
         report["alerts"] = [r.asDict() for r in advice.alerts(df, target, basic, numeric, report["vif"], target_r).collect()]
         report["recommendations"] = [r.asDict() for r in advice.recommendations(df, target, basic, numeric).collect()]
-        report["normality"] = {c: normality(df, c) for c in nums}
+        report["normality"] = normalities(df, nums)
         chosen = TM.pick_date_column(df, date)
         if chosen:
             trend = TM.resample_trend(df, chosen, feats, target)

@@ -402,11 +402,52 @@ def advisor_rules(spark, sf):
     return AD.advisor(c).select("type", "rule_id", "columns")
 
 
-@query("Q20")
+NUMBERS = ("o_custkey", "o_totalprice")
+
+
+def _profile_sql():
+    """(section, column, item, value, note) of the orders table, section by section."""
+    row = lambda section, column, item, value, note="NULL::VARCHAR", source="orders": (
+        f"""SELECT '{section}' AS section, {column} AS "column", {item} AS item, round(({value})::DOUBLE, 3) AS value, {note} AS note FROM {source}""")
+    out = [row("row_count", "NULL::VARCHAR", "'row_count'", "count(*)"), row("column_count", "NULL::VARCHAR", "'column_count'", "CASE WHEN count(*) > 0 THEN 5 END"),
+           row("missing", "NULL::VARCHAR", "'missing_cells'", " + ".join(f"sum(({c} IS NULL)::INT)" for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))),
+           row("duplicates", "NULL::VARCHAR", "'duplicates'", "coalesce(sum(n), 0)", source="(SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority HAVING count(*) > 1)")]
+    for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"):
+        out += [row("basic", f"'{c}'", "'null_count'", f"count(*) - count({c})"), row("basic", f"'{c}'", "'distinct_count'", f"count(DISTINCT {c})")]
+    for c in NUMBERS:
+        ranked = f"(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM orders)"
+        out += [row("numeric", f"'{c}'", f"'{k}'", e) for k, e in (("mean", f"avg({c})"), ("median", f"quantile_cont({c}::DOUBLE, 0.5)"), ("std", f"stddev_samp({c})"), ("min", f"min({c})"), ("max", f"max({c})"),
+                                                                 ("zeros", f"sum(({c} = 0)::INT)"), ("negatives", f"sum(({c} < 0)::INT)"))]
+        out += [row("numeric", f"'{c}'", f"'{k}'", f"max(CASE WHEN r = floor({p} * (n - 1) + 0.5) THEN v END)", source=ranked) for k, p in (("q25", 0.25), ("q75", 0.75))]
+        edged = f"(SELECT v, list_filter(range(1, 20), lambda k: lo + k * ((hi - lo) / 20) < v) AS below FROM (SELECT {c}::DOUBLE AS v FROM orders), (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM orders))"
+        out.append(row("histogram", f"'{c}'", "'bin_' || b", "count(below)", source=f"range(20) t(b) LEFT JOIN {edged} ON len(below) = b GROUP BY b"))
+    for c in ("o_orderstatus", "o_orderpriority"):
+        counts = f"(SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1)"
+        out.append(row("category", f"'{c}'", "'distinct'", "count(*)", "string_agg(v || ':' || n, ',' ORDER BY n DESC, v)", counts))
+        out.append(row("category", f"'{c}'", "'rare_labels'", "coalesce(sum((n < 5)::INT), 0)", source=counts))
+    out.append(row("date", "'o_orderdate'", "'duration_days'", "date_diff('day', min(o_orderdate), max(o_orderdate))", "strftime(min(o_orderdate), '%Y-%m-%d') || ' ' || strftime(max(o_orderdate), '%Y-%m-%d')"))
+    out.append(row("correlation", "'o_custkey'", "'o_totalprice'", "corr(o_custkey, o_totalprice)"))
+    out.append(row("target_correlation", "'o_custkey'", "'o_totalprice'", "corr(o_custkey, o_totalprice)"))
+    weekly = "(SELECT date_trunc('week', o_orderdate) AS w, avg(o_custkey) AS a, avg(o_totalprice) AS b FROM orders GROUP BY 1)"
+    out += [row("trend", f"'{c}'", "strftime(w, '%Y-%m-%d')", x, source=weekly) for c, x in zip(NUMBERS, "ab")]
+    return " UNION ALL ".join(out)
+
+
+@query("Q20", _profile_sql())
 def full_profile(spark, sf):
-    r = P.analyze(table(spark, sf, "orders"), target="o_totalprice", exclude=["o_orderkey"])
-    rows = [(k, str(len(v)) if isinstance(v, (list, dict)) else str(v)) for k, v in r.items()]
-    return spark.createDataFrame(rows, "section string, entries string")
+    """The profile's sections with their values; tests (normality) and advice have queries of their own."""
+    r = P.analyze(table(spark, sf, "orders"), target="o_totalprice", exclude=["o_orderkey"], multivariate=False)
+    rows = [(k, None, k, r[k], None) for k in ("row_count", "column_count", "duplicates")] + [("missing", None, "missing_cells", r["missing"]["missing_cells"], None)]
+    rows += [("basic", b["column"], k, b[k], None) for b in r["basic"] for k in ("null_count", "distinct_count")]
+    rows += [("numeric", b["column"], k, b[k], None) for b in r["numeric"] for k in ("mean", "median", "std", "min", "max", "zeros", "negatives", "q25", "q75")]
+    rows += [("histogram", c, f"bin_{b['bin']}", b["count"], None) for c, h in r["histograms"].items() for b in h]
+    for c, x in r["categories"].items():
+        rows += [("category", c, "distinct", x["distinct"], x["top"]), ("category", c, "rare_labels", x["rare_labels"], None)]
+    rows += [("date", c, "duration_days", x["duration_days"], f"{x['min_date']:%Y-%m-%d} {x['max_date']:%Y-%m-%d}") for c, x in r["dates"].items()]
+    rows += [("correlation", x["column_a"], x["column_b"], x["r"], None) for x in r["correlations"] if x["column_a"] < x["column_b"]]
+    rows += [("target_correlation", c, "o_totalprice", x, None) for c, x in r["target_correlations"].items()]
+    rows += [("trend", c, f"{x['date']:%Y-%m-%d}", x[c], None) for x in r["timeseries"]["trend"] for c in NUMBERS]
+    return rounded(spark.createDataFrame([(*a, None if v is None else float(v), n) for *a, v, n in rows], "section string, column string, item string, value double, note string"), "value", digits=3)
 
 
 @query("Q21")
