@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import agg_row, num, q
-from ..plans.ordered import running_totals
-from ..plans.quantiles import HOT_GROUP_ROWS
+from ..plans.ordered import running_totals, segmented_totals
+from ..plans.textorder import number_sorted
+from ..session import cut_lineage
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -27,8 +28,10 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """
     c = confusion_counts(df, label, prediction)
     classes = c.select(F.explode(F.array("actual", "predicted")).alias("actual")).where("actual is not null").distinct()
-    every = classes.agg(F.collect_list("actual").alias("all"))  # one row
-    grid = classes.join(F.broadcast(every)).select("actual", F.explode("all").alias("predicted"))
+    numbered = cut_lineage(number_sorted(classes, "actual"))
+    k = numbered.count()
+    places = numbered.select("actual", F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))).alias("place"))
+    grid = places.join(numbered.select(F.col("actual").alias("predicted"), F.col("code").cast("int").alias("place")), "place").drop("place")
     return grid.join(c, ["actual", "predicted"], "full_outer").select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
@@ -99,26 +102,48 @@ def binary_areas(df: DataFrame, positive: Column, score: Column) -> dict[str, fl
 
 
 def multiclass_areas(df: DataFrame, label: str, probability: str, classes: Sequence[str]) -> dict[str, float]:
-    """One-vs-rest and one-vs-one areas."""
-    y = q(label).cast("string")
+    """One-vs-rest and one-vs-one areas.
+
+    The scores of all classes are counted by true class, and running totals of these counts within a score's
+    class hold every rank sum: of each class against each other and against the rest. Two jobs' worth of
+    plan whatever the number of classes.
+    """
+    y, k = q(label).cast("string"), len(classes)
     counts = {r["y"]: r["n"] for r in df.groupBy(y.alias("y")).agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
-    one = {c: binary_areas(df, y == F.lit(c), q(probability)[i]) for i, c in enumerate(classes)}
     w = {c: counts.get(c, 0) / n for c in classes}
-    out = {"roc_auc_ovr": sum(one[c]["roc_auc"] for c in classes) / len(classes),
-           "roc_auc_ovr_weighted": sum(w[c] * one[c]["roc_auc"] for c in classes),
-           "pr_auc_weighted": sum(w[c] * one[c]["pr_auc"] for c in classes)}
-    pairs, shares = [], []
-    for i, a in enumerate(classes):
-        for j in range(i + 1, len(classes)):
-            b = classes[j]
-            d = df.where(y.isin(a, b))
-            va = binary_areas(d, y == F.lit(a), q(probability)[i])["roc_auc"]
-            vb = binary_areas(d, y == F.lit(b), q(probability)[j])["roc_auc"]
-            pairs.append((va + vb) / 2)
-            shares.append((counts.get(a, 0) + counts.get(b, 0)) / n)
-    out["roc_auc_ovo"] = sum(pairs) / len(pairs)
-    out["roc_auc_ovo_weighted"] = sum(p * s for p, s in zip(pairs, shares)) / sum(shares)
+    items = F.array(*[F.struct(F.lit(i).alias("i"), q(probability)[i].cast("double").alias("v")) for i in range(k)])
+    long = df.where(y.isNotNull()).select(y.alias("y"), F.explode(items).alias("t")).select("y", "t.i", "t.v").where("v IS NOT NULL AND NOT isnan(v)")
+    seen = [f"n{j}" for j in range(k)]
+    table = long.groupBy("i", "v").agg(F.count("*").alias("every"), *[F.count_if(F.col("y") == F.lit(c)).alias(f"n{j}") for j, c in enumerate(classes)])
+    sizes = cut_lineage(long.groupBy("i").agg(F.count("*").alias("__n"), *[F.count_if(F.col("y") == F.lit(c)).alias(f"all{j}") for j, c in enumerate(classes)]))
+    run = segmented_totals(table, ["i"], "v", ["every", *seen], sizes=sizes).join(F.broadcast(sizes), "i")  # a row for each class
+    mine = lambda p: F.get(F.array(*[F.col(f"{p}{j}") for j in range(k)]), F.col("i")).cast("double")
+    run = run.withColumn("own", mine("n")).withColumn("own_cum", mine("cum_n")).withColumn("own_all", mine("all"))
+    tp = F.col("own_all") - F.col("own_cum") + F.col("own")
+    called = F.col("__n") - F.col("cum_every") + F.col("every")
+    below = lambda j: F.sum(F.col("own") * (F.col(f"cum_n{j}") - F.col(f"n{j}") / 2.0)).alias(f"u{j}")
+    rest = F.sum(F.col("own") * (F.col("cum_every") - F.col("own_cum") - (F.col("every") - F.col("own")) / 2.0)).alias("rest")
+    ap = F.sum(F.col("own") / F.col("own_all") * tp / called).alias("ap")
+    got = {r["i"]: r for r in run.groupBy("i").agg(rest, ap, F.first("__n").alias("total"), *[F.first(f"all{j}").alias(f"all{j}") for j in range(k)], *[below(j) for j in range(k)]).collect()}
+
+    def area(u, a, b):
+        return u / (a * b) if a and b else math.nan
+    one, ap_of, against = [], [], {}
+    for i in range(k):
+        r = got.get(i)
+        a = r[f"all{i}"] if r else 0
+        one.append(area(r["rest"], a, r["total"] - a) if r else math.nan)
+        ap_of.append(r["ap"] if r and a and r["total"] > a else math.nan)
+        against.update({(i, j): area(r[f"u{j}"], a, r[f"all{j}"]) if r else math.nan for j in range(k) if j != i})
+    out = {"roc_auc_ovr": sum(one) / k,
+           "roc_auc_ovr_weighted": sum(w[c] * v for c, v in zip(classes, one)),
+           "pr_auc_weighted": sum(w[c] * v for c, v in zip(classes, ap_of))}
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    areas = [(against[i, j] + against[j, i]) / 2 for i, j in pairs]
+    shares = [(counts.get(classes[i], 0) + counts.get(classes[j], 0)) / n for i, j in pairs]
+    out["roc_auc_ovo"] = sum(areas) / len(areas)
+    out["roc_auc_ovo_weighted"] = sum(p * s for p, s in zip(areas, shares)) / sum(shares)
     out["roc_auc_weighted"] = out["roc_auc_ovr_weighted"]
     return out
 
@@ -186,6 +211,37 @@ def cluster_scores(df: DataFrame, cluster: str, features: Sequence[str]) -> dict
             "davies_bouldin_score": sum(worst) / k}
 
 
+def silhouette_squared(df: DataFrame, cluster: str, features: Sequence[str]) -> float | None:
+    """Silhouette of squared Euclidean distances over all rows; None for fewer than two clusters.
+
+    A row's mean squared distance to a cluster follows from the cluster's size, mean and mean square, so one
+    aggregate and one pass settle all pairs exactly. Rows with a missing coordinate or cluster take no part.
+    """
+    names = [f"f{i}" for i in range(len(features))]
+    d = df.select(q(cluster).cast("string").alias("g"), *[num(df, c).alias(f) for c, f in zip(features, names)]).na.drop()
+    centre = agg_row(d, [F.avg(f) for f in names])
+    d = d.select("g", *[(F.col(f) - F.lit(m)).alias(f) for m, f in zip(centre, names)])  # near zero, so squares keep their digits
+    square = sum((q(f) * q(f) for f in names), F.lit(0.0))
+    rows = d.groupBy("g").agg(F.count("*").alias("n"), F.avg(square).alias("s"), *[F.avg(f).alias(f) for f in names]).collect()  # a row for each cluster
+    if len(rows) < 2:
+        return None
+    place = {r["g"]: i for i, r in enumerate(rows)}
+    size = np.array([r["n"] for r in rows], float)
+    mean = np.array([[r[f] for f in names] for r in rows])
+    means = np.array([r["s"] for r in rows])
+
+    def score(batches):
+        for pdf in batches:
+            v, own = pdf[names].to_numpy("float64"), pdf["g"].map(place).to_numpy()
+            r = np.arange(len(v))
+            dist = np.maximum((v * v).sum(axis=1)[:, None] - 2 * v @ mean.T + means[None, :], 0.0)
+            a = dist[r, own] * size[own] / np.maximum(size[own] - 1, 1)
+            dist[r, own] = np.inf
+            b = dist.min(axis=1) if len(v) else np.zeros(0)
+            yield pd.DataFrame({"s": np.where(size[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))})
+    return d.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
+
+
 def silhouette(df: DataFrame, cluster: str, features: Sequence[str], key: list[str], sample: int = 10_000, seed: int = 42) -> dict:
     """Euclidean silhouette over a sample that holds every cluster.
 

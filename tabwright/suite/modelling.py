@@ -168,6 +168,22 @@ def evaluate_areas(spark, sf):
     return rounded(spark.createDataFrame([(a["roc_auc"], a["pr_auc"])], "roc_auc double, pr_auc double"), "roc_auc", "pr_auc")
 
 
+@query("T3", """WITH s AS (SELECT o_orderkey % 3 AS y, unnest([0, 1, 2]) AS i, unnest([((o_orderkey * 37 + o_custkey) % 101) / 101, (o_custkey % 17 + o_orderkey % 3) / 19, (o_orderkey % 13) / 13]) AS v FROM orders),
+  t AS (SELECT i, y, v, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT o_orderkey % 3 AS y, count(*)::DOUBLE AS n FROM orders GROUP BY 1),
+  u AS (SELECT a.i, b.y AS j, sum(a.n * b.n * CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0.0 END) AS u FROM t a JOIN t b ON a.i = b.i AND a.y = a.i AND b.y <> a.i GROUP BY ALL),
+  r AS (SELECT u.i, sum(u) / (max(a.n) * sum(b.n)) AS auc, max(a.n) AS n FROM u JOIN k a ON a.y = u.i JOIN k b ON b.y = u.j GROUP BY u.i),
+  o AS (SELECT u.i, u.j, u / (a.n * b.n) AS auc, a.n + b.n AS n FROM u JOIN k a ON a.y = u.i JOIN k b ON b.y = u.j),
+  c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS called FROM (SELECT i, v, sum(n) AS n, sum(CASE WHEN y = i THEN n ELSE 0 END) AS p FROM t GROUP BY ALL) WINDOW w AS (PARTITION BY i ORDER BY v DESC)),
+  ap AS (SELECT c.i, sum(p / k.n * tp / called) AS ap, max(k.n) AS n FROM c JOIN k ON k.y = c.i GROUP BY c.i)
+  SELECT * FROM (SELECT 'roc_auc_ovr' AS metric, round(avg(auc), 6) AS value FROM r UNION ALL SELECT 'roc_auc_ovr_weighted', round(sum(auc * n) / sum(n), 6) FROM r UNION ALL SELECT 'roc_auc_weighted', round(sum(auc * n) / sum(n), 6) FROM r
+   UNION ALL SELECT 'roc_auc_ovo', round(avg(auc), 6) FROM o UNION ALL SELECT 'roc_auc_ovo_weighted', round(sum(auc * n) / sum(n), 6) FROM o UNION ALL SELECT 'pr_auc_weighted', round(sum(ap * n) / sum(n), 6) FROM ap)""")
+def evaluate_areas_multiclass(spark, sf):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = table(spark, sf, "orders").select((o % 3).alias("y"), F.array(((o * 37 + c) % 101) / 101.0, (c % 17 + o % 3) / 19.0, (o % 13) / 13.0).alias("probability"))
+    got = EV.multiclass_areas(d, "y", "probability", ["0", "1", "2"])
+    return rounded(spark.createDataFrame(sorted(got.items()), "metric string, value double"), "value")
+
+
 @query("T4", f"SELECT a AS actual, b AS predicted, (SELECT count(*) FROM {SC} WHERE y3 = a AND p3 = b)::BIGINT AS count FROM (SELECT unnest(['0','1','2']) AS a), (SELECT unnest(['0','1','2']) AS b)")
 def evaluate_confusion(spark, sf):
     return EV.confusion_matrix(_scored(spark, sf), "y3", "p3")
@@ -212,6 +228,16 @@ def evaluate_clusters(spark, sf):
     return rounded(rounded(d, "silhouette", "davies_bouldin"), "calinski_harabasz", digits=4)
 
 
+@query("T8", f"""WITH d AS (SELECT a.c_custkey AS i, a.g AS ga, b.g AS gb, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS s, count(*) AS n FROM {CLU} a, {CLU} b GROUP BY 1, 2, 3),
+  o AS (SELECT i, s / (n - 1) AS a FROM d WHERE ga = gb), p AS (SELECT i, min(s / n) AS b FROM d WHERE ga <> gb GROUP BY 1)
+  SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*)::BIGINT AS rows FROM o JOIN p USING (i)""")
+def evaluate_clusters_all_rows(spark, sf):
+    """The silhouette of squared distances over every row."""
+    c = table(spark, sf, "customer").select("c_custkey", F.floor(F.col("c_nationkey") / 9).cast("int").alias("g"), (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    d = c.agg(F.count("*").alias("rows")).withColumn("silhouette", F.lit(EV.silhouette_squared(c, "g", ["x", "y"])))
+    return rounded(d, "silhouette")
+
+
 @query("T9", f"""SELECT o_orderkey, CASE WHEN p >= 0.3 THEN 'yes' ELSE 'no' END AS two, CASE WHEN (1 - p) / 0.5 >= (p * 0.6) / 0.2 AND (1 - p) / 0.5 >= (p * 0.4) / 0.3 THEN 'a' WHEN (p * 0.6) / 0.2 >= (p * 0.4) / 0.3 THEN 'b' ELSE 'c' END AS three FROM {SC}""")
 def thresholds_applied(spark, sf):
     d = EV.apply_thresholds(_scored(spark, sf), "probability", 0.3, ["no", "yes"], "two")
