@@ -8,7 +8,8 @@ items at or above the threshold are retrieved. Each retrieved pair is verified o
 shingles of the item's question (its first four fifths) and of its answer (the rest) are in the passage.
 
 The items are the bounded side: they are read in slices of `SLICE_BYTES` of text at most and each slice is one pass over the texts, so
-the index in a task has a fixed bound. The texts are never shuffled.
+the index in a task has a fixed bound. Item count, mean length and document frequencies are Spark aggregates over all items, so no score depends
+on how the items are sliced. The texts are never shuffled.
 
 Defined cases: null and empty texts have no passage; null and empty items are never retrieved; repeated rows and ids are
 judged each by itself; a null id stays null; other columns are ignored; an empty table on either side gives no rows.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from . import arrays as A
 from .tables import keyed, named_id
 from .units import text_chunks
@@ -63,10 +65,37 @@ def shared(part: np.ndarray, own: np.ndarray, have: np.ndarray) -> float:
     return float(hit.any())
 
 
+class Statistics:
+    """What BM25 weighs by: the number of all items, their mean length, and in how many of them a slice's terms occur."""
+
+    def __init__(self, items: int, mean: float, term: np.ndarray, found: np.ndarray):
+        order = np.argsort(term)
+        self.items, self.mean, self.term, self.found = items, mean, term[order], found[order]
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.term, terms)]
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct term of an item, and one without a term that holds its length."""
+    for batch in batches:
+        buf, off = A.column_bytes(batch.column("text").cast(pa.large_string()))
+        w = A.Words(buf, off, A.LOOSE)
+        length = np.diff(w.first)
+        item = np.repeat(np.arange(len(length)), length)
+        pair = np.unique(np.stack([item.astype(U), w.hashes(A.FOLD)], 1), axis=0) if len(item) else np.zeros((0, 2), U)
+        part = batch.column("part").to_numpy()
+        some = np.flatnonzero(length)
+        at = np.concatenate([pair[:, 0].astype(np.int64), some])
+        term = pa.array(np.concatenate([pair[:, 1], np.zeros(len(some), U)]).view(np.int64), mask=np.arange(len(at)) >= len(pair))
+        words = pa.array(np.concatenate([np.zeros(len(pair), np.int64), length[some]]))
+        yield pa.RecordBatch.from_arrays([pa.array(part[at]), term, words], ["part", "term", "words"])
+
+
 class ItemIndex:
-    """Postings, block maxima and term maxima of a slice of items."""
+    """Postings, block maxima and term maxima of a slice of items, weighed by the statistics of all items."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], every: Statistics):
         buf, off = A.column_bytes(pa.array(texts, pa.large_string()))
         w = A.Words(buf, off, A.LOOSE)
         h = w.hashes(A.FOLD)
@@ -84,8 +113,8 @@ class ItemIndex:
         term = np.searchsorted(self.terms, np.concatenate(self.words))
         pair, tf = np.unique(term * n + item, return_counts=True)
         term, item = pair // n, pair % n
-        df = np.bincount(term, minlength=len(self.terms))
-        weight = np.log1p((n - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length / self.length.mean())[item])
+        df = every.of(self.terms)
+        weight = np.log1p((every.items - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length / every.mean)[item])
         weight = (weight / np.bincount(item, weights=weight, minlength=n)[item]).astype(np.float32)
         self.blocks = ceil(n / BLOCK)
         pair, where = np.unique(term * self.blocks + item // BLOCK, return_inverse=True)
@@ -168,10 +197,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bench = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).filter("length(text) > 0").distinct()
     size, longest = bench.agg(F.sum(F.octet_length("text") + 64), F.max(F.size(F.split("text", "[^A-Za-z0-9\\x80-\\uffff]+")))).first()
     base = keyed(docs, id_col, text_col)
+    slices = max(1, ceil((size or 0) / slice_bytes))
+    bench = bench.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("int"))
+    # the same statistics for every slice, so a score does not depend on which items lie beside an item
+    terms = cut_lineage(bench.select("part", "text").mapInArrow(_item_terms, "part int, term long, words long"))
+    n, mean = terms.filter("term IS NULL").agg(F.count("*"), F.avg("words")).first()
+    often = terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
     found = []
-    for k in range(slices := max(1, ceil((size or 0) / slice_bytes))):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        index = ItemIndex([r[0] for r in rows], [r[1] for r in rows])
+    for k in range(slices):
+        rows = bench.filter(F.col("part") == k).orderBy("item_id", "text").collect()
+        own = terms.filter((F.col("part") == k) & F.col("term").isNotNull()).select("term").distinct().join(often, "term").toArrow()  # a slice's terms
+        index = ItemIndex([r[0] for r in rows], [r[1] for r in rows], Statistics(n, mean or 1.0, own["term"].to_numpy().view(U), own["n"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch], index=index, stride=max(STRIDE, longest or 0)) -> Iterator[pa.RecordBatch]:
             for batch, text in text_chunks(batches):

@@ -63,6 +63,18 @@ def test_decontamination(spark):
     assert decontaminate(d, b.limit(0)).count() == decontaminate(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("own", [0, 1])
+def test_decontamination_does_not_depend_on_slices(spark, own):
+    template = [f"t{k}" for k in range(30)]
+    items = [(i, " ".join(template[:20] + [f"own{i}"] + template[20:])) for i in range(40)] + [(100 + i, " ".join(f"z{i}w{k}" for k in range(12 + i))) for i in range(20)]
+    size = sum(len(t) + 64 for _, t in items)
+    texts = [" ".join(template[:20] + ["other" if not own else "own7"] + template[20:]), items[45][1], "nothing of it " * 30, f"{items[50][1]} and {items[3][1]}"]
+    d, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, decontaminate(d, b, slice_bytes=-(-size // n)).collect())) for n in (1, 2, 8, 40)]
+    assert got[0] and all(g == got[0] for g in got[1:])  # rows, scores and overlaps
+    assert {(r[0], r[1]) for r in got[0]} >= {(1, 105), (3, 110), (3, 3)}
+
+
 def check_shards(rows, source):
     want = sorted((i is None, i or 0, len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t in source)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in rows) == want
