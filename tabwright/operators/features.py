@@ -61,30 +61,84 @@ def box_cox(x: Column, lam: float) -> Column:
 POWER_BASES = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}
 
 
-def fit_power(df: DataFrame, cols: list[str], method: str, rounds: int = 5, grid: int = 13) -> dict[str, float]:
-    """Maximum-likelihood lambdas; each round tries a grid for all columns in one aggregation."""
-    base = POWER_BASES[method]
-    if not cols:
-        return {}
-    jac = [F.sum(F.signum(num(df, c)) * F.log1p(F.abs(num(df, c))) if method == "yeo-johnson"
-                 else F.log(num(df, c))) for c in cols]
-    row = agg_row(df, jac + [F.count(num(df, c)) for c in cols])
-    jacobian, counts = row[:len(cols)], row[len(cols):]
-    span = {c: (-5.0, 5.0) for c in cols}
+def _growth(u: Column, lam: float) -> Column:
+    """Derivative of (exp(lam * u) - 1) / lam by lam; a series where the difference would lose its digits."""
+    if abs(lam) < 1e-4:
+        return u * u * (F.lit(0.5) + F.lit(lam / 3.0) * u + F.lit(lam * lam / 8.0) * u * u)
+    e = F.exp(F.lit(lam) * u)
+    return (u * e - (e - 1.0) / lam) / lam
+
+
+def _powered(x: Column, lam: float, method: str, shift: float = 0.0) -> tuple[Column, Column]:
+    """The transformed value (box-cox: of x over exp(shift)) and its derivative by lambda."""
+    if method == "box-cox":
+        u = F.log(x) - F.lit(shift)
+        return (u if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * u) / lam), _growth(u, lam)
+    return yeo_johnson(x, lam), F.when(x >= 0, _growth(F.log1p(x), lam)).when(x < 0, _growth(F.log1p(-x), 2.0 - lam))
+
+
+def power_gradients(df: DataFrame, tries: dict[str, list[float]], method: str) -> dict[str, list[float]]:
+    """Derivative by lambda of the log-likelihood of a row, for all columns and lambdas in one aggregation; not a
+    number where values overflow or do not vary."""
+    def jacobians():
+        return agg_row(df, [F.avg(F.signum(num(df, c)) * F.log1p(F.abs(num(df, c))) if method == "yeo-johnson" else F.log(num(df, c))) for c in tries])
+    # box-cox is taken over the geometric mean, where the derivative is the same and values keep their digits
+    jacobian = dict(zip(tries, jacobians()))
+    exprs = []
+    for c, lams in tries.items():
+        for lam in lams:
+            y, slope = _powered(num(df, c), lam, method, jacobian[c] or 0.0)
+            exprs += [F.covar_pop(y, slope), F.var_pop(y)]
+    row, at, out = agg_row(df, exprs), 0, {}
+    for c, lams in tries.items():
+        out[c] = []
+        for _ in lams:
+            cov, var = row[at:at + 2]
+            at += 2
+            ok = jacobian[c] is not None and var and var > 0 and math.isfinite(var) and math.isfinite(cov)
+            out[c].append((0.0 if method == "box-cox" else jacobian[c]) - cov / var if ok else math.nan)
+    return out
+
+
+def fit_power(df: DataFrame, cols: list[str], method: str, tolerance: float = 1e-10, rounds: int = 40) -> dict[str, float]:
+    """Maximum-likelihood lambdas, without bounds: the zero of the likelihood's derivative.
+
+    The derivative falls, so a change of sign brackets it; brackets grow outwards until they hold one (or values
+    overflow: then the last lambda that did not), and shrink by secant and bisection. Each round
+    evaluates a few lambdas of every open column in one aggregation.
+    """
+    seen = {c: {} for c in cols}
+    tries = {c: [-1.0, 0.0, 1.0, 2.0, 3.0] for c in cols}
     best = {c: 1.0 for c in cols}
     for _ in range(rounds):
-        tries = {c: [lo + (hi - lo) * i / (grid - 1) for i in range(grid)] for c, (lo, hi) in span.items()}
-        var = agg_row(df, [F.var_pop(base(num(df, c), l)) for c in cols for l in tries[c]])
-        for i, c in enumerate(cols):
-            scored = []
-            for j, l in enumerate(tries[c]):
-                v = var[i * grid + j]
-                if v and v > 0 and math.isfinite(v):
-                    scored.append((-0.5 * counts[i] * math.log(v) + (l - 1.0) * jacobian[i], l))
-            if scored:
-                best[c] = max(scored)[1]
-                step = (span[c][1] - span[c][0]) / (grid - 1)
-                span[c] = (best[c] - step, best[c] + step)
+        if not tries:
+            break
+        for c, g in power_gradients(df, tries, method).items():
+            seen[c].update((lam, v) for lam, v in zip(tries[c], g) if math.isfinite(v))
+        following = {}
+        for c, asked in tries.items():
+            known = sorted(seen[c].items())
+            if not known:
+                continue
+            best[c] = min(known, key=lambda kv: abs(kv[1]))[0]
+            # far out values differ by rounding only, and so may their signs: the change of sign with the smallest slopes counts
+            turns = [(kv, after) for kv, after in zip(known, known[1:]) if kv[1] > 0 >= after[1]]
+            if abs(seen[c][best[c]]) < tolerance:
+                continue
+            if turns:
+                (a, ga), (b, gb) = min(turns, key=lambda t: t[0][1] - t[1][1])
+                if b - a < 1e-13 * max(1.0, abs(a)):
+                    continue
+                secant = a + (b - a) * ga / (ga - gb)
+                near = (b - a) * 1e-3
+                new = {secant, secant - near, secant + near, (a + b) / 2}
+            else:
+                end, step = (known[-1][0], 1) if known[-1][1] > 0 else (known[0][0], -1)
+                new = {end + step * 2.0 ** k for k in range(1, 6)}
+            new = sorted(v for v in new if v not in seen[c] and v not in asked and (not turns or a < v < b))
+            if new:
+                following[c] = new
+        tries = following
     return best
 
 

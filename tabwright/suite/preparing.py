@@ -339,7 +339,22 @@ def transform_box_cox(spark, sf):
     return d.select("p_partkey", r6("p_retailprice").alias("p_retailprice"))
 
 
-@query("M8")
+# the SQL side finds the same zero by bisection
+FITTED = """WITH RECURSIVE b AS (SELECT 0 AS k, -5.3::DOUBLE AS lo, 4.9::DOUBLE AS hi UNION ALL
+  SELECT k + 1, CASE WHEN g > 0 THEN m ELSE lo END, CASE WHEN g > 0 THEN hi ELSE m END FROM (
+    SELECT k, any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, avg(u) - covar_pop(y, (u * e - y) / m) / var_pop(y) AS g
+    FROM (SELECT *, (e - 1) / m AS y FROM (SELECT *, exp(m * u) AS e FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m, ln({x}) AS u FROM b, {t} WHERE k < 42))) GROUP BY k)),
+  l AS (SELECT (lo + hi) / 2 AS m FROM b WHERE k = 42), y AS (SELECT {key}, (pow({x}, m) - 1) / m AS y FROM {t}, l)
+  SELECT {key}, round((y - (SELECT avg(y) FROM y)) / (SELECT stddev_pop(y) FROM y), 4) + 0.0::DOUBLE AS {c} FROM y"""
+
+
+@query("M9", FITTED.format(x="p_retailprice", t="part", key="p_partkey", c="p_retailprice"))
+def transform_box_cox_fitted(spark, sf):
+    d = fit_apply("PowerTransformer", table(spark, sf, "part"), columns=["p_retailprice"], method="box-cox")
+    return d.select("p_partkey", r6("p_retailprice", 4).alias("p_retailprice"))
+
+
+@query("M8", FITTED.format(x="o_totalprice + 1", t="orders", key="o_orderkey", c="o_totalprice"))
 def transform_power_fitted(spark, sf):
     d = fit_apply("PowerTransformer", table(spark, sf, "orders"), columns=["o_totalprice"])
     return d.select("o_orderkey", r6("o_totalprice", 4).alias("o_totalprice"))

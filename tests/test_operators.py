@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import tabwright as tw
 from tabwright.core import artifact_from_json, artifact_to_json, fit_apply_train
+from tabwright.operators.features import fit_power, power_gradients
 from tabwright.plans import merging as M
 from tabwright.plans.sequence import Pipeline
 
@@ -162,3 +163,19 @@ def test_text_vectors(spark):
     t = tw.fit_apply("tfidf_vectorizer", d, columns=["t"]).orderBy("id").collect()
     norm = sum(t[0][c] ** 2 for c in t[0].asDict() if "__tfidf__" in c)
     assert abs(norm - 1) < 1e-9 and t[2]["t__tfidf__cat"] == 0.0
+
+
+def test_power_lambdas_settle_without_bounds(spark):
+    rng = np.random.RandomState(4)
+    x = {"a": np.exp(rng.normal(size=400)), "b": rng.normal(size=400) ** 3, "c": 20.0 + rng.rand(400) ** 0.2, "d": np.full(400, 3.0)}
+    d = spark.createDataFrame([tuple(map(float, r)) for r in zip(*x.values())], "a double, b double, c double, d double")
+    got = fit_power(d, list(x), "yeo-johnson")
+    g = power_gradients(d, {c: [got[c]] for c in "abc"}, "yeo-johnson")
+    assert all(abs(v[0]) < 1e-8 for v in g.values()) and got["d"] == 1.0 and got["c"] > 5  # beyond any former bound
+    cox = fit_power(d, ["a"], "box-cox")
+    assert abs(cox["a"]) < 0.2 and abs(power_gradients(d, {"a": [cox["a"]]}, "box-cox")["a"][0]) < 1e-8
+
+    def likelihood(v, lam):
+        y = np.where(v >= 0, ((1 + np.abs(v)) ** lam - 1) / lam, -((1 + np.abs(v)) ** (2 - lam) - 1) / (2 - lam))
+        return -0.5 * np.log(y.var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).mean()
+    assert all(likelihood(x[c], got[c]) >= likelihood(x[c], got[c] + e) for c in "abc" for e in (-0.01, 0.01))
