@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core import agg_row, nn, num, numeric_candidates, q
+from ..session import cut_lineage
 from ..stats import f_tail, normal_two_sided
 
 PAIRWISE_COLUMNS = 30
@@ -159,10 +160,41 @@ def signed_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return total - float(ties.sum())
 
 
+#: even ranges of a column at most, so that the grid of range counts is small; digits of a rank that are compared at once
+KENDALL_RANGES, DIGITS = 990, 4
+
+
+def signed_pairs_by_digits(cells: DataFrame, hot_rows: int) -> float:
+    """Rising less falling weighted pairs of cells (x, y, w), for any number of cells.
+
+    Two different ranks of y first differ in one of their digits. Cells whose ranks agree in all digits above form a
+    segment; running totals by x within the segments, one for each value of the digit, count for every cell the
+    cells of smaller x whose digit is smaller or larger. A level for each digit, every one a segmented running total, so no group has to fit a task.
+    """
+    from ..plans.ordered import running_totals, segmented_totals
+    ranks = running_totals(cells.groupBy("y").agg(F.lit(1.0).alias("k")), "y", ["k"]).select("y", (F.col("cum_k") - 1).cast("long").alias("r"))
+    rows = cut_lineage(cells.join(ranks, "y").select("x", "r", "w"))
+    top = (rows.agg(F.max("r")).first()[0] or 0)
+    total, base = 0.0, 1 << DIGITS
+    for shift in range(0, max(1, top.bit_length()), DIGITS):
+        digit = F.shiftright("r", shift).bitwiseAND(base - 1)
+        names = [f"n{d}" for d in range(base)]
+        table = rows.groupBy(F.shiftright("r", shift + DIGITS).alias("prefix"), "x").agg(*[F.sum(F.when(digit == d, F.col("w")).otherwise(0.0)).alias(a) for d, a in enumerate(names)])
+        run = segmented_totals(table, ["prefix"], "x", names, hot_rows)
+        before = {a: F.col(f"cum_{a}") - F.col(a) for a in names}
+        every = sum(before.values(), F.lit(0.0))
+        gain, smaller = F.lit(0.0), F.lit(0.0)
+        for a in names:
+            gain = gain + F.col(a) * (2 * smaller + before[a] - F.col("every"))
+            smaller = smaller + before[a]
+        total += run.withColumn("every", every).agg(F.sum(gain)).first()[0] or 0.0
+    return total
+
+
 def kendall_tau(df: DataFrame, x: Column, y: Column, rows_per_bucket: int = 1_000_000) -> float:
     """Kendall's tau-b on all rows, without a pair table.
 
-    Both columns are cut into ranges. Pairs whose ranges differ in both columns are settled by the
+    Beyond KENDALL_RANGES full ranges pairs are counted digit by digit. Up to there both columns are cut into ranges. Pairs whose ranges differ in both columns are settled by the
     small grid of range counts; the others meet inside one x range or one y range, each a bounded
     task. A value that fills a range alone needs no task: its pairs are ties.
     """
@@ -178,9 +210,12 @@ def kendall_tau(df: DataFrame, x: Column, y: Column, rows_per_bucket: int = 1_00
         return g.agg(F.sum(F.col("w") * (F.col("w") - 1.0)) / 2.0).first()[0]
 
     def bounds(col):
-        # at most a thousand even ranges: the grid of range counts is small whatever the table's size
-        b = range_bounds(c, col, max(rows_per_bucket, -(-n_cells // 990)), n_cells)
+        b = range_bounds(c, col, rows_per_bucket, n_cells)
         return sorted({v for e in b for v in (e, math.nextafter(e, math.inf))})
+    pairs = n * (n - 1) / 2.0
+    den = math.sqrt((pairs - ties("x")) * (pairs - ties("y")))
+    if n_cells > KENDALL_RANGES * rows_per_bucket:
+        return signed_pairs_by_digits(c, rows_per_bucket) / den if den > 0 else math.nan
     t = c
     for col in ("x", "y"):
         t = add_bucket(t, col, bounds(col), f"b{col}")
@@ -208,8 +243,6 @@ def kendall_tau(df: DataFrame, x: Column, y: Column, rows_per_bucket: int = 1_00
             return pd.DataFrame({"s": [tot]})
         return part.groupBy(key).applyInPandas(count, "s double").agg(F.sum("s")).first()[0] or 0.0
     s += local("bx", None) + local("by", "bx")
-    pairs = n * (n - 1) / 2.0
-    den = math.sqrt((pairs - ties("x")) * (pairs - ties("y")))
     return s / den if den > 0 else math.nan
 
 

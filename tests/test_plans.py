@@ -13,7 +13,8 @@ from tabwright.core import fit_apply
 from tabwright.plans.ordered import running_totals, segmented_totals, split_hot_groups
 from tabwright.plans.quantiles import grouped_quantiles, quantiles_of
 from tabwright.plans.textorder import number_sorted
-from tabwright.profiling.correlations import kendall_tau, signed_pairs
+from tabwright.profiling import correlations
+from tabwright.profiling.correlations import kendall_tau, signed_pairs, signed_pairs_by_digits
 
 
 def frame(spark, **cols):
@@ -185,7 +186,7 @@ def test_leaves_grow_with_the_table():
     assert leaf_count(10 ** 12, 4096, 16 << 20, 536) == (16 << 20) // 536
 
 
-def test_kendall_matches_pairs(spark):
+def test_kendall_matches_pairs(spark, monkeypatch):
     rng = np.random.RandomState(4)
     x = np.where(rng.rand(300) < 0.35, 5, rng.randint(0, 40, 300)).astype(float)
     y = np.round(x * 0.3 + rng.normal(size=300) * 4)
@@ -196,6 +197,10 @@ def test_kendall_matches_pairs(spark):
     want = s / math.sqrt((n0 - ties(x)) * (n0 - ties(y)))
     d = frame(spark, x=x.tolist(), y=y.tolist())
     assert abs(kendall_tau(d, F.col("x"), F.col("y"), rows_per_bucket=40) - want) < 1e-12
+    cells = d.groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
+    assert signed_pairs_by_digits(cells, 60) == s
+    monkeypatch.setattr(correlations, "KENDALL_RANGES", 2)
+    assert abs(kendall_tau(d, F.col("x"), F.col("y"), rows_per_bucket=60) - want) < 1e-12
 
 
 def test_shortest_half_with_repeats(spark):
