@@ -102,8 +102,10 @@ def split_hot_groups(df: DataFrame, group_by: Sequence[str], sort_by: Sequence[s
     order = [q(s).asc_nulls_first() for s in sort_by]
     named = [q(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     kn = [f"__k{i}" for i in range(len(keys))]
-    sizes = df.groupBy(*named).agg(F.count("*").alias("__n")) if sizes is None else sizes.select(*named, "__n")
-    hot = cut_lineage(sizes.where(F.col("__n") > hot_rows))
+    if sizes is None:
+        hot = cut_lineage(df.groupBy(*named).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows))
+    else:  # a table already
+        hot = sizes.select(*named, "__n").where(F.col("__n") > hot_rows)
     n_hot = hot.count()
     if not n_hot:
         return df.withColumn("__slice", F.lit(0)).withColumn("__halo", F.lit(False)), keys + ["__slice"], order
