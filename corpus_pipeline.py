@@ -1,7 +1,8 @@
 """From raw documents to token ids: each stage calls one operator of tabwright.llm.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows without an id
-are told apart by their text and stand behind all others. Every stage is defined for null and empty texts, repeated rows and ids,
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows are judged one by
+one: those without an id, or with an id that another text has too, are told apart by their text; all but one text of an id stand
+behind all others. Every stage is defined for null and empty texts, repeated rows and ids,
 empty tables and extra columns; see the operators.
 """
 
@@ -17,14 +18,24 @@ from tabwright.llm.suffix_dedup import suffix_dedup
 from tabwright.session import shared_table_path
 
 KEY = "__row_key"
+FIRST = "__first_text"
 #: near duplicates of the corpus: five words, 100 * intersection >= 80 * union (op7's own contract is stricter)
 NEAR = 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key: the id, or beyond all ids a hash of the text."""
-    nameless = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1)
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), nameless))
+    """docs with a key for each text: the id, or beyond all ids a hash, for rows without an id and for further texts of a repeated id.
+
+    Rows equal in id and text share a key. The table of repeated ids is written, so that Spark knows its size when it
+    chooses the join; as a rule it is empty.
+    """
+    spark, mark = docs.sparkSession, F.xxhash64("text")
+    path = shared_table_path(spark, "repeated-ids")
+    texts = docs.groupBy("doc_id").agg(F.min(mark).alias(FIRST), F.max(mark).alias("most"))
+    texts.where((F.col(FIRST) != F.col("most")) & F.col("doc_id").isNotNull()).select("doc_id", FIRST).write.parquet(path)
+    beyond = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND((1 << 61) - 1)
+    named = F.when(F.col(FIRST).isNull() | (F.col(FIRST) == mark), F.col("doc_id").cast("long"))
+    return docs.join(spark.read.parquet(path), "doc_id", "left").withColumn(KEY, F.coalesce(named, beyond)).drop(FIRST)
 
 
 def _restored(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
