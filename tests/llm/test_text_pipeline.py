@@ -39,3 +39,18 @@ def test_near_duplicates_from_four_fifths(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, SMALL).collect()}
     want = {r[0] for r in brute.near([r.asDict() for r in d.collect()], threshold=80) if r[3]}
     assert kept == want == {0, 2, 4, 5}  # 89/111 and 90/110 are alike, 88/112 is not
+
+
+def test_rows_of_one_id_are_judged_alone(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()
+    leak = " ".join(str(v) for v in item if isinstance(v, str))
+    words = [" ".join(f"{p}{i}" for i in range(90)) for p in "abc"]
+    rows = [(5, words[0]), (5, words[1]), (5, words[1] + " more"), (9, words[2]), (9, leak), (9, words[2])]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t), 0, 0) for i, t in rows], COLUMNS)
+
+    def after(stage):
+        return sorted((r.doc_id, r.text) for r in stage(spark, d, SMALL).collect())
+    near = after(corpus_pipeline.near_duplicates)
+    assert (5, words[0]) in near and (9, words[2]) in near and (9, leak) in near and len(near) == 4
+    assert after(corpus_pipeline.test_items) == sorted(r for r in rows if r[1] != leak)
+    assert len(after(corpus_pipeline.repeated_passages)) >= 5
