@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..core import (FLOAT_TYPES, INT_TYPES, Operator, agg_row, choose_columns, detect_numeric, dtype_of, is_numeric,
                     nn, num, numeric_candidates, operator, q)
 from ..profiling.correlations import anova, class_moments, correlation_matrix
+from ..profiling.information import class_information, number_information
 from ..stats import chi2_tail, f_tail, t_two_sided
 
 MAX_CLASSES_FOR_CLASSIFICATION = 10
@@ -81,8 +82,11 @@ def univariate_scores(df: DataFrame, cols: list[str], target: str, score_func: s
     if score_func == "chi2":
         return _chi2_scores(z, cols)
     if score_func in ("mutual_info_classif", "mutual_info_regression"):
+        info = class_information if score_func == "mutual_info_classif" else number_information
+        return {c: (v, math.nan) for c, v in info(z, cols, "__y").items()}
+    if score_func in ("binned_mutual_info_classif", "binned_mutual_info_regression"):
         return {c: (v, math.nan) for c, v in binned_mutual_information(
-            z, cols, "__y", score_func == "mutual_info_regression").items()}
+            z, cols, "__y", score_func == "binned_mutual_info_regression").items()}
     raise ValueError(f"unknown score {score_func!r}")
 
 

@@ -57,7 +57,29 @@ def score_chi2_many_classes(spark, sf):
   c AS (SELECT b, y, count(*) AS k FROM b GROUP BY 1, 2), x AS (SELECT b, sum(k) AS kb FROM c GROUP BY 1), y AS (SELECT y, sum(k) AS ky FROM c GROUP BY 1)
   SELECT 'l_extendedprice' AS "column", round(sum(k / n * ln(k * n / (kb * ky))), 9) AS score FROM c JOIN x USING (b) JOIN y USING (y), n""")
 def score_mutual_information(spark, sf):
-    return rounded(_scores(spark, S.univariate_scores(table(spark, sf, "lineitem"), ["l_extendedprice"], "l_returnflag", "mutual_info_classif")), "score", digits=9)
+    return rounded(_scores(spark, S.univariate_scores(table(spark, sf, "lineitem"), ["l_extendedprice"], "l_returnflag", "binned_mutual_info_classif")), "score", digits=9)
+
+
+#: per column: the third nearest of its class among three rows on either side, counts by running totals, psi by harmonic sums
+INFO = """SELECT '{c}' AS "column", round(greatest(0, (SELECT h FROM psi WHERE m = (SELECT count(*) FROM v)) + avg(k.h - y.h - a.h)), 6) AS score FROM (
+  SELECT r, ny, CASE WHEN r = 0 THEN same - 1 ELSE least(3, ny - 1) END AS kth, CASE WHEN r = 0 THEN eq.n - 1 ELSE hi.cum - coalesce(lo.cum, 0) END AS m FROM (
+    SELECT *, x - greatest(r - (abs(x) + r) * 1e-12, r / 2) AS lower, x + greatest(r - (abs(x) + r) * 1e-12, r / 2) AS upper FROM (
+      SELECT x, y, ny, same, list_sort(list_filter([x - l1, x - l2, x - l3, r1 - x, r2 - x, r3 - x], lambda d: d IS NOT NULL))[least(3, ny - 1)] AS r FROM (
+        SELECT x, y, count(*) OVER (PARTITION BY y) AS ny, count(*) OVER (PARTITION BY x, y) AS same, lag(x, 1) OVER o AS l1, lag(x, 2) OVER o AS l2, lag(x, 3) OVER o AS l3,
+          lead(x, 1) OVER o AS r1, lead(x, 2) OVER o AS r2, lead(x, 3) OVER o AS r3 FROM v{i} WINDOW o AS (PARTITION BY y ORDER BY x)))) s
+  JOIN t{i} eq USING (x) ASOF LEFT JOIN t{i} lo ON s.lower >= lo.x ASOF LEFT JOIN t{i} hi ON s.upper > hi.x) z
+  JOIN psi k ON k.m = z.kth JOIN psi y ON y.m = z.ny JOIN psi a ON a.m = z.m"""
+INFO_COLUMNS = {"l_extendedprice": "l_extendedprice", "level": "floor(l_extendedprice / 10000)"}
+INFO_CLASS = "floor(l_extendedprice / 20000 + l_quantity / 25)"
+INFO_SQL = "WITH v AS (SELECT * FROM lineitem), psi AS (SELECT i + 1 AS m, sum(CASE WHEN i = 0 THEN 0 ELSE 1.0::DOUBLE / i END) OVER (ORDER BY i) AS h FROM (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS i)), " + ", ".join(
+    f"v{i} AS (SELECT {e}::DOUBLE AS x, {INFO_CLASS} AS y FROM lineitem), t{i} AS (SELECT x, count(*) AS n, sum(count(*)) OVER (ORDER BY x) AS cum FROM v{i} GROUP BY x)" for i, e in enumerate(INFO_COLUMNS.values())
+) + " " + " UNION ALL ".join(INFO.format(c=c, i=i) for i, c in enumerate(INFO_COLUMNS))
+
+
+@query("O6", INFO_SQL)
+def score_neighbour_information(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.expr(INFO_CLASS).alias("class"), *[F.expr(e).cast("double").alias(c) for c, e in INFO_COLUMNS.items()])
+    return rounded(_scores(spark, S.univariate_scores(li, list(INFO_COLUMNS), "class", "mutual_info_classif")), "score")
 
 
 @query("O7", """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE (SELECT abs(corr(l_quantity, y)) > greatest(abs(corr(l_discount, y)), abs(corr(l_tax, y))) FROM (SELECT *, l_quantity + 100 * l_tax AS y FROM lineitem))""")
