@@ -244,7 +244,7 @@ CLUSTERERS: dict[str, Callable] = {
     "kmeans": lambda p: ML.KMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42)), maxIter=int(p.get("max_iter", 300)), initSteps=5),
     "minibatch_kmeans": lambda p: ML.KMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42)), maxIter=int(p.get("max_iter", 100))),
     "gaussian_mixture": lambda p: ML.GaussianMixture(k=int(p.get("n_components", 3)), seed=int(p.get("random_state", 42)), maxIter=int(p.get("max_iter", 100))),
-    "birch": lambda p: ML.BisectingKMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42))),
+    "bisecting_kmeans": lambda p: ML.BisectingKMeans(k=int(p.get("n_clusters", 3)), seed=int(p.get("random_state", 42))),
 }
 CUSTOM: dict[str, Callable] = {}
 SCORERS: dict[str, Callable] = {}
@@ -401,6 +401,27 @@ def _by(key):
 _custom("k_neighbors_classifier", "k_neighbors_regressor")((_knn_fit, _knn_score))
 
 
+# --- feature trees ---------------------------------------------------------------------------
+
+def _birch_fit(name, df, features, target, params):
+    """``n_clusters=None`` leaves every entry of the tree its own cluster."""
+    from . import feature_trees as FT
+    n, mean, m2, limit = FT.fit_entries(df, features, float(params.get("threshold", 0.5)), int(params.get("branching_factor", 50)),
+                                        int(params.get("max_entries", FT.MAX_ENTRIES)))
+    k = params.get("n_clusters", 3)
+    cluster = FT.ward_groups(n, mean, int(k)) if k else np.arange(len(n))
+    return Model(name, "clustering", features, None, None, params, [], {
+        "rows": n.tolist(), "means": mean.tolist(), "deviations": m2.tolist(), "cluster": cluster.tolist(), "limit": float(limit)})
+
+
+def _birch_score(model, df):
+    from .feature_trees import nearest_entry
+    return df.withColumn("__p", nearest_entry(df, model.features, model.data["means"], model.data["cluster"]))
+
+
+_custom("birch")((_birch_fit, _birch_score))
+
+
 # --- AdaBoost --------------------------------------------------------------------------------
 
 def _ada_fit(name, df, features, target, params):

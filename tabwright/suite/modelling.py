@@ -42,6 +42,23 @@ for _n, _id in CLUSTERERS.items():
                                    .groupBy("prediction").agg(F.count("*").alias("rows")))
 
 
+@query("S20", """WITH g AS (SELECT c_custkey % 4 AS cluster, c_acctbal / 10000 + 10 * (c_custkey % 4) AS x, c_nationkey / 25.0 + 5 * (c_custkey % 2) AS y FROM customer)
+  SELECT cluster::INTEGER AS cluster, count(*) AS rows, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y, count(*) AS entry_rows, round(sum(x), 6) AS entry_x, round(sum(y), 6) AS entry_y,
+    round(sum(x * x + y * y), 4) AS entry_squares, true AS within_threshold FROM g GROUP BY 1""")
+def model_birch_sums(spark, sf):
+    """Four groups apart from each other: sums over the rows of each cluster, and the same out of the features of the tree's entries."""
+    key = F.col("c_custkey")
+    d = table(spark, sf, "customer").select((F.col("c_acctbal") / 10000 + 10 * (key % 4)).alias("x"), (F.col("c_nationkey") / 25.0 + 5 * (key % 2)).alias("y"))
+    m = fit_model("birch", d, ["x", "y"], n_clusters=4, threshold=0.1)
+    entries = spark.createDataFrame([(int(c), n, mean[0], mean[1], m2) for c, n, mean, m2 in zip(*(m.data[k] for k in ("cluster", "rows", "means", "deviations")))],
+                                    "cluster int, n double, x double, y double, m2 double")
+    squares = F.col("m2") + F.col("n") * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    e = entries.groupBy("cluster").agg(F.sum("n").cast("long").alias("entry_rows"), r6(F.sum(F.col("n") * F.col("x")), 6).alias("entry_x"), r6(F.sum(F.col("n") * F.col("y")), 6).alias("entry_y"),
+                                       r6(F.sum(squares), 4).alias("entry_squares"), F.bool_and(F.col("m2") <= 0.1 * 0.1 * F.col("n") * (1 + 1e-9)).alias("within_threshold"))
+    p = m.predict(d).groupBy(F.col("prediction").cast("int").alias("cluster")).agg(F.count("*").alias("rows"), r6(F.sum("x"), 6).alias("sum_x"), r6(F.sum("y"), 6).alias("sum_y"))
+    return p.join(e, "cluster")
+
+
 @query("S14", """WITH l AS (SELECT l_quantity AS x, l_quantity / 10 + l_discount * 20 AS y FROM lineitem) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM l""")
 def model_linear_regression(spark, sf):
     d = table(spark, sf, "lineitem").select(q("l_quantity").alias("x"), (F.col("l_quantity") / 10 + F.col("l_discount") * 20).alias("y"))

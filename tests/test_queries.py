@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = ["revenue_share_prepared", "deduplicate_first", "merge_columns_by_owner", "impute_median", "scale_robust", "bin_averaged_quantiles", "outliers_elliptic",
           "encode_target_cross_fit", "encode_woe", "rolling_whole_table_sliced", "lag_by_text_sliced", "rolling_tied_lead_sliced", "lag_whole_table_sliced", "split_stratified", "undersample_random", "hourly_timeline", "profile_numeric",
           "drift_report_rows", "tfidf_long", "impute_nearest", "undersample_tomek", "evaluate_areas", "stream_replay", "score_chi2_many_classes",
-          "evaluate_confusion_many_classes", "box_plot_many_groups", "drift_many_categories", "read_schema_orders", "sample_head_orders", "oversample_random", "nearest_embeddings_by_pivots", "evaluate_areas_multiclass", "evaluate_clusters_all_rows", "evaluate_confusion", "full_profile", "oversample_smote", "oversample_svm_smote", "group_statistics_back", "slow_steps", "nearest_suppliers_by_tree", "score_neighbour_information"]
+          "evaluate_confusion_many_classes", "box_plot_many_groups", "drift_many_categories", "read_schema_orders", "sample_head_orders", "oversample_random", "nearest_embeddings_by_pivots", "evaluate_areas_multiclass", "evaluate_clusters_all_rows", "evaluate_confusion", "full_profile", "oversample_smote", "oversample_svm_smote", "group_statistics_back", "slow_steps", "nearest_suppliers_by_tree", "score_neighbour_information", "model_birch_sums"]
 
 
 @pytest.fixture(scope="module")
