@@ -145,18 +145,20 @@ class IterativeImputer(Operator):
     """Round-robin regression of each column on the others, as Spark ML fits.
 
     Each fitted model is a short list of coefficients (or a saved tree model), so apply is a
-    chain of projections over the mean-filled row.
+    chain of projections over the mean-filled row. ``KNeighbors`` fills by the mean of the
+    ``n_neighbors`` nearest rows instead (``plans/neighbour_rounds.py``) and needs ``key_columns``.
     """
 
     description = "Fill missing values by chained regressions"
-    defaults = {"max_iter": 10, "estimator": "BayesianRidge", "tol": 1e-3, "cache": True}
+    defaults = {"max_iter": 10, "estimator": "BayesianRidge", "tol": 1e-3, "cache": True, "n_neighbors": 5}
 
     def fit(self, df, cfg):
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression, RandomForestRegressor)
         from ..session import cut_lineage, shared_table_path
-        if "Neighbors" in cfg["estimator"]:
-            raise ValueError("IterativeImputer has no neighbour estimator: use KNNImputer")
+        neighbours, key = "Neighbors" in cfg["estimator"], list(cfg.get("key_columns") or [])
+        if neighbours and not key:
+            raise ValueError("the neighbour estimator needs key_columns to tell rows apart")
         cols = [c for c in choose_columns(df, cfg, numeric_candidates) if is_numeric(df, c)]
         row = agg_row(df, [F.avg(num(df, c)) for c in cols] + [F.count(num(df, c)) for c in cols]
                       + [F.count("*")] + [F.stddev_pop(num(df, c)) for c in cols])
@@ -165,6 +167,13 @@ class IterativeImputer(Operator):
         stds = {c: s or 1.0 for c, s in zip(cols, stds)}
         order = sorted([c for c in cols if 0 < have[c] < n], key=lambda c: n - have[c])
         linear = cfg["estimator"] in ("BayesianRidge", "bayesian_ridge")
+        if neighbours:
+            from ..plans.neighbour_rounds import fit_rounds
+            cols = [c for c in cols if have[c]]
+            art = {"columns": cols, "means": means, "key_columns": key, "order": order, "n_neighbors": int(cfg["n_neighbors"]), "steps": []}
+            if order and len(cols) > 1:
+                art.update(fit_rounds(df, key, cols, order, means, stds, art["n_neighbors"], int(cfg["max_iter"]), float(cfg["tol"])))
+            return art
         steps = []
         if order and p > 1:
             work = cut_lineage(df.select(
@@ -211,6 +220,9 @@ class IterativeImputer(Operator):
         return m.transform(VectorAssembler(inputCols=step["others"], outputCol="__x").transform(df)).drop("__x")
 
     def apply(self, df, art):
+        if "key_columns" in art:
+            from ..plans.neighbour_rounds import apply_rounds
+            return apply_rounds(df, art)
         cols = art["columns"]
         flags = {f"__m_{c}": num(df, c).isNull() for c in cols}
         out = df.select("*", *[e.alias(k) for k, e in flags.items()])

@@ -53,6 +53,28 @@ def impute_iterative(spark, sf):
     return rounded(fit_apply("IterativeImputer", li, columns=["a", "b", "c"], max_iter=3), "a", digits=3)
 
 
+def _rounds_sql(rounds: int) -> str:
+    """One table for each column and round: y, then x, each the mean of the five nearest rows that have it."""
+    parts, last = ["""g AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN round(c_acctbal / 100) END AS x, CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey::DOUBLE END AS y, (c_custkey % 31)::DOUBLE AS z FROM customer)""",
+                   "s0 AS MATERIALIZED (SELECT k, x IS NULL AS mx, y IS NULL AS my, coalesce(x, avg(x) OVER ()) AS x, coalesce(y, avg(y) OVER ()) AS y, z FROM g)"], "s0"
+    for i in range(1, 2 * rounds + 1):
+        c, o = ("y", "x") if i % 2 else ("x", "y")
+        parts.append(f"""p{i} AS (SELECT l, avg(v) AS v FROM (SELECT a.k AS l, b.{c} AS v, row_number() OVER (PARTITION BY a.k ORDER BY (a.{o} - b.{o}) * (a.{o} - b.{o}) + (a.z - b.z) * (a.z - b.z), b.k) AS rn
+          FROM {last} a, {last} b WHERE a.m{c} AND NOT b.m{c}) WHERE rn <= 5 GROUP BY 1)""")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT k, mx, my, {'x, coalesce(v, y) AS y' if c == 'y' else 'coalesce(v, x) AS x, y'}, z FROM {last} LEFT JOIN p{i} ON l = k)")
+        last = f"s{i}"
+    return f"WITH {', '.join(parts)} SELECT k AS c_custkey, round(x, 6) AS x, round(y, 6) AS y FROM {last}"
+
+
+@query("G7", _rounds_sql(10))
+def impute_neighbour_rounds(spark, sf):
+    """Ten rounds, fewer only if nothing moves any more."""
+    c = F.col("c_custkey")
+    g = table(spark, sf, "customer").select("c_custkey", F.when(c % 9 != 0, F.round(F.col("c_acctbal") / 100)).alias("x"), F.when(c % 13 != 0, F.col("c_nationkey").cast("double")).alias("y"), (c % 31).cast("double").alias("z"))
+    done = fit_apply("IterativeImputer", g, columns=["x", "y", "z"], key_columns=["c_custkey"], estimator="KNeighbors", max_iter=10, tol=0.0)
+    return rounded(done.select("c_custkey", "x", "y"), "x", "y")
+
+
 def _classes(spark, sf):
     """Customers with a rare class in part of the plane."""
     c = table(spark, sf, "customer")
