@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from typing import Any, Sequence
+from typing import Any, Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -134,19 +134,21 @@ class Pipeline:
         return p
 
 
-def step_metrics(before: DataFrame, after: DataFrame, action=lambda d: d.write.format("noop").mode("overwrite").save()) -> dict:
-    """Rows, missing cells and columns around a step, observed on the job that runs it anyway."""
+def step_metrics(before: DataFrame, step: Callable[[DataFrame], DataFrame],
+                 action=lambda d: d.write.format("noop").mode("overwrite").save()) -> dict:
+    """Rows, missing cells and columns around a lazy step, both observed on the one job that runs it.
+
+    ``step`` reads its frame once and runs no job of its own: fit before, apply here.
+    """
     def probe(df, name):
         miss = F.lit(0)
         for c in df.columns:
             miss = miss + nn(df, c).isNull().cast("int")
         o = Observation(name)
         return df.observe(o, F.count(F.lit(1)).alias("rows"), F.sum(miss).alias("missing")), o
-    _, ob = None, None
-    watched, oa = probe(after, "after")
-    action(watched)
-    seen, ob = probe(before, "before")
-    action(seen)
+    watched, ob = probe(before, "before")
+    after, oa = probe(step(watched), "after")
+    action(after)
     a, b = oa.get, ob.get
     return {"rows_in": b["rows"], "rows_out": a["rows"], "missing_in": b["missing"] or 0, "missing_out": a["missing"] or 0,
             "columns_created": [c for c in after.columns if c not in before.columns],

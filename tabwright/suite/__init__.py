@@ -2,4 +2,4 @@
 
 from .base import REGISTRY, oracle_sql, queries  # noqa: F401
 from . import (relational, preparing, encoding, windows, profiling, selecting, texting, neighbours,
-               modelling, sequences)  # noqa: F401
+               modelling, checked_models, sequences)  # noqa: F401

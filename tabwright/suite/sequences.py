@@ -54,7 +54,8 @@ def batch_predictions(spark, sf):
   sum((o_totalprice IS NOT NULL AND o_orderpriority IS NULL)::INT)::BIGINT AS missing_out FROM {HOLES}""")
 def observe_step(spark, sf):
     d = holes(spark, sf)
-    m = step_metrics(d, fit_apply("DropMissingRows", d, subset=["o_totalprice"]))
+    art = fit("DropMissingRows", d, subset=["o_totalprice"])
+    m = step_metrics(d, lambda watched: apply(watched, art))
     return spark.createDataFrame([(m["rows_in"], m["rows_out"], m["missing_in"], m["missing_out"])], "rows_in long, rows_out long, missing_in long, missing_out long")
 
 
