@@ -94,10 +94,21 @@ def export(df: DataFrame, path: str, fmt: str = "csv", limit: int = 10_000) -> s
     return path
 
 
-def read_schema(spark: SparkSession, path: str) -> dict[str, str]:
-    """Column -> type, from file footers or a header."""
+def read_schema(spark: SparkSession, path: str, sample: float | None = None) -> dict[str, str]:
+    """Column -> type. Parquet has them in its footers; CSV and JSON types are inferred from all rows, or from a
+    share ``sample`` of them. ``sample=0`` reads a CSV's header only and calls every type a string."""
     path = resolve(spark, path)
-    if path.lower().endswith((".csv", ".json")):
+    if sample is not None and not 0 <= sample <= 1:
+        raise ValueError("sample is a share between 0 and 1")
+    low = path.lower()
+    if low.endswith(".csv") and sample == 0:
+        return dict(spark.read.option("header", True).csv(path).dtypes)
+    if low.endswith(".json") and sample == 0:
+        raise ValueError("JSON rows have no header: give a share above 0")
+    if low.endswith((".csv", ".json")) and sample is not None:
+        r = spark.read.option("samplingRatio", sample)
+        return dict((r.option("header", True).option("inferSchema", True).csv(path) if low.endswith(".csv") else r.json(path)).dtypes)
+    if low.endswith((".csv", ".json")):
         return dict(read_table(spark, path, None).dtypes)
     return dict(spark.read.parquet(path).dtypes)
 

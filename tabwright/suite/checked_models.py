@@ -118,7 +118,7 @@ def bin_kmeans_apart(spark, sf):
 
 def _steps(spark, sf):
     a, b = F.col("c_nationkey") >= 12, F.col("c_custkey") % 7 > 3
-    return table(spark, sf, "customer").select(F.col("c_nationkey").cast("double").alias("n"), (F.col("c_custkey") % 7).cast("double").alias("w"), a.cast("int").alias("a"), b.cast("int").alias("b"),
+    return table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("n"), (F.col("c_custkey") % 7).cast("double").alias("w"), a.cast("int").alias("a"), b.cast("int").alias("b"),
                                                (a.cast("int") * 10.0 + b.cast("int") * 5.0).alias("value"), (a & b).cast("int").alias("label"))
 
 
@@ -126,6 +126,21 @@ STEPS = "(SELECT (c_nationkey >= 12)::INT AS a, (c_custkey % 7 > 3)::INT AS b FR
 EXACT = {"decision_tree_regressor": "S4", "gradient_boosting_regressor": "S5", "hist_gradient_boosting_regressor": "S6", "adaboost_regressor": "S7",
          "decision_tree_classifier": "S4", "random_forest_classifier": "S3", "gradient_boosting_classifier": "S5", "hist_gradient_boosting_classifier": "S6"}
 
+_TREE = {"name": "decision_tree_classifier", "params": {"max_depth": 4}}
+_CV = {"key_columns": ["c_custkey"], "cv": 3}
+#: ensembles over an exact member: query, item, learner, parameters
+OVER_TREES = {"stacking_classifier": ("S22", {"base_estimators": [_TREE, "logistic_regression"], **_CV}),
+              "stacking_classifier_passthrough": ("S22", {"base_estimators": [_TREE], "passthrough": True, **_CV}),
+              "calibrated_classifier_sigmoid": ("S2", {"base_estimator": "decision_tree_classifier", "base_params": {"max_depth": 4}, "method": "sigmoid", **_CV}),
+              "voting_classifier_calibrated": ("S21", {"base_estimators": [_TREE, {"name": "random_forest_classifier", "params": {"max_depth": 4}}], "calibrate_base_models": True, **_CV})}
+
+for _q, (_id, _p) in OVER_TREES.items():
+    @query(_id, f"SELECT a, b, count(*) AS rows, min(a * b)::VARCHAR AS low, max(a * b)::VARCHAR AS high FROM {STEPS} GROUP BY 1, 2", name=f"model_{_q}_steps")
+    def _over(spark, sf, n="_".join(_q.split("_")[:2]), p=_p):
+        d = _steps(spark, sf)
+        out = fit_model(n, d, ["n", "w"], "label", **p).predict(d)
+        return out.groupBy("a", "b").agg(F.count("*").alias("rows"), F.min("prediction").alias("low"), F.max("prediction").alias("high"))
+
 for _n, _id in EXACT.items():
     _want = "a * 10.0 + b * 5.0" if _n.endswith("regressor") else "(a * b)::DOUBLE"
 
