@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..core import DATE_TYPES, agg_row, dtype_of, is_numeric, nn, num, numeric_candidates, q
 from ..operators.rows import filter_rows_coerced
-from ..plans.quantiles import grouped_quantiles, long_form, quantile_sets
+from ..plans.quantiles import column_quantiles, grouped_quantiles, long_form, quantile_sets
 
 MEASURES = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max}
 
