@@ -105,8 +105,8 @@ class Oversampling(_Resampler):
 
     # every synthetic method: seeds with a share of the needed rows, then steps towards neighbours
 
-    def _synthesise(self, df, art, cls_name, seeds, weights_total, need, pool, tag=0, even=False):
-        """``seeds`` (keys, features, w): split ``need`` points over seeds in proportion to w."""
+    def _synthesise(self, df, art, cls_name, seeds, weights_total, need, pool, tag=0, even=False, named=False):
+        """``seeds`` (keys, features, w): split ``need`` points over seeds in proportion to w. ``named`` adds an id, also of equal points."""
         keys, feats, k = art["key_columns"], art["features"], int(art["k_neighbors"])
         seed = int(art["random_state"]) + tag
         pairs = knn_join(seeds, pool, feats, k, keys, keys, exclude_self=True, carry=feats)
@@ -137,13 +137,18 @@ class Oversampling(_Resampler):
                 out.append(F.lit(cls_name).cast(df.schema[c].dataType).alias(c))
             else:
                 out.append(F.lit(None).cast(df.schema[c].dataType).alias(c))
+        if named:
+            out.append(F.xxhash64(F.lit(str(cls_name)), *[q(c) for c in keys], "__i", F.lit(tag)).alias("__id"))
         return rows.select(*out)
 
-    def _run(self, df, art, make_seeds, even=True):
+    def _run(self, df, art, make_seeds, even=True, named=False):
         cls, totals = _totals(df, art)
         want = class_targets(totals, art.get("sampling_strategy"), over=True)
         feats = art["features"]
         parts = [df.select(*[(num(df, c).alias(c) if c in feats else q(c)) for c in df.columns])]
+        if named:
+            text = F.concat_ws("|", *[F.coalesce(q(c).cast("string"), F.lit("")) for c in df.columns])
+            parts = [parts[0].withColumn("__id", F.xxhash64(text))]
         for i, (k, n) in enumerate(totals.items()):
             need = want[k] - n
             if need <= 0 or n < 2:
@@ -152,14 +157,18 @@ class Oversampling(_Resampler):
             seeds, total = make_seeds(df, art, k, mine, cls)
             if not total:
                 continue
-            parts.append(self._synthesise(df, art, k, seeds, total, need, mine, tag=101 * i, even=even))
+            parts.append(self._synthesise(df, art, k, seeds, total, need, mine, tag=101 * i, even=even, named=named))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    @staticmethod
+    def _every_row(df, art, k, mine, cls):
+        return mine.withColumn("w", F.lit(1.0)), mine.count()
+
     def smote(self, df, art):
-        return self._run(df, art, lambda d, a, k, mine, cls: (mine.withColumn("w", F.lit(1.0)), mine.count()))
+        return self._run(df, art, self._every_row)
 
     def _danger(self, df, art, k, mine, cls, m):
         """Share of other classes among the m nearest rows of each row of class k."""
@@ -224,11 +233,8 @@ class Oversampling(_Resampler):
         return self._run(df, art, seeds, even=False)
 
     def smote_tomek(self, df, art):
-        bigger = self.smote(df, art)
-        keys = art["key_columns"]
-        # synthetic rows get their own key so that links can be found
-        text = F.concat_ws("|", *[F.coalesce(q(c).cast("string"), F.lit("")) for c in df.columns])
-        named = bigger.withColumn("__id", F.xxhash64(text))
+        # synthetic rows get ids of their own, also where points are equal, so that links can be found
+        named = self._run(df, art, self._every_row, named=True)
         cleaned = tomek_filter(named, art["target_column"], art["features"], ["__id"], both=True)
         return cleaned.drop("__id")
 
