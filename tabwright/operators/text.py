@@ -25,8 +25,8 @@ def stop_word_list(value) -> list[str] | None:
     return list(value)
 
 
-def _joined_slice(items: Column, n: int, sep: str):
-    return lambda i: F.array_join(F.slice(items, i, n), sep)
+def _joined(items: Column, n: int, sep: str):
+    return lambda i: F.concat_ws(sep, *[F.get(items, i + j) for j in range(-1, n - 1)])
 
 
 def _substring(word: Column, n: int):
@@ -34,7 +34,13 @@ def _substring(word: Column, n: int):
 
 
 def _grams(items: Column, lo: int, hi: int, sep: str) -> Column:
-    """n-grams for n = lo..hi, shorter ones first."""
+    """n-grams for n = lo..hi, shorter ones first.
+
+    The items are bound as the variable of a one-element transform: as an expression they would be made again for each gram."""
+    return F.transform(F.array(items), lambda bound: _bound_grams(bound, lo, hi, sep))[0]
+
+
+def _bound_grams(items: Column, lo: int, hi: int, sep: str) -> Column:
     parts = []
     for n in range(lo, hi + 1):
         if n == 1:
@@ -43,7 +49,7 @@ def _grams(items: Column, lo: int, hi: int, sep: str) -> Column:
         last = F.size(items) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
             F.array().cast("array<int>"))
-        parts.append(F.transform(starts, _joined_slice(items, n, sep)))
+        parts.append(F.transform(starts, _joined(items, n, sep)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
