@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.splitting import hash_order, smallest
 from .learners import Model, fit_model
-from .validation import cross_validate
+from .validation import cross_validate, kept
 
 LOWER_IS_BETTER = {"mae", "mse", "rmse", "mape", "log_loss", "davies_bouldin_score"}
 
@@ -47,7 +47,7 @@ def search(name: str, df: DataFrame, features, target, keys: Sequence[str], spac
     try:
         def run(frame, params_list, rows):
             # jobs of several candidates share the cluster; each is a set of ordinary Spark jobs
-            with ThreadPoolExecutor(parallelism) as pool:
+            with kept(frame), ThreadPoolExecutor(parallelism) as pool:
                 got = list(pool.map(lambda p: _score(name, frame, features, target, keys, p, metric, cv, seed, cv_type), params_list))
             out = [{"params": p, "score": s, "rows": rows} for p, s in zip(params_list, got)]
             trials.extend(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -44,15 +45,26 @@ def fold_pairs(df: DataFrame, cv_type: str, n_folds: int, keys: Sequence[str], t
             yield d.where(F.col("__fold") != i).drop("__fold"), d.where(F.col("__fold") == i).drop("__fold")
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """The frame, persisted for the block. What is kept already stays kept, for whoever keeps it is not done with it."""
+    level = df.storageLevel
+    mine = not (level.useMemory or level.useDisk)
+    if mine:
+        df = df.persist()
+    try:
+        yield df
+    finally:
+        if mine:
+            df.unpersist()
+
+
 def cross_validate(name: str, df: DataFrame, features, target, keys: Sequence[str], n_folds: int = 5, cv_type: str = "k_fold",
                    time_column: str | None = None, seed: int = 42, **params) -> dict:
-    base = df.persist()
-    try:
+    with kept(df) as base:
         folds = []
         for train, test in fold_pairs(base, cv_type, n_folds, keys, target, time_column, seed):
             folds.append(evaluate(fit_model(name, train, features, target, **params), test))
-    finally:
-        base.unpersist()
     return {"folds": folds, "aggregated_metrics": summarise(folds), "cv_config": {"n_folds": n_folds, "cv_type": cv_type}}
 
 
@@ -63,10 +75,11 @@ def nested_cross_validate(name, df, features, target, keys, outer: int = 5, inne
     base = df.persist()
     try:
         for train, test in fold_pairs(base, "k_fold", outer, keys, target, None, seed):
-            scored = []
-            for params in grid:
-                cv = cross_validate(name, train, features, target, keys, inner, "k_fold", None, seed + 1, **params)
-                scored.append((cv["aggregated_metrics"][metric]["mean"], params))
+            with kept(train):
+                scored = []
+                for params in grid:
+                    cv = cross_validate(name, train, features, target, keys, inner, "k_fold", None, seed + 1, **params)
+                    scored.append((cv["aggregated_metrics"][metric]["mean"], params))
             best = max(scored, key=lambda s: s[0])
             inner_scores.append(best[0])
             folds.append(evaluate(fit_model(name, train, features, target, **best[1]), test))
