@@ -9,6 +9,8 @@ Layout, little-endian: magic `DAC1`; documents and tokens (8 bytes each); bits a
 this image (8); document keys (8 each); token offsets (8 each, one more); then for each level: length (8), chunks (1 or 2
 bytes each), bitmap (bits in little order, padded to 64), directory (8 bytes for each 512 bits, one more). Images are rows of a
 Parquet folder (file, place, image), so that any store that Spark reads can hold them and a repeated task leaves no second copy.
+Each image is a file of its own: Spark counts 4 MB for opening one, so a reading task, whose rows travel to Python as one
+batch, gets some 20 images at most and not 128 MB of them.
 
 Defined cases: a null text is empty and has the end id only; a null id sorts after all others; repeated ids keep all
 their rows, ordered by text; other columns are ignored; an empty table gives an empty folder.
@@ -16,6 +18,8 @@ their rows, ordered by text; other columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 from math import ceil
@@ -27,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from ..session import shared_table_path
 from . import arrays as A
@@ -120,24 +125,65 @@ class Image:
 
 
 _READY: dict[int, Memo] = {}
+#: words of small letters of Latin-1 in UTF-8: one piece, which normalizer and regex leave as it is
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _letters_only(vocabulary: str) -> tuple[Tokenizer, np.ndarray] | None:
+    """The same model without normalizer and regex, for plain words, and which ids end a word. None where the vocabulary does not
+    mark the end of a word, or lacks a byte."""
+    rules = json.loads(vocabulary)
+    model = rules["model"]
+    suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    if model.get("type") != "BPE" or not suffix or model.get("dropout") or not all(c in vocab and c + suffix in vocab for c in ByteLevel.alphabet()):
+        return None
+    tokenizer = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    tokenizer.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+    return tokenizer, ends
+
+
+def _encoder(vocabulary: str):
+    """Ids of words one after another and their numbers: plain words as one text, all others one by one."""
+    tokenizer, letters = Tokenizer.from_str(vocabulary), _letters_only(vocabulary)
+
+    def whole(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def encode(words: list[bytes]):
+        plain = np.fromiter((_PLAIN(w) is not None for w in words), bool, len(words))
+        if letters is None or not plain.any():
+            return [whole(words)]
+        lines, ends = letters
+        first = np.array(lines.encode_batch_fast([b" ".join([w for w, p in zip(words, plain) if p]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        other, counts = whole([w for w, p in zip(words, plain) if not p])
+        lens = np.empty(len(words), np.int64)
+        lens[plain] = np.diff(np.flatnonzero(ends[first]), prepend=-1)
+        lens[~plain] = counts
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(lens[order]) - lens[order]
+        return [(A.gather(np.concatenate([first, other]), start, lens), lens)]
+    return encode
 
 
 def _memo(vocabulary: str) -> Memo:
     key = hash(vocabulary)
     if key not in _READY:
-        tokenizer = Tokenizer.from_str(vocabulary)
-
-        def encode(words: list[bytes]):
-            ids = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            return [(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)]
-        _READY[key] = Memo(encode, ["<u4"])
+        _READY[key] = Memo(_encoder(vocabulary), ["<u4"])
     return _READY[key]
 
 
 #: a letter, then one of these: the tokenizer parts there anyway (marks that special tokens hold are not among them)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: last byte of a letter that begins with 0xC3: all of them but the signs of times and division
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?#*$%&"]] = True
 
@@ -153,6 +199,8 @@ def encode_chunk(text: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     special = (buf[:-1] == ord("<")) & (buf[1:] == ord("|"))
     if not special.any():
         inner = np.flatnonzero(_LETTER[buf[:-1]] & _STOP[buf[1:]]) + 1
+        marks = np.flatnonzero(_LATIN[buf[1:-1]] & _STOP[buf[2:]]) + 2
+        inner = np.concatenate([inner, marks[buf[marks - 2] == 0xC3]])
         inner = inner[~np.isin(inner, off)] if len(inner) else inner
         start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
         first = np.searchsorted(start, off)
@@ -185,13 +233,16 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary_path: str | None =
             held.append((batch.column("key").to_numpy(), np.diff(off), ids))
             if sum(len(x[2]) for x in held) >= image_tokens:
                 out, n = image()
-                yield out
                 place, before, held = place + 1, before + n, []
+                A.release()
+                yield out
         if held:
             yield image()[0]
+        held.clear()
+        A.release()
 
     dealt = base.repartitionByRange(files, "key").sortWithinPartitions("key", "text")
-    dealt.mapInArrow(run, "file int, place int, tokens long, image binary").write.parquet(path)
+    dealt.mapInArrow(run, "file int, place int, tokens long, image binary").write.option("maxRecordsPerFile", 1).parquet(path)
 
 
 def read_token_codes(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

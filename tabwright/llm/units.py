@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import arrays as A
 
@@ -25,19 +26,21 @@ class _Generation:
     """Answers by piece: for each kind the values one after another."""
 
     def __init__(self, kinds: list):
-        self.place: dict[bytes, int] = {}
+        self.pieces = pa.array([], pa.large_binary())
         self.values = [np.zeros(0, k) for k in kinds]
         self.off = [np.zeros(1, np.int64) for _ in kinds]
 
-    def add(self, pieces: list[bytes], values: list[np.ndarray], lens: list[np.ndarray]) -> None:
-        n = len(self.place)
-        self.place.update(zip(pieces, range(n, n + len(pieces))))
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def add(self, pieces: pa.Array, values: list[np.ndarray], lens: list[np.ndarray]) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
         self.values = [np.concatenate([a, b]) for a, b in zip(self.values, values)]
         self.off = [np.concatenate([o, o[-1] + np.cumsum(x)]) for o, x in zip(self.off, lens)]
 
-    def find(self, pieces: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece, -1 for new ones."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def parts(self, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         lens = [o[at + 1] - o[at] for o in self.off]
@@ -55,23 +58,22 @@ class Memo:
 
     def answers(self, pieces: pa.Array) -> list[Encoded]:
         """Encode a binary column through its distinct values; one Encoded for each kind."""
-        code = pieces.dictionary_encode()
-        index, distinct = code.indices.to_numpy().astype(np.int64), code.dictionary.to_pylist()
-        if len(self.new.place) > self.entries:
+        code = pieces.cast(pa.large_binary()).dictionary_encode()
+        index, distinct = code.indices.to_numpy().astype(np.int64), code.dictionary
+        if len(self.new) > self.entries:
             self.new, self.old = _Generation(self.kinds), self.new
         where = self.new.find(distinct)
         for known in (True, False):
             lost = np.flatnonzero(where < 0)
-            missing = [distinct[i] for i in lost]
+            missing = distinct.take(pa.array(lost))
             if known:
                 at = self.old.find(missing)
-                lost = lost[at >= 0]
-                missing = [distinct[i] for i in lost]
+                lost, missing = lost[at >= 0], missing.filter(pa.array(at >= 0))
                 values, lens = self.old.parts(at[at >= 0])
-            elif missing:
-                values, lens = (list(x) for x in zip(*self.encode(missing)))
-            if missing:
-                where[lost] = len(self.new.place) + np.arange(len(missing))
+            elif len(missing):
+                values, lens = (list(x) for x in zip(*self.encode(missing.to_pylist())))
+            if len(missing):
+                where[lost] = len(self.new) + np.arange(len(missing))
                 self.new.add(missing, values, lens)
         return [Encoded(v, o[where], o[where + 1] - o[where], index) for v, o in zip(self.new.values, self.new.off)]
 

@@ -66,3 +66,52 @@ def test_direct_access(bits):
     image = token_codes.Image(token_codes.write_image(np.array([4, 9]), np.array([0, 10, 3000]), ids, 77, bits))
     assert (image.all() == ids).all() and image.before == 77
     assert all(image.token(i) == ids[i] for i in range(0, 3000, 7))
+
+
+def test_plain_words_as_one_text():
+    random.seed(9)
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        vocabulary = f.read()
+    letters = [*"abcdefghijklmnopqrstuvwxyz", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", *"ÀÉÜÞẞİŁ÷×µªº1'_|", "e\u0301", "\u0301", "ﬁ", "日"]
+    words = ["".join(random.choices(letters, weights=[9] * 26 + [2] * 32 + [1] * (len(letters) - 58), k=random.randrange(1, 14))).encode() for _ in range(4000)]
+    words += [b"the", "été".encode(), "é".encode(), b"z"]
+    (values, lens), = token_codes._encoder(vocabulary)(words)
+    plain = Tokenizer.from_str(vocabulary)
+    want = [plain.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert lens.tolist() == [len(x) for x in want] and values.tolist() == [i for x in want for i in x]
+    for only in (["été".encode(), b"ab"], [b"12", "É.".encode()]):
+        (values, lens), = token_codes._encoder(vocabulary)(only)
+        assert values.tolist() == [i for w in only for i in plain.encode(w.decode(), add_special_tokens=False).ids]
+
+
+def test_marks_after_letters_of_two_bytes():
+    import pyarrow as pa
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        vocabulary = f.read()
+    texts = ["é.", "chené, pa! É... ÷. ×, é", ".", "é", "", None, "aé", "é.é", "È;ß:ÿ?", "\u00e9\u0301. e\u0301, ñ's"]
+    ids, off = token_codes.encode_chunk(pa.array(texts, pa.large_string()), token_codes._memo(vocabulary))
+    plain = Tokenizer.from_str(vocabulary)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_a_reading_task_gets_few_images(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} " * 200_000) for i in range(3)], "doc_id long, text string")
+    token_codes.write_token_codes(docs, str(tmp_path / "codes"), image_tokens=100)
+    images = spark.read.parquet(str(tmp_path / "codes"))
+    files = images.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) == images.count() > 1
+
+
+def test_memo_finds_what_it_encoded():
+    import pyarrow as pa
+    from tabwright.llm.units import Memo
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]))]
+    memo = Memo(encode, ["u1"], entries=3)
+    for words in (["a", "bb", "a"], ["bb", "cc", ""], ["dd", "a"], ["a", "ee", "bb"], []):
+        got, = memo.answers(pa.array([w.encode() for w in words], pa.large_binary()))
+        assert got.gather().tobytes() == "".join(words).encode()
+    assert asked == [b"a", b"bb", b"cc", b"", b"dd", b"ee"]
