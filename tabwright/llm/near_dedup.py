@@ -29,13 +29,14 @@ from ..session import cut_lineage
 from . import arrays as A
 from .components import components
 from .tables import GROUP_BYTES, LAST, grouped, keyed, named_id, part_of, text_bytes
-from .windows import _batches, _rows_by, in_order, in_order_with
+from .windows import _batches, _released, _rows_by, in_order, in_order_with
 
 U = np.uint64
 SHINGLE = 5
 TABLES = 10
 BLOCK = 1024
 COLUMNS = 4096
+SLICE = 128
 THRESHOLD = 85
 FACTORS = A.mix(np.arange(1, 4 * TABLES + 1, dtype=U) * A.C1) | U(1)
 
@@ -195,15 +196,21 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, thresho
     rows, column = rows[order], column[order]
     a = len(left)
     both = np.zeros((a, len(sets) - a if right is not None else a), np.float32)
+    x = np.empty((len(sets), min(COLUMNS, int(often[-1]) + 1)), np.float32)
     for lo in range(0, int(often[-1]) + 1, COLUMNS):
         i, j = np.searchsorted(column, [lo, lo + COLUMNS])
-        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[:] = 0
         x[rows[i:j], column[i:j] - lo] = 1
-        both += x[:a] @ (x[a:] if right is not None else x).T
+        for r in range(0, a, SLICE):
+            both[r: min(r + SLICE, a)] += x[r: min(r + SLICE, a)] @ (x[a:] if right is not None else x).T
+    del x
     size = np.array([len(s) for s in sets], np.int64)
     one, two = size[:a], size[a:] if right is not None else size
-    inter = np.rint(both).astype(np.int64)
-    return 100 * inter >= threshold * (one[:, None] + two[None, :] - inter)
+    links = np.zeros(both.shape, bool)
+    for r in range(0, a, SLICE):  # a few rows at a time: whole numbers of all pairs are eight bytes each
+        inter = np.rint(both[r: r + SLICE]).astype(np.int64)
+        links[r: r + SLICE] = 100 * inter >= threshold * (one[r: r + SLICE, None] + two[None, :] - inter)
+    return links
 
 
 def _spanning(keys: np.ndarray, links: np.ndarray, split: int | None) -> np.ndarray:
@@ -279,23 +286,23 @@ def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = keyed(docs, id_col, text_col, carry)
     groups = max(64, ceil(text_bytes(base) / GROUP_BYTES))
     parts = grouped(base, groups)
-    sketches = parts.groupBy("part").applyInArrow(_sketch(groups), "bucket int, keys binary, least binary, prints binary, edges binary, equal binary")
-    edges = cut_lineage(sketches.groupBy("bucket").applyInArrow(_stars, "u long, v long, equal boolean"))
+    sketches = parts.groupBy("part").applyInArrow(_released(_sketch(groups), 2), "bucket int, keys binary, least binary, prints binary, edges binary, equal binary")
+    edges = cut_lineage(sketches.groupBy("bucket").applyInArrow(_released(_stars, 1), "u long, v long, equal boolean"))
     equal = edges.filter("equal").select("u", "v")
     # one member for each distinct set: what is equal to a smaller document goes along with that one
     candidates = components(edges.select("u", "v")).join(equal.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
     size = candidates.groupBy("root").agg(F.count("*").alias("n"))
     nodes = candidates.join(size, "root").filter("n > 1").withColumn("part", part_of("node", groups))
-    members = parts.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(_members, "root long, n long, key long, set binary")
+    members = parts.groupBy("part").cogroup(nodes.groupBy("part")).applyInArrow(_released(_members, 3), "root long, n long, key long, set binary")
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key", "set")
     tasks = max(64, ceil(candidates.count() / 256))
     members = members.withColumn("task", F.pmod(F.xxhash64("root", "low", "high"), F.lit(tasks)).cast("int"))
-    links = members.groupBy("task").applyInArrow(_confirm(threshold), "u long, v long").unionByName(equal)
+    links = members.groupBy("task").applyInArrow(_released(_confirm(threshold), 1), "u long, v long").unionByName(equal)
     roots = components(links).withColumn("part", part_of("node", groups))
     out = parts.groupBy("part").cogroup(roots.groupBy("part")).applyInArrow(
-        _labels, "key long, n_shingles long, component long, kept boolean" + (f", text string, rest {base.schema['rest'].dataType.simpleString()}" if carry else ""))
+        _released(_labels, 3), "key long, n_shingles long, component long, kept boolean" + (f", text string, rest {base.schema['rest'].dataType.simpleString()}" if carry else ""))
     return out.select(named_id().alias(id_col), "n_shingles", named_id("component").alias("component_id"), "kept", *(["text", "rest"] if carry else []))
 
 

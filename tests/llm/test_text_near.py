@@ -1,7 +1,9 @@
 """Near duplicates and components, against all pairs."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 import brute
@@ -43,3 +45,17 @@ def test_repeated_and_empty(spark):
     got = brute.in_order(near_dedup.minhash_near_dedup(d).collect())
     assert got == brute.in_order([(5, 2, 4, False)] * 3 + [(4, 2, 4, True), (9, 0, 9, True)])
     assert near_dedup.minhash_near_dedup(d.limit(0)).count() == 0
+
+
+def test_memory_of_a_pair_of_blocks():
+    r = np.random.RandomState(0)
+    base = r.randint(0, 1 << 60, 300).astype("u8")
+    left, right = ([np.unique(np.append(base[r.rand(300) < 0.95], r.randint(0, 1 << 60, 10).astype("u8"))) for _ in range(near_dedup.BLOCK)] for _ in range(2))
+    tracemalloc.start()
+    links = near_dedup.linked_pairs(left, right, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # eight bytes for all pairs, twice, and two matrices were 79 MB
+    for i, j in [(0, 0), (5, 900), (1000, 17)]:
+        both = len(np.intersect1d(left[i], right[j]))
+        assert links[i, j] == (100 * both >= 80 * (len(left[i]) + len(right[j]) - both))
