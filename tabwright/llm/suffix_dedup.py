@@ -5,8 +5,8 @@ Each shard of stretches builds one suffix array by Larsson-Sadakane refinement:
 eight bytes, then only groups that are still tied are sorted again by the rank `h` bytes on, with `h` doubling.
 Kasai's common prefixes follow from the permuted form: only places where the preceding bytes differ are compared, the
 rest lose one byte for each step. Neighbours with a common prefix of 50 bytes or more hold one window, and the smallest
-document of such a block has it first. A shard above `shard_bytes` is built as several arrays whose sorted windows
-are merged by binary search.
+document of such a block has it first. A shard is built as arrays of whole seeds of some `shard_bytes` together; they share no
+window. Only a seed above `shard_bytes` gets several arrays, whose sorted windows are merged.
 
 Defined cases: null and empty texts have no window; a null id sorts after all others and rows with equal ids never
 remove each other; repeated rows are both kept or both cut; other columns are ignored; an empty table gives no rows.
@@ -54,12 +54,12 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes of a byte text, by Larsson-Sadakane refinement from eight bytes on."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, U)
-    for k in range(8):
-        key = (key << U(8)) | padded[k: k + n].astype(U)
+    key = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
+    for k in (1, 2, 4):
+        key = (key[:-k] << U(8 * k)) | key[k:]
+    key = key[:n]
     # a shorter suffix comes before one that goes on with zero bytes
-    sa = np.lexsort((-np.arange(n), key)) if n < 9 or (text == 0).any() else np.argsort(key, kind="stable")
+    sa = np.lexsort((-np.arange(n), key)) if n < 9 or (text == 0).any() else np.argsort(key)
     k = key[sa]
     tail = np.flatnonzero(sa > n - 8)
     new = np.ones(n, bool)
@@ -78,7 +78,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
         first = rank[pos]
         both = (first << 31) | second
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)  # ties stay open
         pos, both = pos[order], both[order]
         sa[open_] = pos
         new = np.ones(len(pos), bool)
@@ -103,17 +103,15 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     rest = np.flatnonzero(~fresh)
     fresh[rest] = text[rest - 1] != text[before[rest] - 1]
     at = np.flatnonzero(fresh & (before >= 0))
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    e = np.zeros(n + 1, U)
-    for k in range(8):
-        e[:n] |= padded[k: k + n].astype(U) << U(8 * k)
+    e = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
+    for k in (1, 2, 4):
+        e = e[:-k] | (e[k:] << U(8 * k))
     length = np.zeros(n, np.int64)
     p, q, here = at.copy(), before[at].copy(), at
     while len(here):
         room = np.minimum(n - p, n - q)
         diff = e[np.minimum(p, n)] ^ e[np.minimum(q, n)]
-        low = diff & (~diff + U(1))
-        same = np.where(diff == 0, 8, (np.log2(np.maximum(low, U(1)).astype(np.float64)) // 8).astype(np.int64))
+        same = (np.bitwise_count((diff & (~diff + U(1))) - U(1)) >> 3).astype(np.int64)  # equal bytes, 8 if all are
         same = np.minimum(same, room)
         length[here] += same
         go = (same == 8) & (room > 8)
@@ -200,26 +198,53 @@ class ByteWindows(Scheme):
         several[1:] |= s[1:] == s[:-1]
         several[:-1] |= s[1:] == s[:-1]
         todo = order[several]  # a stretch that is alone with its seed shares no window
-        room = np.cumsum(lens[todo] + 1) // self.shard_bytes
-        merged = None
-        kept = []
-        for piece in np.split(todo, np.flatnonzero(np.diff(room)) + 1) if len(todo) else []:
+        kept, now = [], -1
+        for owner, piece in self._pieces(seed[todo], lens[todo] + 1):
+            if owner != now:
+                self._merge(early, kept)
+                kept, now = [], owner
+            piece = todo[piece]
             block, where, best = self._one_array(data, off, woff, least, piece)
-            early[where] = best[block]
-            if room[-1] > 0:
+            if owner < 0:
+                early[where] = best[block]
+            else:
                 kept.append((block, where, best, self._windows(data, off, woff, piece, block, where, len(best))))
-        if len(kept) > 1:
-            for i, (block, where, best, mine) in enumerate(kept):
-                for j, other in enumerate(kept):
-                    if i != j:
-                        at = np.searchsorted(other[3], mine)
-                        at[at == len(other[3])] = 0
-                        same = other[3][at] == mine
-                        best = np.where(same, np.minimum(best, other[2][at]), best)
-                merged = best
-                early[where] = merged[block]
+        self._merge(early, kept)
         return woff, early
 
+    def _pieces(self, seed: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Stretches (by seed, with their bytes) for one array each: whole seeds of some `shard_bytes` together (-1), the parts of a larger seed under its number.
+
+        Equal windows have equal seeds, so only the arrays of one seed have to meet."""
+        if not len(seed):
+            return
+        new = np.concatenate([[True], seed[1:] != seed[:-1]])
+        start, of = np.flatnonzero(new), np.cumsum(new) - 1
+        total = np.add.reduceat(size, start)
+        large = total > self.shard_bytes
+        before = np.cumsum(size) - size
+        room = np.where(large[of], before - before[start][of], before[start][of]) // self.shard_bytes
+        cut = (room[1:] != room[:-1]) | (new[1:] & (large[of[1:]] | large[of[:-1]]))
+        for piece in np.split(np.arange(len(seed)), np.flatnonzero(cut) + 1):
+            yield (int(of[piece[0]]) if large[of[piece[0]]] else -1), piece
+
+    def _merge(self, early: np.ndarray, kept: list[tuple]) -> None:
+        """The smallest key of each window over the arrays of one seed: their sorted windows are merged once."""
+        if not kept:
+            return
+        windows = np.concatenate([x[3] for x in kept])
+        order = np.argsort(windows, kind="stable")  # merges sorted runs
+        new = np.ones(len(order), bool)
+        for a in range(1, len(order), BLOCK):
+            new[a: a + BLOCK] = windows[order[a: a + BLOCK]] != windows[order[a - 1: min(a + BLOCK, len(order)) - 1]]
+        start = np.flatnonzero(new)
+        best = np.concatenate([x[2] for x in kept])
+        best[order] = np.repeat(np.minimum.reduceat(best[order], start), np.diff(np.append(start, len(order))))
+        at = 0
+        for block, where, mine, _ in kept:
+            early[where] = best[at: at + len(mine)][block]
+            at += len(mine)
+
     def _one_array(self, data, off, woff, least, piece):
         """Blocks of equal windows of some contents: block of each window, the window's place, smallest key of each block."""
         w = self.width

@@ -39,6 +39,8 @@ SEEDS = "bucket int, part int, hashes binary, counts binary, prints binary, leas
 ANSWER = "part int, shared binary, hot binary, prints binary, least binary"
 SENT = "bucket int, part int, data binary, lens binary, seed binary, least binary, item binary, row binary, at binary, spans binary"
 SPANS = "part int, spans binary"
+#: windows looked at together in a shard
+WINDOWS = 1 << 20
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -116,6 +118,11 @@ def _first_of(prints: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, start, key[order][start]
 
 
+def _bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of seeds. They are the smallest hashes of their windows, so without mixing nearly all would share the first few."""
+    return A.bucket_of(A.mix(seed), buckets)
+
+
 def _rows_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -146,8 +153,7 @@ def _seed_rows(scheme: Scheme, buckets: int):
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, U), return_counts=True)
         mark = (h & ~U(1)) | (n > 1).astype(U)
         rows = []
-        bucket = A.bucket_of(h, buckets)
-        for b, at in _rows_by(bucket):
+        for b, at in _rows_by(_bucket(h & ~U(1), buckets)):
             rows.append((b, part, A.pack(mark[at]), A.pack(n[at][n[at] > 1].astype("<u4")), None, None))
         prints = _prints(buf, off)
         order, start, least = _first_of(prints, ids)
@@ -274,7 +280,7 @@ def _content_rows(scheme: Scheme, buckets: int):
             rows.append((int(part) % buckets, part, None, None, None, None, None, None, None, A.pack(spans)))
         alone = seed == U(1)
         seed[alone] = slice_hashes(data, doff[:-1][alone], doff[1:][alone]) | U(1)
-        bucket = A.bucket_of(seed, buckets)
+        bucket = _bucket(seed, buckets)
         entry = np.flatnonzero(mine)
         entry = entry[np.argsort(index[entry], kind="stable")]
         held = index[entry]
@@ -336,16 +342,24 @@ def _shard(scheme: Scheme):
         woff, early = scheme.earliest(ddata, doff, kind, best)
         base = np.concatenate([[0], np.cumsum([len(x) for x in per_row])])
         out = list(plain)
-        for i in range(table.num_rows):
-            item = A.unpack(table["item"][i].as_py(), "<i4").astype(np.int64) + base[i]
-            row, at = A.unpack(table["row"][i].as_py(), "<i4"), A.unpack(table["at"][i].as_py(), "<i8")
-            c = index[item]
-            many = woff[c + 1] - woff[c]
-            where = A.spread_ranges(woff[c], many)
-            hit = early[where] < np.repeat(least[item], many)
+        item = [A.unpack(x, "<i4") for x in table["item"].to_pylist()]
+        part, sent = table["part"].to_numpy(), np.repeat(np.arange(table.num_rows), [len(x) for x in item])
+        item = np.concatenate(item).astype(np.int64) + base[sent]
+        row, at = _joined(table, "row", "<i4").astype(np.int64), _joined(table, "at", "<i8")
+        held = index[item]
+        many = woff[held + 1] - woff[held]
+        for a, b in A.row_chunks(np.concatenate([[0], np.cumsum(many)]), WINDOWS):
+            c, n = held[a:b], many[a:b]
+            hit = early[A.spread_ranges(woff[c], n)] < np.repeat(least[item[a:b]], n)
             if hit.any():
-                pos = A.spread_ranges(at, many)[hit]
-                out.append((int(table["part"][i].as_py()), A.pack(_spans(np.repeat(row, many)[hit], pos, pos + scheme.width))))
+                pos = A.spread_ranges(at[a:b], n)[hit]
+                # rows of all groups at once, numbered through
+                rows = int(row[a:b].max()) + 1
+                names, code = np.unique(sent[a:b] * rows + row[a:b], return_inverse=True)
+                found = _spans(np.repeat(code, n)[hit], pos, pos + scheme.width)
+                of = names[found["row"]]
+                found["row"] = of % rows
+                out += [(int(part[i]), A.pack(found[x])) for i, x in _rows_by(of // rows)]
         return _batches(SPANS, out)
     return shard
 
@@ -380,9 +394,10 @@ def remove_repeated_windows(docs: DataFrame, scheme: Scheme, kinds: pa.Schema, d
     base = keyed(docs, id_col, text_col, carry)
     groups = max(64, ceil(text_bytes(base) / group_bytes))
     parts = grouped(base, groups)
-    seeds = parts.groupBy("part").applyInArrow(_released(_seed_rows(scheme, groups), 2), SEEDS)
+    # every group sends a row to every bucket, so their number counts in rows: seeds are 8 bytes for some 16 of text, stretches about as many bytes as the text
+    seeds = parts.groupBy("part").applyInArrow(_released(_seed_rows(scheme, max(64, groups // 4)), 2), SEEDS)
     answers = seeds.groupBy("bucket").applyInArrow(_released(_answer(hot), 1), ANSWER)
-    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_released(_content_rows(scheme, 4 * groups), 3), SENT)
+    contents = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_released(_content_rows(scheme, groups), 3), SENT)
     spans = contents.groupBy("bucket").applyInArrow(_released(_shard(scheme), 1), SPANS)
     out = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_released(_cut(scheme, kinds), 3), ddl + (f", rest {base.schema['rest'].dataType.simpleString()}" if carry else ""))
     return out.withColumn("key", named_id())
