@@ -2,7 +2,8 @@
 
 Right rows are dealt to leaves. With complete coordinates a leaf is the cell of its nearest pivot (a row of
 a hash sample), and the triangle inequality with the leaf's range of distances to the pivot, and with the
-plane between two pivots, bounds how near any of its rows can be. With missing coordinates distances
+plane between two pivots, bounds how near any of its rows can be. With missing coordinates rows of a large table meet by
+the coordinates that both have, a join with complete ones for each such set. With too many sets distances
 keep no triangle inequality, so leaves are those of a k-d tree and the box of each leaf bounds them.
 A left row first meets its home leaf, which bounds its k-th distance, and is then sent only to leaves
 that can hold something closer. Leaves grow with the table: their number is bounded by the bytes of what
@@ -38,6 +39,8 @@ BLOCK_LEFT = 20_000
 SAMPLE_ROWS = 40_000
 #: numbers in a block's matrix
 BLOCK_CELLS = 2_000_000
+#: right rows from which rows with missing coordinates meet by what they have, and joins that may take
+PATTERN_ROWS, PATTERNS = 16_384, 32
 #: rows of a cell inside a task, and coordinates up to which cells are worth it
 CELL_ROWS, CELL_DIMS = 64, 12
 #: right rows of a group of leaves and bytes of their coordinates, and groups of a table that is not larger than these allow
@@ -93,9 +96,9 @@ def build_tree(sample: np.ndarray, leaves: int) -> Tree:
     return t
 
 
-def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) -> np.ndarray:
+def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool, share: float = 1.0) -> np.ndarray:
     """Distance of each row of a to the same row of b, one coordinate after another; with ``missing``,
-    coordinates absent on either side are left out and the sum is scaled up by their share. A
+    coordinates absent on either side are left out and the sum is scaled up by their share (by ``share`` where they were left out before). A
     metric named ``-euclidean`` or ``-manhattan`` gives negative distances, which turns nearest into
     farthest."""
     sign, metric = (-1.0, metric[1:]) if metric.startswith("-") else (1.0, metric)
@@ -111,6 +114,8 @@ def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, missing: bool) ->
     if missing:
         with np.errstate(divide="ignore", invalid="ignore"):
             acc = np.where(seen > 0, acc * (a.shape[1] / seen), sign * np.inf)
+    elif share != 1.0:
+        acc = acc * share
     return sign * (acc if metric == "manhattan" else np.sqrt(acc))
 
 
@@ -158,7 +163,7 @@ def block_bounds(a: np.ndarray, b: np.ndarray, metric: str, missing: bool, right
     return (acc if sign > 0 else -acc), off
 
 
-def block_top_k(a, b, k, metric, missing, same=None):
+def block_top_k(a, b, k, metric, missing, same=None, share=1.0):
     """(left row, right row, distance) of the k nearest; ties go to the earlier right row."""
     step = max(1, BLOCK_CELLS // max(1, len(b)))
     rows_out, cols_out, dist_out = [], [], []
@@ -170,7 +175,7 @@ def block_top_k(a, b, k, metric, missing, same=None):
         kk = min(k, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         r, c = np.nonzero((d <= (kth + 2 * off)[:, None]) & np.isfinite(d))
-        v = pair_distances(a[r + s], b[c], metric, missing)
+        v = pair_distances(a[r + s], b[c], metric, missing, share)
         order = np.lexsort((c, v, r))
         r, c, v = r[order], c[order], v[order]
         first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
@@ -182,6 +187,11 @@ def block_top_k(a, b, k, metric, missing, same=None):
     return np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
 
 
+def stretch(share: float, metric: str) -> float:
+    """What a distance grows by when its sum is scaled up by ``share``."""
+    return share if metric.endswith("manhattan") else math.sqrt(share)
+
+
 class Cells:
     """Rows cut at medians into small boxes, in the order of ``rows``; cell i is ``rows[start[i]:start[i + 1]]``."""
 
@@ -230,7 +240,7 @@ class Cells:
         return -far if metric.startswith("-") else far
 
 
-def cells_top_k(a, b, k, metric, same=None, cells: Cells | None = None):
+def cells_top_k(a, b, k, metric, same=None, cells: Cells | None = None, share=1.0):
     """What `block_top_k` gives, for complete rows: a cell of left rows meets only the right cells that can be near enough."""
     cells = cells or Cells(b)
     here, sizes = Cells(a), np.diff(cells.start)
@@ -240,7 +250,7 @@ def cells_top_k(a, b, k, metric, same=None, cells: Cells | None = None):
 
         def top(chosen):
             rows = cells.members(chosen)
-            r, c, v = block_top_k(a[mine], b[rows], k, metric, False, None if same is None else (lambda s, e: same(mine[s:e], rows)))
+            r, c, v = block_top_k(a[mine], b[rows], k, metric, False, None if same is None else (lambda s, e: same(mine[s:e], rows)), share)
             return mine[r], rows[c], v, np.bincount(r, minlength=len(mine))
         bound = cells.bounds(here.low[i], here.high[i], metric)
         order = np.argsort(bound, kind="stable")
@@ -252,7 +262,7 @@ def cells_top_k(a, b, k, metric, same=None, cells: Cells | None = None):
                 break
             want = 4 * max(want, int(held[m - 1]))
         if m < len(order):
-            kth = float(v.max())
+            kth = float(v.max()) / stretch(share, metric)
             near = order[bound[order] <= kth + abs(kth) * 1e-9 + 1e-300]
             if len(near) > m:
                 r, c, v, _ = top(near)
@@ -309,28 +319,72 @@ def knn_join(left: DataFrame, right: DataFrame, cols: Sequence[str] | None, k: i
     rk = [f"r_{c}" for c in right_key]
     cy = [f"r_{c}" for c in carry if c not in right_key]
     lt, rt = shape(left, left_key, "l"), shape(right, right_key, "r", carry)
-    facts = [F.count("*"), F.max(F.size("v")), F.sum(_row_bytes(rt))]
-    n_right, p, size, points = rt.agg(*facts, F.approx_count_distinct(F.xxhash64("v"), 0.01)).first()
-    p = p or (len(cols) if cols else 1)
-    wanted = k + 1 if exclude_self else k
-    if n_right > 16 * CELL_ROWS and points * wanted < 0.5 * n_right:
-        rt = cut_lineage(_thin_copies(rt, rk, wanted))
-        n_right, _, size = rt.agg(*facts).first()
     out_type = T.StructType([lt.schema[c] for c in lk] + [rt.schema[c] for c in rk + cy]
                             + [T.StructField("distance", T.DoubleType())])
     if missing and metric.startswith("-"):
         raise ValueError("farthest rows need complete coordinates")
-    if not n_right:
-        return left.sparkSession.createDataFrame([], out_type).withColumn("rank", F.lit(1))
-    if size <= broadcast_bytes:
-        res = _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type)
+    how = (k, lk, rk, cy, metric, exclude_self, out_type, broadcast_bytes, leaf_rows, leaf_bytes)
+    parts = _patterns(lt, rt) if missing and not vector else None
+    if parts is None:
+        res = _candidates(lt, rt, *how, missing=missing, p=len(cols) if cols else 1)
     else:
-        res = _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows, leaf_bytes)
+        res = None
+        for l_rows, r_rows, n in parts:
+            one = _candidates(l_rows, r_rows, *how, missing=False, p=n, share=len(cols) / n)
+            res = one if res is None else res.unionByName(one)
+        if res is None:
+            res = left.sparkSession.createDataFrame([], out_type)
     w = W.partitionBy(*[q(c) for c in lk]).orderBy("distance", *[q(c) for c in rk])
     out = res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.withColumn("distance", F.abs("distance")) if metric.startswith("-") else out
 
 
+def _candidates(lt, rt, k, lk, rk, cy, metric, exclude_self, out_type, broadcast_bytes, leaf_rows, leaf_bytes, *, missing, p, share=1.0) -> DataFrame:
+    """Left rows with right rows, the k nearest among them."""
+    facts = [F.count("*"), F.max(F.size("v")), F.sum(_row_bytes(rt))]
+    n_right, size_of, size, points = rt.agg(*facts, F.approx_count_distinct(F.xxhash64("v"), 0.01)).first()
+    p = size_of or p
+    wanted = k + 1 if exclude_self else k
+    if n_right > 16 * CELL_ROWS and points * wanted < 0.5 * n_right:
+        rt = cut_lineage(_thin_copies(rt, rk, wanted))
+        n_right, _, size = rt.agg(*facts).first()
+    if not n_right:
+        return lt.sparkSession.createDataFrame([], out_type)
+    if size <= broadcast_bytes:
+        return _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share)
+    return _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share, n_right, leaf_rows, leaf_bytes)
+
+
+def _patterns(lt, rt):
+    """Left and right rows that share the same coordinates, all of them complete and without the others, and the number of coordinates.
+
+    A pair of rows is in exactly one such join, where cells and the triangle inequality prune and identical points can be thinned. None where the table is small
+    or has too many patterns of missing coordinates: its boxes then bound the distances."""
+    if rt.count() <= PATTERN_ROWS:
+        return None
+    p = rt.select(F.max(F.size("v"))).first()[0]
+    if p > 62:
+        return None
+    have = F.lit(0).cast("long")
+    for j in range(p):
+        x = F.col("v")[j]
+        have = have + F.when(x.isNull() | F.isnan(x), F.lit(0)).otherwise(F.lit(1 << j))
+    lt, rt = lt.withColumn("__have", have), rt.withColumn("__have", have)
+    here, there = [sorted(r[0] for r in t.select("__have").distinct().limit(PATTERNS + 1).collect()) for t in (lt, rt)]
+    if max(len(here), len(there)) > PATTERNS:
+        return None
+    pairs = [(a, b) for a in here for b in sorted({a & x for x in there} - {0})]
+    if len(pairs) > PATTERNS:
+        return None
+    out = []
+    for a, b in pairs:
+        at = [j for j in range(p) if b >> j & 1]
+        v = F.array(*[F.col("v")[j] for j in at]).alias("v")
+        l_rows, r_rows = lt.where(F.col("__have") == a), rt.where(F.col("__have").bitwiseAND(F.lit(a)) == b)
+        out.append((*[t.select(*[q(c) for c in t.columns if c not in ("v", "__have")], v) for t in (l_rows, r_rows)], len(at)))
+    return out
+
+
 def _same_rows(lpdf, rpdf, lk, rk):
     """Mask builder for pairs whose keys are equal; keys may repeat, and nulls are equal."""
     n, code = len(lpdf), np.zeros(len(lpdf) + len(rpdf), np.int64)
@@ -341,16 +395,16 @@ def _same_rows(lpdf, rpdf, lk, rk):
     return lambda rows, cols: left[rows][:, None] == right[cols][None, :]
 
 
-def _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p, b=None, cells=None):
+def _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p, share, b=None, cells=None):
     a = _matrix(lpdf["v"], p)
     b = _matrix(rpdf["v"], p) if b is None else b
     same = _same_rows(lpdf, rpdf, lk, rk) if exclude_self and len(rpdf) and len(lpdf) else None
     if not len(a) or not len(b):
         r, c, d = [], [], []
     elif missing or p > CELL_DIMS or len(b) <= 4 * CELL_ROWS:
-        r, c, d = block_top_k(a, b, k, metric, missing, None if same is None else (lambda s, e: same(slice(s, e), slice(None))))
+        r, c, d = block_top_k(a, b, k, metric, missing, None if same is None else (lambda s, e: same(slice(s, e), slice(None))), share)
     else:
-        r, c, d = cells_top_k(a, b, k, metric, same, cells)
+        r, c, d = cells_top_k(a, b, k, metric, same, cells, share)
     left = lpdf[lk].iloc[r].reset_index(drop=True)
     right = rpdf[rk + cy].iloc[c].reset_index(drop=True)
     out = pd.concat([left, right], axis=1)
@@ -358,7 +412,7 @@ def _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p, b=None, c
     return out
 
 
-def _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type):
+def _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share):
     """The right side fits a checked number of bytes: ship it once, stream the left side past on all cores."""
     rpdf = rt.toPandas().sort_values(rk, kind="stable").reset_index(drop=True)
     b = _matrix(rpdf["v"], p)
@@ -369,7 +423,7 @@ def _broadcast_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out
         right, b, parts = shared.value
         cells = parts and Cells.of(parts)
         for lpdf in batches:
-            yield _emit(lpdf, right, lk, rk, cy, k, metric, missing, exclude_self, p, b, cells)[out_type.names]
+            yield _emit(lpdf, right, lk, rk, cy, k, metric, missing, exclude_self, p, share, b, cells)[out_type.names]
     return lt.repartition(3 * lt.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, out_type)
 
 
@@ -486,7 +540,7 @@ def leaf_groups(order: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
     return group
 
 
-def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, n_right, leaf_rows, leaf_bytes):
+def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share, n_right, leaf_rows, leaf_bytes):
     leaves = leaf_count(n_right, leaf_rows, leaf_bytes, p * (17 if missing else 8) + 24)
     sample = rt.orderBy(F.xxhash64(*[q(c) for c in rk])).select("v").limit(max(leaves, SAMPLE_ROWS) if missing else leaves).collect()
     sample = np.array([[np.nan if x is None else x for x in r["v"]] for r in sample], dtype="float64")
@@ -527,7 +581,7 @@ def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
     l_type = _with_leaf(lt.schema)
     # phase 1: the home group gives a bound on the k-th distance
     home = cut_lineage(lt.repartition(tasks).mapInPandas(homes, l_type))
-    first = cut_lineage(_meet(home, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type))
+    first = cut_lineage(_meet(home, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share))
     w = W.partitionBy(*[q(c) for c in lk]).orderBy("distance")
     kth = (first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == k)
            .select(*[q(c) for c in lk], F.col("distance").alias("bound")))
@@ -538,7 +592,7 @@ def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
 
     def visits(batches):
         for pdf in batches:
-            x, bound, mine = _matrix(pdf["v"], p), slack(pdf["bound"].to_numpy()), pdf["leaf"].to_numpy()
+            x, bound, mine = _matrix(pdf["v"], p), slack(pdf["bound"].to_numpy()) / stretch(share, metric), pdf["leaf"].to_numpy()
             near = []
             for s in range(0, len(x), step):
                 ok = np.logical_or.reduceat((parts.bounds(x[s:s + step]) <= bound[s:s + step, None])[:, by_group], first_of, axis=1)
@@ -551,7 +605,7 @@ def _leaf_join(lt, rt, k, lk, rk, cy, metric, missing, exclude_self, p, out_type
     v_type = T.StructType([f for f in l_type.fields if f.name != "leaf"]).add("leaves", T.ArrayType(T.IntegerType()))
     left = cut_lineage(bounded.select(*[q(f.name) for f in l_type.fields], "bound").mapInPandas(visits, v_type))
     rest = left.select(*[q(f.name) for f in v_type.fields if f.name != "leaves"], F.explode("leaves").alias("leaf"))
-    return first.unionByName(_meet(rest, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type))
+    return first.unionByName(_meet(rest, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share))
 
 
 def _with_leaf(schema: T.StructType) -> T.StructType:
@@ -583,7 +637,7 @@ def _box(p):
     return aggs
 
 
-def _meet(visits, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type):
+def _meet(visits, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, out_type, share):
     """Bring left rows and right leaves together in groups of bounded size on both sides."""
     spark = visits.sparkSession
     load = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
@@ -603,6 +657,6 @@ def _meet(visits, rl, chunks, k, lk, rk, cy, metric, missing, exclude_self, p, o
 
     def both(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         rpdf = rpdf.sort_values(rk, kind="stable").reset_index(drop=True)
-        return _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p)[names]
+        return _emit(lpdf, rpdf, lk, rk, cy, k, metric, missing, exclude_self, p, share)[names]
     by = ["leaf", "chunk", "block"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(both, out_type)
