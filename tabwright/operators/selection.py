@@ -205,8 +205,11 @@ class UnivariateSelection(_Selector):
                 "method": method, "score_func": score, "drop_columns": cfg["drop_columns"]}
 
 
-def importances(df: DataFrame, cols: list[str], target: str, estimator: str, problem: str) -> dict[str, float]:
+def importances(df: DataFrame, cols: list[str], target: str, estimator: str, problem: str, cells=None) -> dict[str, float]:
     from ..models.learners import fit_model
+    if cells is not None:
+        from ..models.counted_forest import forest_importances
+        return forest_importances(df.sparkSession, cells.only(cols))
     name = {"auto": "logistic_regression" if problem == "classification" else "linear_regression",
             "logisticregression": "logistic_regression", "linearregression": "linear_regression",
             "randomforest": "random_forest", "random_forest": "random_forest"}.get(estimator, estimator)
@@ -229,8 +232,13 @@ class ModelBasedSelection(_Selector):
         cols = [c for c in choose_columns(df, cfg, numeric_candidates) if c != target and is_numeric(df, c)]
         problem = cfg.get("problem_type") or "auto"
         problem = guess_problem_type(df, target) if problem == "auto" else problem
-        z = df.select(*[F.coalesce(num(df, c), F.lit(0.0)).alias(c) for c in cols], q(target)).persist()
+        z = df.select(*[F.coalesce(num(df, c), F.lit(0.0)).alias(c) for c in cols], q(target))
         est = str(cfg["estimator"]).lower()
+        cells = None
+        if est in ("random_forest", "randomforest") and problem == "classification" and cols:
+            from ..models.counted_forest import counted
+            cells = counted(z, cols, target)
+        z = z if cells else z.persist()
         try:
             if cfg["method"] == "rfe":
                 n = cfg["n_features_to_select"]
@@ -239,20 +247,21 @@ class ModelBasedSelection(_Selector):
                 step = max(1, int(step * len(cols))) if step < 1 else int(step)
                 left = list(cols)
                 while len(left) > n:
-                    imp = importances(z, left, target, est, problem)
+                    imp = importances(z, left, target, est, problem, cells)
                     weak = sorted(left, key=lambda c: (imp[c] ** 2, left.index(c)))[:min(step, len(left) - n)]
                     left = [c for c in left if c not in weak]
-                imp = importances(z, left, target, est, problem)
+                imp = importances(z, left, target, est, problem, cells)
                 keep = left
             else:
-                imp = importances(z, cols, target, est, problem)
+                imp = importances(z, cols, target, est, problem, cells)
                 cut = threshold_value(cfg["threshold"], list(imp.values()))
                 keep = [c for c in cols if imp[c] >= cut]
                 if cfg["max_features"]:
                     top = sorted(keep, key=lambda c: -imp[c])[:int(cfg["max_features"])]
                     keep = [c for c in keep if c in top]
         finally:
-            z.unpersist()
+            if not cells:
+                z.unpersist()
         return {"selected_columns": keep, "columns_to_drop": [c for c in cols if c not in keep],
                 "importances": imp, "drop_columns": cfg["drop_columns"]}
 
